@@ -69,7 +69,7 @@ def name_documents(
         F.array("norm"),
         lambda t: F.struct(
             F.unhex(F.sha2(t, 256)).alias("sha"),
-            F.transform(_blocks(t, block_bytes), block_hash).alias("hs"),
+            F.transform(_blocks(t, block_bytes), lambda b: block_hash(b)).alias("hs"),
             (_blocks(t, block_bytes) if collided else F.lit(None).cast("array<binary>")).alias("content"),
         ),
     )[0]
