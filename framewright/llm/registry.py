@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import block_naming, packing, simple8b
+from framewright.llm import block_naming, packing, prefix_counts, simple8b
 from framewright.storage import new_path
 
 SUBWORDS = "byte_bpe_50k.json"
@@ -26,6 +26,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_file())
 
 
+def op7_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_counts.count_tokens(documents(spark, sf_dir), tokenizer_file())
+
+
 def op9_simple8b_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "simple8b")
     simple8b.write_files(documents(spark, sf_dir), path, tokenizer_file())
@@ -52,6 +56,7 @@ FROM n
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op7_prefix_token_counts": op7_prefix_token_counts,
     "op9_simple8b_token_files": op9_simple8b_token_files,
     "op10_exact_dedup": op10_exact_dedup,
 }
