@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import block_naming, packing, prefix_counts, simple8b
+from framewright.llm import block_naming, packing, prefix_counts, simhash, simple8b
 from framewright.storage import new_path
 
 SUBWORDS = "byte_bpe_50k.json"
@@ -26,6 +26,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_file())
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir), words=3, radius=3)
+
+
 def op7_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_counts.count_tokens(documents(spark, sf_dir), tokenizer_file())
 
@@ -56,6 +60,7 @@ FROM n
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_prefix_token_counts": op7_prefix_token_counts,
     "op9_simple8b_token_files": op9_simple8b_token_files,
     "op10_exact_dedup": op10_exact_dedup,
