@@ -31,21 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.text import text_of
-from framewright.llm.units import UnitCache, units
+from framewright.llm.units import PATTERN, UnitCache, byte_letters, units
 
 LIMIT = 512
 KEPT_PAIRS = 500_000
 
-#: Fixed value: the published pattern of byte-level pre-tokenizers.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-def byte_letters() -> list[str]:
-    """The letter by which a byte-level vocabulary writes each byte: itself if printable, else the next one from 256 on."""
-    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    spare = iter(range(256, 512))
-    return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
-
 
 class PrefixCounter:
     """Changes of the token count along a text, one per code point."""

@@ -41,6 +41,7 @@ LAYOUT = [
 ]
 ESCAPE = 0
 BLOCK_IDS = 1 << 16
+CODED_IDS = 1 << 18
 
 _CODED = "part int, doc_id long, n_ids long, words binary"
 _BLOCKS = (
@@ -121,6 +122,19 @@ def decode(words: np.ndarray) -> np.ndarray:
     return out
 
 
+def runs(coded: Iterator[bytes], ids: int) -> Iterator[list[bytes]]:
+    """Documents in runs of about so many ids, which bounds what ``encode`` holds at once."""
+    run, held = [], 0
+    for x in coded:
+        run.append(x)
+        held += len(x) // 4
+        if held >= ids:
+            yield run
+            run, held = [], 0
+    if run:
+        yield run
+
+
 def coded_documents(docs: DataFrame, tokenizer_path: str, bounds: list[int], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """part, doc_id, n_ids and words of every document; the part counts the bounds at or below the doc_id."""
 
@@ -128,24 +142,18 @@ def coded_documents(docs: DataFrame, tokenizer_path: str, bounds: list[int], tex
         ids_of = encoder(tokenizer_path)
         edges = np.array(bounds, "i8")
         for batch in batches:
-            coded = [ids_of(t) + bytes(4) for t in batch.column(1).to_pylist()]
-            if not coded:
-                continue
-            ends = np.cumsum([len(x) // 4 for x in coded])
-            words, counts = encode(np.frombuffer(b"".join(coded), "<u4"), ends)
-            offsets = np.concatenate([[0], np.cumsum(counts * 8)])
-            raw = words.tobytes()
-            doc = batch.column(0)
-            part = np.searchsorted(edges, doc.fill_null(np.iinfo("i8").min).to_numpy(), side="right")
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(part, pa.int32()),
-                    doc,
-                    pa.array(np.diff(ends, prepend=0)),
-                    pa.array([raw[a:b] for a, b in zip(offsets, offsets[1:])], pa.binary()),
-                ],
-                ["part", "doc_id", "n_ids", "words"],
+            docs_of, part = batch.column(0), np.searchsorted(
+                edges, batch.column(0).fill_null(np.iinfo("i8").min).to_numpy(), side="right"
             )
+            words, counts = [], []
+            for coded in runs((ids_of(t) + bytes(4) for t in batch.column(1).to_pylist()), CODED_IDS):
+                ends = np.cumsum([len(x) // 4 for x in coded])
+                run, many = encode(np.frombuffer(b"".join(coded), "<u4"), ends)
+                raw, at = run.tobytes(), np.concatenate([[0], np.cumsum(many * 8)]).tolist()
+                words += [raw[a:b] for a, b in zip(at, at[1:])]
+                counts += np.diff(ends, prepend=0).tolist()
+            columns = [pa.array(part, pa.int32()), docs_of, pa.array(counts, pa.int64()), pa.array(words, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "n_ids", "words"])
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     return chosen.mapInArrow(code, _CODED)

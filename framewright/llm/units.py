@@ -12,12 +12,17 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
 from collections.abc import Callable
 
-import numpy as np
+import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+#: Fixed value: the published pattern of byte-level pre-tokenizers.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+_LATIN_END = "\u0250"
 KEPT_UNITS = 400_000
 LONGEST_KEPT = 64
 _space_after_space = re.compile(r"\s ")
@@ -52,16 +57,35 @@ def units(text: str) -> list[str]:
     return _cut.split(text) if _space_after_space.search(text) else text.split(" ")
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level vocabulary writes each byte: itself if printable, else the next one from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return {b: chr(b) if b in printable else chr(next(spare)) for b in range(256)}
+
+
 class Encoder:
-    """Texts to ids of a tokenizers file, as little-endian unsigned 32-bit integers."""
+    """Texts to ids of a byte-level tokenizers file, as little-endian unsigned 32-bit integers.
+
+    Units of Latin letters, marks and digits are cut by the published pattern
+    and go to the library's model directly; any other unit goes to the library
+    whole, so scripts and special strings are left to it.
+    """
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
+        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        pieces, tokens, letters = regex.compile(PATTERN).findall, tokenizer.model.tokenize, byte_letters()
 
         def ids(unit: str) -> bytes:
-            return np.asarray(tokenizer.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
+            if max(unit, default=_LATIN_END) >= _LATIN_END or any(s in unit for s in special):
+                found = tokenizer.encode(unit, add_special_tokens=False).ids
+            else:
+                cut = (unit,) if unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()) else pieces(unit)
+                found = [t.id for p in cut for t in tokens(p.encode().decode("latin-1").translate(letters))]
+            return array("I", found).tobytes()
 
         self.first = UnitCache(ids)
         self.later = UnitCache(lambda unit: ids(" " + unit))
