@@ -50,6 +50,16 @@ _BLOCKS = (
 _READ = "part int, doc_id long, in_part long, n_tokens long, ids_crc32 long"
 
 
+def all_of_next(good: np.ndarray, n: int) -> np.ndarray | None:
+    """Whether each place and the next n - 1 are good, by doubling; None if that is so nowhere."""
+    done = 1
+    while done < n and good.any():
+        step = min(done, n - done)
+        good = good[:-step] & good[step:]
+        done += step
+    return good if good.any() else None
+
+
 def encode(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of all documents, and how many each has.  ``ends``: ends of the documents within ``ids``, ascending."""
     n = len(ids)
@@ -58,22 +68,16 @@ def encode(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ids = ids.astype("u8")
     width = np.frexp(ids.astype("f8"))[1]
     width[ids >= 1 << 53] = 60  # a double rounds these
-    at = np.arange(n)
-    left = np.repeat(ends, np.diff(ends, prepend=0)) - at
+    left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n)
     selector = np.full(n, ESCAPE, "u1")
-    count = np.ones(n, "i8")
-    widest, narrowest = int(width.max()), int(width.min())
-    for s in range(len(LAYOUT), 0, -1):  # from one a word to many; later ones overrule
+    count = np.ones(n, "u1")
+    for s in range(len(LAYOUT), 0, -1):  # from one id a word to many; later ones overrule
         many, bits = LAYOUT[s - 1]
-        if bits < narrowest:
-            break
-        if bits >= widest and bits < 60:
-            fits = left >= many
-        else:
-            bad = np.where(width > bits, at, n) if bits < 60 else np.where(ids >> np.uint64(60) != 0, at, n)
-            run = np.minimum.accumulate(bad[::-1])[::-1] - at
-            fits = np.minimum(run, left) >= many
-        selector[fits], count[fits] = s, many
+        fits = all_of_next(width <= bits if bits < 60 else ids >> np.uint64(60) == 0, many)
+        if fits is None:
+            continue
+        fits &= left[: len(fits)] >= many
+        selector[: len(fits)][fits], count[: len(fits)][fits] = s, many
     step = count.tolist()
     starts, i = [], 0
     while i < n:

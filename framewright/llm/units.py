@@ -23,6 +23,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _LATIN_END = "\u0250"
+_latin_word = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 KEPT_UNITS = 400_000
 LONGEST_KEPT = 64
 _space_after_space = re.compile(r"\s ")
@@ -77,18 +78,23 @@ class Encoder:
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        pieces, tokens, letters = regex.compile(PATTERN).findall, tokenizer.model.tokenize, byte_letters()
+        pieces, tokens, bytes_as = regex.compile(PATTERN).findall, tokenizer.model.tokenize, byte_letters()
+        letters = {c: "".join(bytes_as[b] for b in chr(c).encode()) for c in range(ord(_LATIN_END))}
 
         def ids(unit: str) -> bytes:
-            if max(unit, default=_LATIN_END) >= _LATIN_END or any(s in unit for s in special):
+            if _latin_word(unit):
+                found = [t.id for t in tokens(unit.translate(letters))]
+            elif max(unit, default=_LATIN_END) >= _LATIN_END or any(s in unit for s in special):
                 found = tokenizer.encode(unit, add_special_tokens=False).ids
             else:
-                cut = (unit,) if unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()) else pieces(unit)
-                found = [t.id for p in cut for t in tokens(p.encode().decode("latin-1").translate(letters))]
+                return b"".join([later[p[1:]] if p[0] == " " else first[p] for p in pieces(unit) if p != unit] or [whole(unit)])
             return array("I", found).tobytes()
 
-        self.first = UnitCache(ids)
-        self.later = UnitCache(lambda unit: ids(" " + unit))
+        def whole(piece: str) -> bytes:
+            return array("I", [t.id for t in tokens(piece.translate(letters))]).tobytes()
+
+        first = self.first = UnitCache(ids)
+        later = self.later = UnitCache(lambda unit: ids(" " + unit))
 
     def __call__(self, text: str) -> bytes:
         head, *rest = units(text)
