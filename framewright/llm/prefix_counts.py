@@ -22,7 +22,11 @@ columns are ignored.
 from __future__ import annotations
 
 import functools
+import re
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +35,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.text import text_of
-from framewright.llm.units import PATTERN, UnitCache, byte_letters, units
+from framewright.llm.units import LATIN_END, PATTERN, UnitCache, byte_letters, latin_word, units
 
 LIMIT = 512
 KEPT_PAIRS = 500_000
+KEPT_STEMS = 100_000
+STEM = 10
+
+_NONE: dict[str, bool] = {}
+_two_blanks = re.compile(r"\s\s").search
+
+
+@functools.lru_cache(4096)
+def _starts(j: int, longest: int) -> tuple[int, ...]:
+    """Starts of the tokens that may end at ``j``, those of 2 to 5 letters first."""
+    usual = [j - n for n in (3, 4, 2, 5, 1) if n <= j]
+    return (*usual, *range(j - 6, max(-1, j - longest - 1), -1))
 
 
 class PrefixCounter:
@@ -48,10 +64,14 @@ class PrefixCounter:
         special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
         self.vocabulary = {t: i for t, i in tokenizer.get_vocab().items() if t not in special}
         self.longest = max(map(len, self.vocabulary))
-        self.letters = byte_letters()
+        bytes_as = byte_letters()
+        self.letters = {c: "".join(bytes_as[b] for b in chr(c).encode()) for c in range(ord(LATIN_END))}
+        self.bytes_as = bytes_as
         self.pattern = regex.compile(PATTERN)
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) or r"(?!)")
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.known_pairs = 0
+        self.stems: dict[str, tuple[list[int], list[str]]] = {}
         self.first = UnitCache(self.changes)
         self.later = UnitCache(lambda unit: self.changes(" " + unit))
 
@@ -61,31 +81,43 @@ class PrefixCounter:
 
     def _follows(self, before: str, token: str) -> bool:
         """Whether the two tokens encode to themselves when written together."""
-        key = (before, token)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = [t.value for t in self.model.tokenize(before + token)] == [before, token]
+        if self.known_pairs >= KEPT_PAIRS:
+            self.pairs, self.known_pairs = {}, 0
+        known = [t.value for t in self.model.tokenize(before + token)] == [before, token]
+        self.pairs.setdefault(before, {})[token] = known
+        self.known_pairs += 1
         return known
 
     def counts(self, piece: str) -> list[int]:
         """Tokens of every prefix of one pre-token, by code points from 0."""
-        ends = [0]
-        letters = []
-        for ch in piece:
-            coded = ch.encode()
-            letters += [self.letters[b] for b in coded]
-            ends.append(ends[-1] + len(coded))
-        word = "".join(letters)
-        count, last = [0] * (len(word) + 1), [""] * (len(word) + 1)
-        for j in range(1, len(word) + 1):
-            for i in range(max(0, j - self.longest), j):
+        if piece.isascii():
+            word, ends = piece.translate(self.letters), None
+        else:
+            letters = [self.letters.get(ord(c)) or "".join(self.bytes_as[b] for b in c.encode()) for c in piece]
+            word, ends = "".join(letters), [0, *accumulate(map(len, letters))]
+        vocabulary, pairs, longest = self.vocabulary, self.pairs, self.longest
+        stem = word[:STEM]
+        if stem in self.stems:  # many words begin alike: the work up to there is kept
+            count, last = (x.copy() for x in self.stems[stem])
+        else:
+            count, last = [0], [""]
+        for j in range(len(count), len(word) + 1):
+            # One start fits; the usual lengths come first.
+            for i in _starts(j, longest):
                 token = word[i:j]
-                if token in self.vocabulary and (not i or self._follows(last[i], token)):
-                    count[j], last[j] = count[i] + 1, token
+                if token in vocabulary:
+                    if i:
+                        known = pairs.get(last[i], _NONE).get(token)
+                        if known is False or known is None and not self._follows(last[i], token):
+                            continue
+                    count.append(count[i] + 1)
+                    last.append(token)
                     break
-        return [count[e] for e in ends]
+            if j == STEM:
+                if len(self.stems) >= KEPT_STEMS:
+                    self.stems.clear()
+                self.stems[stem] = count.copy(), last.copy()
+        return count if ends is None else [count[e] for e in ends]
 
     def _plain(self, text: str) -> list[int]:
         """Tokens of every prefix of a text without special strings."""
@@ -103,7 +135,13 @@ class PrefixCounter:
 
     def changes(self, text: str) -> bytes:
         """The change of the count at each code point, as signed bytes."""
+        if latin_word(text):
+            return changes_of(self.counts(text))
         found = list(self.special.finditer(text))
+        if not found and "'" not in text and not _two_blanks(text):  # then its pieces don't touch each other
+            pieces = self.pattern.findall(text)
+            if len(pieces) > 1:
+                return b"".join([self.later[p[1:]] if p[0] == " " else self.first[p] for p in pieces])
         out, done, at = [0], 0, 0
         for m in found:
             inside = self._plain(text[at : m.end() - 1])
@@ -112,7 +150,12 @@ class PrefixCounter:
             out.append(done)
             at = m.end()
         out += [done + n for n in self._plain(text[at:])[1:]]
-        return np.diff(out).astype("i1").tobytes()
+        return changes_of(out)
+
+
+def changes_of(counts: list[int]) -> bytes:
+    """Differences as signed bytes: one more code point adds one token, or lets a few at the end merge."""
+    return array("b", map(sub, counts[1:], counts)).tobytes()
 
 
 @functools.lru_cache(2)

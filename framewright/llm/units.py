@@ -22,8 +22,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Fixed value: the published pattern of byte-level pre-tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_LATIN_END = "\u0250"
-_latin_word = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+LATIN_END = "\u0250"
+latin_word = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 KEPT_UNITS = 400_000
 LONGEST_KEPT = 64
 _space_after_space = re.compile(r"\s ")
@@ -79,12 +79,12 @@ class Encoder:
         tokenizer = Tokenizer.from_file(tokenizer_path)
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         pieces, tokens, bytes_as = regex.compile(PATTERN).findall, tokenizer.model.tokenize, byte_letters()
-        letters = {c: "".join(bytes_as[b] for b in chr(c).encode()) for c in range(ord(_LATIN_END))}
+        letters = {c: "".join(bytes_as[b] for b in chr(c).encode()) for c in range(ord(LATIN_END))}
 
         def ids(unit: str) -> bytes:
-            if _latin_word(unit):
+            if latin_word(unit):
                 found = [t.id for t in tokens(unit.translate(letters))]
-            elif max(unit, default=_LATIN_END) >= _LATIN_END or any(s in unit for s in special):
+            elif max(unit, default=LATIN_END) >= LATIN_END or any(s in unit for s in special):
                 found = tokenizer.encode(unit, add_special_tokens=False).ids
             else:
                 return b"".join([later[p[1:]] if p[0] == " " else first[p] for p in pieces(unit) if p != unit] or [whole(unit)])
