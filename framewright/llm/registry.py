@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import block_naming, packing, prefix_counts, simhash, simple8b
+from framewright.llm import block_naming, canonical, packing, prefix_counts, simhash, simple8b
 from framewright.storage import new_path
 
 SUBWORDS = "byte_bpe_50k.json"
@@ -34,6 +34,10 @@ def op7_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_counts.count_tokens(documents(spark, sf_dir), tokenizer_file())
 
 
+def op8_canonical_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.edit_report(documents(spark, sf_dir))
+
+
 def op9_simple8b_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "simple8b")
     simple8b.write_files(documents(spark, sf_dir), path, tokenizer_file())
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_prefix_token_counts": op7_prefix_token_counts,
+    "op8_canonical_fingerprints": op8_canonical_fingerprints,
     "op9_simple8b_token_files": op9_simple8b_token_files,
     "op10_exact_dedup": op10_exact_dedup,
 }
