@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import block_naming, canonical, packing, prefix_counts, simhash, simple8b
+from framewright.llm import block_naming, canonical, packing, prefix_counts, simhash, simple8b, toxicity
 from framewright.storage import new_path
 
 SUBWORDS = "byte_bpe_50k.json"
@@ -16,6 +16,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def tokenizer_file(name: str = SUBWORDS) -> str:
     import public_tokenizers
 
@@ -26,6 +30,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_file())
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), words=3, radius=3)
 
@@ -64,6 +72,7 @@ FROM n
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_toxicity": op2_toxicity,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_prefix_token_counts": op7_prefix_token_counts,
     "op8_canonical_fingerprints": op8_canonical_fingerprints,
