@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -51,15 +52,18 @@ def token_pieces(
     """doc_id, piece, start, length, ids_crc32: the pieces of every document."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer_path), bytes(4)
+        encode = encoder(tokenizer_path)
         for batch in batches:
             rows: list[tuple[int, int, int, int, int]] = []
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = memoryview(encode(value) + end)
-                at = cut(len(ids) // 4, capacity)
-                rows += [
-                    (doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(at, at[1:]))
-                ]
+            docs_of = iter(batch.column(0).to_pylist())
+            for run, ends in encode.batches(batch.column(1)):
+                ids, begin = memoryview(run.tobytes()), 0
+                for end, doc in zip(ends.tolist(), docs_of):
+                    at = [begin + x for x in cut(end - begin, capacity)]
+                    rows += [
+                        (doc, k, a - begin, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(pairwise(at))
+                    ]
+                    begin = end
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(

@@ -41,7 +41,7 @@ LAYOUT = [
 ]
 ESCAPE = 0
 BLOCK_IDS = 1 << 16
-CODED_IDS = 1 << 18
+CODED_BYTES = 4 << 20
 
 _CODED = "part int, doc_id long, n_ids long, words binary"
 _BLOCKS = (
@@ -126,19 +126,6 @@ def decode(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def runs(coded: Iterator[bytes], ids: int) -> Iterator[list[bytes]]:
-    """Documents in runs of about so many ids, which bounds what ``encode`` holds at once."""
-    run, held = [], 0
-    for x in coded:
-        run.append(x)
-        held += len(x) // 4
-        if held >= ids:
-            yield run
-            run, held = [], 0
-    if run:
-        yield run
-
-
 def coded_documents(docs: DataFrame, tokenizer_path: str, bounds: list[int], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """part, doc_id, n_ids and words of every document; the part counts the bounds at or below the doc_id."""
 
@@ -150,9 +137,8 @@ def coded_documents(docs: DataFrame, tokenizer_path: str, bounds: list[int], tex
                 edges, batch.column(0).fill_null(np.iinfo("i8").min).to_numpy(), side="right"
             )
             words, counts = [], []
-            for coded in runs((ids_of(t) + bytes(4) for t in batch.column(1).to_pylist()), CODED_IDS):
-                ends = np.cumsum([len(x) // 4 for x in coded])
-                run, many = encode(np.frombuffer(b"".join(coded), "<u4"), ends)
+            for ids, ends in ids_of.batches(batch.column(1), CODED_BYTES):
+                run, many = encode(ids, ends)
                 raw, at = run.tobytes(), np.concatenate([[0], np.cumsum(many * 8)]).tolist()
                 words += [raw[a:b] for a, b in zip(at, at[1:])]
                 counts += np.diff(ends, prepend=0).tolist()

@@ -10,11 +10,15 @@ worker keeps a bounded number of them with whatever it has worked out.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -23,6 +27,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 LATIN_END = "\u0250"
+#: White space, as ``\\s`` has it for strings, before a space.
+_BLANK_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 latin_word = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 KEPT_UNITS = 400_000
 LONGEST_KEPT = 64
@@ -80,26 +86,66 @@ class Encoder:
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         pieces, tokens, bytes_as = regex.compile(PATTERN).findall, tokenizer.model.tokenize, byte_letters()
         letters = {c: "".join(bytes_as[b] for b in chr(c).encode()) for c in range(ord(LATIN_END))}
+        space, stops = letters[ord(" ")], {s: whole_ids(tokens, letters, s) for s in ".,;:!?"}
 
-        def ids(unit: str) -> bytes:
-            if latin_word(unit):
-                found = [t.id for t in tokens(unit.translate(letters))]
-            elif max(unit, default=LATIN_END) >= LATIN_END or any(s in unit for s in special):
-                found = tokenizer.encode(unit, add_special_tokens=False).ids
-            else:
-                return b"".join([later[p[1:]] if p[0] == " " else first[p] for p in pieces(unit) if p != unit] or [whole(unit)])
-            return array("I", found).tobytes()
+        def later_ids(unit: str) -> bytes:
+            if unit.isalpha() and max(unit) < LATIN_END:
+                found = tokens(space + (unit if unit.isascii() else unit.translate(letters)))
+                return array("I", [t.id for t in found]).tobytes()
+            if unit[-1:] in stops and unit[:-1].isalpha() and max(unit) < LATIN_END:
+                return later[unit[:-1]] + stops[unit[-1]]
+            return ids(" " + unit)
 
-        def whole(piece: str) -> bytes:
-            return array("I", [t.id for t in tokens(piece.translate(letters))]).tobytes()
+        def ids(unit: str) -> bytes:
+            if max(unit, default=LATIN_END) >= LATIN_END or any(s in unit for s in special):
+                return array("I", tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
+            cut = pieces(unit)
+            if len(cut) == 1:
+                return whole_ids(tokens, letters, unit)
+            return b"".join([later[p[1:]] if p[0] == " " else first[p] for p in cut])
 
         first = self.first = UnitCache(ids)
-        later = self.later = UnitCache(lambda unit: ids(" " + unit))
+        later = self.later = UnitCache(later_ids)
 
     def __call__(self, text: str) -> bytes:
         head, *rest = units(text)
         return self.first[head] + b"".join(map(self.later.__getitem__, rest))
 
+    def batches(self, texts: pa.StringArray, most_bytes: int = 8 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of the texts, each with the end id 0, and their ends in the ids; in runs of about so many bytes of text."""
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype("i8"))
+        cuts = np.flatnonzero(np.diff(size // most_bytes)) + 1 if len(size) else []
+        for a, b in itertools.pairwise([0, *cuts, len(texts)]):
+            if a < b:
+                yield self._run(texts.slice(a, b - a))
+
+    def _run(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The run's units are told apart by Arrow, so that each distinct one is looked up once."""
+        cut = pc.split_pattern(texts, " ")
+        at = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        coded = cut.flatten().dictionary_encode()
+        code = coded.indices.to_numpy().astype("i8")
+        odd = np.flatnonzero(pc.match_substring_regex(texts, _BLANK_SPACE).to_numpy(zero_copy_only=False))
+        known = list(map(self.later.__getitem__, coded.dictionary.to_pylist()))
+        heads = [self.first[u] for u in pc.list_element(cut, 0).to_pylist()]
+        for k in odd.tolist():  # cut elsewhere: the whole text stands in its head's place, and nothing after it
+            heads[k] = self(texts[k].as_py())
+        table = [*known, *heads, bytes(4), b""]
+        code[at[:-1]] = len(known) + np.arange(len(heads))
+        for k in odd.tolist():
+            code[at[k] + 1 : at[k + 1]] = len(table) - 1
+        code = np.insert(code, at[1:], len(table) - 2)
+        length = np.array([len(x) for x in table]) // 4
+        many = length[code]
+        ends = np.cumsum(many)
+        from_ = np.repeat((np.cumsum(length) - length)[code] - (ends - many), many) + np.arange(ends[-1])
+        return np.frombuffer(b"".join(table), "<u4")[from_], ends[at[1:] + np.arange(len(heads))]
+
+
+def whole_ids(tokens: Callable, letters: dict[int, str], piece: str) -> bytes:
+    """Ids of one pre-token."""
+    return array("I", [t.id for t in tokens(piece.translate(letters))]).tobytes()
+
 
 @functools.lru_cache(2)
 def encoder(tokenizer_path: str) -> Encoder:
