@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import block_naming, canonical, disclosure, packing, prefix_counts, quality, simhash, simple8b, toxicity
+from framewright.llm import block_naming, canonical, disclosure, mixing, packing, prefix_counts, quality, simhash, simple8b, toxicity
 from framewright.storage import new_path
 
 SUBWORDS = "byte_bpe_50k.json"
@@ -38,6 +38,11 @@ def op3_disclosure_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disclosure.personal_data(documents(spark, sf_dir))
 
 
+def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, language, topic, tokens, weight and chance of every document drawn."""
+    return mixing.draw(documents(spark, sf_dir)).select("doc_id", "__mix.*")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
     "op3_disclosure_sanitisation": op3_disclosure_sanitisation,
+    "op4_mixing_sources": op4_mixing_sources,
     "op5_quality": op5_quality,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_prefix_token_counts": op7_prefix_token_counts,

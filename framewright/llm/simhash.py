@@ -31,7 +31,7 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, combinations
 
 import numpy as np
@@ -41,26 +41,41 @@ from pyspark.sql import functions as F
 
 from framewright.llm.components import components
 from framewright.llm.text import text_of
-from framewright.storage import materialize
+from framewright.storage import broadcast_within, materialize
 
 RADIUS = 3
 SHINGLE_WORDS = 5
 BANDS = 5
 TREE_NODES = 4096
 SEED = 42
+SIMILARITY = 0.8
+WIDE_RADIUS = 18
+TABLES = 9
+GROUP = 3
+SKETCH = 2048
+BROADCAST_ROWS = 500_000
 
 
-def fingerprint(text: str, words: int) -> int:
-    """The 64-bit SimHash of all shingles of ``words`` words, repeats included."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """Hashes of all shingles of ``words`` words, repeats included; of all words, if they are fewer; none without words."""
     import xxhash
 
     tokens = text.encode().lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, "<u8")
     n = max(1, len(tokens) - words + 1)
     digest = xxhash.xxh64_intdigest
     shingles = zip(*(tokens[k:] for k in range(words)), strict=False) if n > 1 or len(tokens) == words else [tokens]
-    hashes = np.fromiter((digest(b" ".join(s), SEED) for s in shingles), "<u8", n)
+    return np.fromiter((digest(b" ".join(s), SEED) for s in shingles), "<u8", n)
+
+
+def fingerprint(text: str, words: int) -> int:
+    """The 64-bit SimHash of all shingles of ``words`` words, repeats included."""
+    return simhash_of(shingle_hashes(text, words))
+
+
+def simhash_of(hashes: np.ndarray) -> int:
+    n = len(hashes)
     votes = np.zeros(64, "i8")
     for a in range(0, n, 1 << 16):
         bits = np.unpackbits(hashes[a : a + (1 << 16)].view("u1").reshape(-1, 8), axis=1, bitorder="little")
@@ -150,15 +165,26 @@ def band_masks(bands: int = BANDS) -> list[int]:
     return [x | y for x, y in combinations(single, 2)]
 
 
-def spanning_links(fps: np.ndarray, trees: int, radius: int, chunk: int = 1024) -> list[tuple[int, int]]:
-    """Links that join up the fingerprints: the first ``trees`` are in the tree, all search it."""
+def spanning_links(
+    fps: np.ndarray, trees: int, radius: int, alike: Callable[[int, int], bool] | None = None, chunk: int = 256
+) -> list[tuple[int, int]]:
+    """Links that join up the fingerprints: the first ``trees`` are in the tree, all search it.
+
+    Pairs that other links have joined already are passed over as whole arrays.
+    """
     tree = BKTree(fps[:trees])
-    groups, out = Groups(len(fps)), []
+    groups, out, label = Groups(len(fps)), [], np.arange(len(fps))
     for a in range(0, len(fps), chunk):
         for who, node in tree.search(fps[a : a + chunk], radius):
-            for x, y in zip((who + a).tolist(), node.tolist(), strict=True):
-                if x != y and groups.join(x, y):
+            who = who + a
+            apart = label[who] != label[node]
+            before = len(out)
+            for x, y in zip(who[apart].tolist(), node[apart].tolist(), strict=True):
+                if groups.root(x) != groups.root(y) and (alike is None or alike(x, y)):
+                    groups.join(x, y)
                     out.append((x, y))
+            if len(out) > before:
+                label = np.array([groups.root(x) for x in range(len(fps))])
     return out
 
 
@@ -176,26 +202,34 @@ def shard_links(distinct: DataFrame, radius: int = RADIUS, tree_nodes: int = TRE
             F.array(*[F.struct(F.lit(k).alias("band"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(signed)])
         ).alias("shard"),
     ).select("fp", "shard.band", "shard.bits")
+    return linked_cells(keyed, radius, tree_nodes)
+
+
+def linked_cells(keyed: DataFrame, radius: int, tree_nodes: int, similarity: float | None = None) -> DataFrame:
+    """a, b of the links in the shards (band, bits) of ``keyed``.
+
+    ``keyed`` has fp, and for a similarity to be checked also node and sketch; a and b are nodes then, else fps.
+    """
+    own = "fp" if similarity is None else "node"
     sizes = keyed.groupBy("band", "bits").agg(F.count("*").alias("n")).filter("n > 1")
     sizes = materialize(sizes, "shards")
     shared = keyed.join(sizes, ["band", "bits"])
-    trees = F.ceil(F.col("n") / tree_nodes).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int")
     # A large shard is met tree by chunk: every fingerprint is in one tree, and queries all trees from its own on.
-    spread = shared.withColumn("trees", trees).withColumn("mine", mine)
-    by_tree = spread.select("fp", "band", "bits", "mine", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("other"))
+    spread = shared.withColumn("trees", F.ceil(F.col("n") / tree_nodes).cast("int"))
+    spread = spread.withColumn("mine", F.pmod(F.xxhash64(own), F.col("trees")).cast("int"))
+    carried = ["fp"] if similarity is None else ["fp", "node", "sketch"]
+    by_tree = spread.select(*carried, "band", "bits", "mine", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("other"))
     cells = by_tree.select(
-        "fp",
+        *carried,
         "band",
         "bits",
         F.least("mine", "other").alias("tree"),
         F.greatest("mine", "other").alias("chunk"),
         (F.col("mine") <= F.col("other")).alias("in_tree"),
     )
-
     at = ["band", "bits", "tree", "chunk"]
-    count = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cells.repartition(count, *at).sortWithinPartitions(*at, F.col("in_tree").desc(), "fp")
+    count = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cells.repartition(count, *at).sortWithinPartitions(*at, F.col("in_tree").desc(), own)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows of a cell stand together; a cell that a batch breaks off goes on in the next."""
@@ -210,7 +244,7 @@ def shard_links(distinct: DataFrame, radius: int = RADIUS, tree_nodes: int = TRE
             rows = pa.Table.from_batches(held)
             starts = cell_starts(rows)
             whole = rows.num_rows if batch is None else int(starts[-1])
-            yield cell_links(rows.slice(0, whole), starts if batch is None else starts[:-1], radius)
+            yield cell_links(rows.slice(0, whole), starts if batch is None else starts[:-1], radius, similarity)
             held = [b for b in rows.slice(whole).to_batches() if b.num_rows]
 
     return dealt.mapInArrow(links, "a long, b long")
@@ -232,21 +266,22 @@ def cell_starts(rows: pa.Table) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def cell_links(rows: pa.Table, starts: np.ndarray, radius: int) -> pa.RecordBatch:
+def cell_links(rows: pa.Table, starts: np.ndarray, radius: int, similarity: float | None = None) -> pa.RecordBatch:
     points = rows["fp"].to_numpy().view("u8")
     inside = rows["in_tree"].to_numpy()
     ends = np.append(starts[1:], rows.num_rows)
+    sketches = None if similarity is None else [np.frombuffer(x, "<u4") for x in rows["sketch"].to_pylist()]
     left, right = [], []
-    two = ends - starts == 2
-    first = starts[two]  # a tree of one node and its one query
-    near = first[np.bitwise_count(points[first] ^ points[first + 1]) <= radius] if len(first) else first
-    left += near.tolist()
-    right += (near + 1).tolist()
-    for a, b in zip(starts[~two].tolist(), ends[~two].tolist(), strict=True):
-        for x, y in spanning_links(points[a:b], int(inside[a:b].sum()), radius):
-            left.append(a + x)
-            right.append(a + y)
-    values = points.view("i8")
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+        if b - a == 2:  # a tree of one node and its one query
+            near = (int(points[a]) ^ int(points[a + 1])).bit_count() <= radius
+            found = [(0, 1)] if near and (sketches is None or resemblance(*sketches[a:b]) >= similarity) else []
+        else:
+            alike = None if sketches is None else (lambda x, y, a=a: resemblance(sketches[a + x], sketches[a + y]) >= similarity)
+            found = spanning_links(points[a:b], int(inside[a:b].sum()), radius, alike)
+        left += [a + x for x, _ in found]
+        right += [a + y for _, y in found]
+    values = points.view("i8") if similarity is None else rows["node"].to_numpy()
     ends_of = [pa.array(values[np.array(side, "i8")]) for side in (left, right)]
     return pa.RecordBatch.from_arrays(ends_of, ["a", "b"])
 
@@ -271,3 +306,96 @@ def near_duplicates(
     return rows.join(of_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def resemblance(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two shingle sets from their sorted sketches; exact if both are whole sets."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    both = np.union1d(a, b)[: max(len(a), len(b), SKETCH if max(len(a), len(b)) >= SKETCH else len(a) + len(b))]
+    return np.isin(both, a, assume_unique=True).astype("i1") @ np.isin(both, b, assume_unique=True).astype("i1") / len(both)
+
+
+def sketches(docs: DataFrame, words: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """node, doc_id, text_hash, fp, keys and sketch of every row.
+
+    keys: TABLES hashes, each of GROUP least hashes of the shingles under one mixing; two texts of similarity s have one
+    in common with probability 1 - (1 - s**GROUP)**TABLES, which is 0.998 at 0.8.
+    """
+    mixers = np.random.default_rng(SEED).integers(1, 1 << 63, (TABLES * GROUP, 2), "u8") | np.uint64(1)
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, keys, kept = [], [], []
+            for value in batch.column(3).to_pylist():
+                hashes = shingle_hashes(value, words)
+                fps.append(simhash_of(hashes) if len(hashes) else 0)
+                own = np.unique(hashes)
+                low = np.array([((own ^ x) * m >> np.uint64(20)).min(initial=1 << 44) for x, m in mixers], "u8")
+                mixed = low.reshape(TABLES, GROUP) * mixers[:GROUP, 1]
+                keys.append(np.bitwise_xor.reduce(mixed, axis=1).view("i8"))
+                kept.append(np.unique((own >> np.uint64(32)).astype("<u4"))[:SKETCH].tobytes())
+            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, "i8"))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(k) for k in range(3)],
+                    pa.array(np.array(fps, "u8").view("i8")),
+                    pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, TABLES), pa.int32()), flat),
+                    pa.array(kept, pa.binary()),
+                ],
+                ["node", "doc_id", "text_hash", "fp", "keys", "sketch"],
+            )
+
+    chosen = docs.select(
+        F.monotonically_increasing_id().alias("node"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text_of(text)), text_of(text)
+    )
+    schema = "node long, doc_id long, text_hash long, fp long, keys array<long>, sketch binary"
+    return chosen.mapInArrow(of_batches, schema)
+
+
+def similar_groups(
+    docs: DataFrame,
+    words: int = SHINGLE_WORDS,
+    similarity: float = SIMILARITY,
+    radius: int = WIDE_RADIUS,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    tree_nodes: int = TREE_NODES,
+) -> DataFrame:
+    """node, doc_id, text_hash, keep_id, kept: rows grouped by shingle sets of at least the similarity.
+
+    At 0.8 fingerprints differ in up to about 14 bits, too many for shards of equal bands.  Here a shard is a key of
+    least shingle hashes; its BK-tree is searched with a wide radius, and a link is one whose sketches bear it out.
+    """
+    rows = materialize(sketches(docs, words, text, doc_id), "sketches")
+    keyed = rows.select("fp", "node", F.posexplode("keys").alias("band", "bits"))
+    some = keyed.groupBy("band", "bits").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    paired = materialize(keyed.join(some, ["band", "bits"]), "paired-keys")
+    with_sketch = paired.join(rows.select("node", "sketch"), "node")
+    links = materialize(linked_cells(with_sketch, radius, tree_nodes, similarity), "similar-links")
+    found = components(links).withColumnRenamed("node", "member")
+    rooted = rows.select("node", "doc_id", "text_hash").join(found, F.col("node") == F.col("member"), "left")
+    rooted = materialize(rooted.select("node", "doc_id", "text_hash", F.coalesce("root", "node").alias("root")), "grouped")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "node", "text_hash")
+    first = rooted.groupBy("root").agg(F.min(order).alias("first"))
+    return rooted.join(first, "root").select(
+        "node",
+        "doc_id",
+        "text_hash",
+        F.col("first.doc_id").alias("keep_id"),
+        F.col("first.text_hash").alias("keep_hash"),
+        (F.col("node") == F.col("first.node")).alias("kept"),
+    )
+
+
+def drop_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each group of similar texts, with their columns."""
+    found = materialize(similar_groups(docs, text=text, doc_id=doc_id, **options), "similar")
+    same = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_hash") == F.col("keep_hash"))
+    gone = found.filter(~same).select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")).distinct()
+    gone = broadcast_within(materialize(gone, "gone"), BROADCAST_ROWS)
+    out = docs.join(
+        gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(text_of(text)) == F.col("__hash")), "left_anti"
+    )
+    repeated = not found.filter(~F.col("kept") & same).isEmpty()  # rows that repeat the one that stays
+    return out.dropDuplicates([doc_id, text]) if repeated else out

@@ -132,3 +132,33 @@ def test_chains_and_empty_tables(spark):
     assert {(r.node, r.root) for r in components(chain).collect()} == {(i, 0) for i in range(41)}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def edited(rng, words, many):
+    places = set(rng.sample(range(len(words)), many))
+    return [rng.choice("klmnop") * 4 if k in places else w for k, w in enumerate(words)]
+
+
+@pytest.mark.parametrize("tree_nodes", [4096, 6])
+def test_similar_texts_leave_one(spark, tree_nodes):
+    """Copies with three words of 300 changed (about 0.9) go; rewritten ones and others stay."""
+    rng = random.Random(13)
+    base = [[rng.choice("abcdefgh") * rng.randint(1, 9) + str(rng.randint(0, 99)) for _ in range(300)] for _ in range(6)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)]
+    rows += [(10 + i, " ".join(edited(rng, base[i % 6], 3))) for i in range(40)]
+    rows += [(60 + i, " ".join(edited(rng, base[i % 6], 90))) for i in range(6)]
+    rows += [(80, None), (81, ""), (82, "short one"), (83, "other one"), (2, rows[2][1]), (None, "no id")]
+    docs = spark.createDataFrame([(d, t, "clash") for d, t in rows], SCHEMA)
+    out = simhash.drop_similar(docs, tree_nodes=tree_nodes)
+    assert out.columns == docs.columns
+    kept = sorted((r.doc_id for r in out.collect()), key=str)
+    assert kept == sorted([0, 1, 2, 3, 4, 5, 60, 61, 62, 63, 64, 65, 80, 82, 83, None], key=str)
+
+
+def test_resemblance():
+    a, b = np.arange(0, 100, dtype="u4"), np.arange(20, 120, dtype="u4")
+    assert simhash.resemblance(a, b) == 80 / 120
+    assert simhash.resemblance(a[:0], a[:0]) == 1 and simhash.resemblance(a, a[:0]) == 0
+    big = np.random.default_rng(0).permutation(1 << 20)[:50_000].astype("u4") << 12
+    x, y = (np.sort(part)[: simhash.SKETCH] for part in (big[:45_000], big[5_000:]))
+    assert abs(simhash.resemblance(x, y) - 0.8) < 0.04
