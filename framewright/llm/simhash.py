@@ -313,7 +313,8 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> float:
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     both = np.union1d(a, b)[: max(len(a), len(b), SKETCH if max(len(a), len(b)) >= SKETCH else len(a) + len(b))]
-    return np.isin(both, a, assume_unique=True).astype("i1") @ np.isin(both, b, assume_unique=True).astype("i1") / len(both)
+    shared = np.isin(both, a, assume_unique=True) & np.isin(both, b, assume_unique=True)
+    return np.count_nonzero(shared) / len(both)
 
 
 def sketches(docs: DataFrame, words: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
