@@ -60,20 +60,30 @@ def all_of_next(good: np.ndarray, n: int) -> np.ndarray | None:
     return good if good.any() else None
 
 
+_SMALL = np.array([k.bit_length() for k in range(1 << 16)], "u1")
+
+
+def widths(ids: np.ndarray) -> np.ndarray:
+    """Bits of each id."""
+    if ids.max() < len(_SMALL):
+        return _SMALL[ids]
+    high = (ids.astype("u8") >> np.uint64(32)).astype("f8"), (ids & np.uint64(0xFFFFFFFF)).astype("f8")
+    upper, lower = (np.frexp(x)[1].astype("u1") for x in high)
+    return np.where(upper > 0, upper + 32, lower).astype("u1")
+
+
 def encode(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of all documents, and how many each has.  ``ends``: ends of the documents within ``ids``, ascending."""
     n = len(ids)
     if not n:
         return np.zeros(0, "<u8"), np.zeros(len(ends), "i8")
-    ids = ids.astype("u8")
-    width = np.frexp(ids.astype("f8"))[1]
-    width[ids >= 1 << 53] = 60  # a double rounds these
-    left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n)
+    width = widths(ids)
+    left = np.minimum(np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n), 255).astype("u1")
     selector = np.full(n, ESCAPE, "u1")
     count = np.ones(n, "u1")
     for s in range(len(LAYOUT), 0, -1):  # from one id a word to many; later ones overrule
         many, bits = LAYOUT[s - 1]
-        fits = all_of_next(width <= bits if bits < 60 else ids >> np.uint64(60) == 0, many)
+        fits = all_of_next(width <= bits, many)
         if fits is None:
             continue
         fits &= left[: len(fits)] >= many
@@ -95,7 +105,7 @@ def encode(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             continue
         many, bits = LAYOUT[s - 1]
         shifts = np.arange(many, dtype="u8") * np.uint64(bits)
-        packed = np.bitwise_or.reduce(ids[start[mine][:, None] + np.arange(many)] << shifts, axis=1)
+        packed = np.bitwise_or.reduce(ids[start[mine][:, None] + np.arange(many)].astype("u8") << shifts, axis=1)
         words[place[mine]] = packed | np.uint64(int(s) << 60)
     doc = np.searchsorted(ends, start, side="right")
     return words, np.bincount(doc, weights=slots, minlength=len(ends)).astype("i8")

@@ -30,7 +30,7 @@ LATIN_END = "\u0250"
 #: White space, as ``\\s`` has it for strings, before a space.
 _BLANK_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 latin_word = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
-KEPT_UNITS = 400_000
+KEPT_UNITS = 550_000
 LONGEST_KEPT = 64
 _space_after_space = re.compile(r"\s ")
 _cut = re.compile(r"(?<=\S) ")
