@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from framewright.plans import signals, tables, time
+from framewright.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "delta_gather"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "episode_feature_stats"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "signals", "tables", "time"]
