@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.llm.memory import frugal
 from framewright.llm.text import text_of
 from framewright.llm.units import encoder
 from framewright.storage import materialize
@@ -51,6 +52,7 @@ def token_pieces(
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the pieces of every document."""
 
+    @frugal
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
         for batch in batches:

@@ -34,6 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.llm.memory import frugal
 from framewright.llm.text import text_of
 from framewright.llm.units import LATIN_END, PATTERN, UnitCache, byte_letters, latin_word, units
 
@@ -169,6 +170,7 @@ def prefix_changes(
 ) -> DataFrame:
     """doc_id, n_bytes, n_tokens and, if kept, changes (binary, one signed byte per code point)."""
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         changes_of = counter(tokenizer_path)
         for batch in batches:
@@ -206,6 +208,7 @@ def truncated(
 ) -> DataFrame:
     """doc_id, kept_chars, kept_text: the longest prefix of each text within ``budget`` tokens."""
 
+    @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         changes_of = counter(tokenizer_path)
         for batch in batches:

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.labelled import fold, training_rows
+from framewright.llm.memory import frugal, release
 from framewright.llm.text import text_of
 from framewright.llm.units import UnitCache
 
@@ -120,6 +121,7 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: Column | None = None, most: int = TRAINING_ROWS) -> Model:
     rows = training_rows(docs, labels, label, F.lit(True) if keep is None else keep, most)
 
+    @frugal
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Counter()
         for batch in batches:
@@ -143,6 +145,8 @@ def score(model: Model, text: str = "text") -> Column:
             blocks = [values[a : a + BLOCK] for a in range(0, len(values), BLOCK)]
             out = [model.scores(np.stack([count(t) for t in block])) for block in blocks]
             yield pd.Series(np.concatenate(out) if out else [], dtype="f8")
+        del count
+        release()
 
     return scored(text_of(text))
 

@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.components import components
+from framewright.llm.memory import frugal
 from framewright.llm.text import text_of
 from framewright.storage import broadcast_within, materialize
 
@@ -86,6 +87,7 @@ def simhash_of(hashes: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, fp (the fingerprint's 64 bits as a long) of every row."""
 
+    @frugal
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], "u8")
@@ -231,6 +233,7 @@ def linked_cells(keyed: DataFrame, radius: int, tree_nodes: int, similarity: flo
     count = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cells.repartition(count, *at).sortWithinPartitions(*at, F.col("in_tree").desc(), own)
 
+    @frugal
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows of a cell stand together; a cell that a batch breaks off goes on in the next."""
         held: list[pa.RecordBatch] = []
@@ -325,6 +328,7 @@ def sketches(docs: DataFrame, words: int, text: str = "text", doc_id: str = "doc
     """
     mixers = np.random.default_rng(SEED).integers(1, 1 << 63, (TABLES * GROUP, 2), "u8") | np.uint64(1)
 
+    @frugal
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps, keys, kept = [], [], []

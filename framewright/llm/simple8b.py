@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framewright.llm.memory import frugal
 from framewright.llm.text import text_of
 from framewright.llm.units import encoder
 
@@ -42,6 +43,7 @@ LAYOUT = [
 ESCAPE = 0
 BLOCK_IDS = 1 << 16
 CODED_BYTES = 4 << 20
+KEPT_UNITS = 550_000
 
 _CODED = "part int, doc_id long, n_ids long, words binary"
 _BLOCKS = (
@@ -139,8 +141,9 @@ def decode(words: np.ndarray) -> np.ndarray:
 def coded_documents(docs: DataFrame, tokenizer_path: str, bounds: list[int], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """part, doc_id, n_ids and words of every document; the part counts the bounds at or below the doc_id."""
 
+    @frugal
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(tokenizer_path)
+        ids_of = encoder(tokenizer_path, KEPT_UNITS)
         edges = np.array(bounds, "i8")
         for batch in batches:
             docs_of, part = batch.column(0), np.searchsorted(
@@ -180,6 +183,7 @@ def write_files(
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = part_bounds(docs, parts, doc_id)
 
+    @frugal
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, before, held, rows = None, 0, 0, 0, []
 
@@ -214,6 +218,7 @@ def write_files(
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files at ``path``."""
 
+    @frugal
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, _, before, docs, counts, _, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):

@@ -25,7 +25,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.labelled import fold, training_rows
+from framewright.llm.memory import frugal, release
 from framewright.llm.text import text_of
 from framewright.llm.units import UnitCache
 from framewright.storage import materialize
@@ -85,6 +86,7 @@ def counterfactual(text: str) -> str:
 def feature_counts(rows: DataFrame) -> DataFrame:
     """feature, n, n1: texts, and texts of label 1, that have the feature; each task sums its own first."""
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, n1 = Counter(), Counter()
@@ -147,7 +149,11 @@ class Model:
     def __init__(self, weights: dict[str, float], intercept: float):
         self.weights, self.intercept = weights, intercept
 
-    def scores(self, texts: Iterator[str]) -> list[float]:
+    def scores(self, texts: Iterable[str]) -> list[float]:
+        return list(map(self.scorer(), texts))
+
+    def scorer(self) -> Callable[[str], float]:
+        """A function from a text to its score, which remembers words."""
         names = sorted({f.removesuffix("+") for f in self.weights})
         index = {f: k for k, f in enumerate(names)}
         once, more = (np.array([self.weights.get(f + plus, 0.0) for f in names]) for plus in ("", "+"))
@@ -157,16 +163,17 @@ class Model:
             found = [(index[f], zlib.crc32(w.encode())) for w in _letters(token.lower()) for f in word_features(w) if f in index]
             return np.array(found, "<u4").tobytes()
 
-        cache = UnitCache(known, 200_000)
-        out = []
-        for text in texts:
+        cache = UnitCache(known, 150_000)
+
+        def scored(text: str) -> float:
             pairs = np.frombuffer(b"".join(map(cache.__getitem__, text.split())), "<u8")
             z = self.intercept
             if len(pairs):
                 seen = np.bincount(np.unique(pairs).astype("<u4"), minlength=len(names))
                 z += once[seen > 0].sum() + more[seen > 1].sum()
-            out.append(float(1 / (1 + np.exp(-np.clip(z, -500, 500)))))
-        return out
+            return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+
+        return scored
 
 
 def train(
@@ -190,6 +197,7 @@ def train(
     names += sorted({f for w in swaps() for f in word_features(w)} - set(names))
     index = {f: k for k, f in enumerate(names)}
 
+    @frugal
     def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def ids(text: str) -> list[int]:
             return sorted(index[f] for f in features(text) if f in index)
@@ -217,8 +225,11 @@ def score(model: Model, text: str = "text") -> Column:
 
     @F.pandas_udf("double")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        one = model.scorer()
         for batch in texts:
-            yield pd.Series(model.scores(batch), dtype="f8")
+            yield pd.Series([one(t) for t in batch], dtype="f8")
+        del one
+        release()
 
     return scored(text_of(text))
 

@@ -30,7 +30,7 @@ LATIN_END = "\u0250"
 #: White space, as ``\\s`` has it for strings, before a space.
 _BLANK_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 latin_word = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
-KEPT_UNITS = 550_000
+KEPT_UNITS = 250_000
 LONGEST_KEPT = 64
 _space_after_space = re.compile(r"\s ")
 _cut = re.compile(r"(?<=\S) ")
@@ -79,7 +79,7 @@ class Encoder:
     whole, so scripts and special strings are left to it.
     """
 
-    def __init__(self, tokenizer_path: str):
+    def __init__(self, tokenizer_path: str, kept: int = KEPT_UNITS):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -104,8 +104,8 @@ class Encoder:
                 return whole_ids(tokens, letters, unit)
             return b"".join([later[p[1:]] if p[0] == " " else first[p] for p in cut])
 
-        first = self.first = UnitCache(ids)
-        later = self.later = UnitCache(later_ids)
+        first = self.first = UnitCache(ids, kept)
+        later = self.later = UnitCache(later_ids, kept)
 
     def __call__(self, text: str) -> bytes:
         head, *rest = units(text)
@@ -148,6 +148,6 @@ def whole_ids(tokens: Callable, letters: dict[int, str], piece: str) -> bytes:
 
 
 @functools.lru_cache(2)
-def encoder(tokenizer_path: str) -> Encoder:
+def encoder(tokenizer_path: str, kept: int = KEPT_UNITS) -> Encoder:
     """The worker's encoder of this file."""
-    return Encoder(tokenizer_path)
+    return Encoder(tokenizer_path, kept)
