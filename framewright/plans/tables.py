@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from framewright.functions import text as fx
-from framewright.operators import lookups, sets, summary
+from framewright.operators import checks, lookups, sets, summary
 from framewright.plans.registry import FRAMES, frames, query, rounded, table
 from framewright.sources import datasets
 from framewright.storage import new_path
@@ -294,3 +294,47 @@ def task_matrix(spark, sf_dir):
 def info_counts(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("episode_index"), F.col("event_type").alias("task_index"))
     return datasets.info_document(rows, 30.0)
+
+
+@query(
+    """WITH t AS (SELECT task, row_number() OVER (ORDER BY task) - 1 AS task_index FROM (SELECT DISTINCT event_type AS task FROM events)),
+f AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame_index,
+  row_number() OVER (ORDER BY user_id, event_id) - 1 AS "index", event_type FROM events)
+SELECT user_id AS episode_index, frame_index, round(CAST(CAST(frame_index / 30.0 AS FLOAT) AS DOUBLE), 5) AS seconds, "index", t.task_index
+FROM f JOIN t ON t.task = f.event_type"""
+)
+def ingest_frames(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    made = datasets.ingest(rows, F.broadcast(_tasks(spark, sf_dir)), 30.0, "user_id", "event_id", "event_type")
+    seconds = F.round(F.col("timestamp").cast("double"), 5).alias("seconds")
+    return made.select("episode_index", "frame_index", seconds, "index", "task_index")
+
+
+@query(
+    """SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 'context width' WHEN vec_id % 3 = 0 THEN 'mask length' END AS fault FROM embeddings
+WHERE vec_id % 5 = 0 OR vec_id % 3 = 0"""
+)
+def cached_shapes(spark, sf_dir):
+    e = F.col("embedding")
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id",
+        F.array(e, F.when(F.col("vec_id") % 5 == 0, F.slice(e, 1, 3)).otherwise(e)).alias("context"),
+        F.array_repeat(F.lit(True), F.when(F.col("vec_id") % 3 == 0, 1).otherwise(2)).alias("mask"),
+    )
+    return checks.bad_embeddings(rows, "context", "mask", 2, 64, "vec_id")
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_size % 16 <> 0 THEN 'sides,' ELSE '' END || CASE WHEN p_partkey % 4 <> 1 THEN 'frames,' ELSE '' END AS faults FROM part"""
+)
+def input_contract(spark, sf_dir):
+    size, key = F.col("p_size"), F.col("p_partkey")
+    found = checks.input_faults(key, size, F.lit(32), (key - 1) * 2, 2)
+    listed = F.concat(F.array_join(found, ","), F.when(F.size(found) > 0, ",").otherwise(""))
+    return table(spark, sf_dir, "part").select("p_partkey", listed.alias("faults"))
+
+
+@query("SELECT l.label, e.user_id AS episode_index, l.n FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label) l CROSS JOIN (SELECT DISTINCT user_id FROM events) e")
+def legacy_statistics(spark, sf_dir):
+    stats = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    return datasets.legacy_stats(stats, table(spark, sf_dir, "events").withColumnRenamed("user_id", "episode_index"))

@@ -108,3 +108,49 @@ def info_document(frames: DataFrame, fps: float, chunk: int = 1000) -> DataFrame
         F.countDistinct("task_index").alias("total_tasks"),
         F.countDistinct(F.floor(F.col("episode_index") / chunk)).alias("total_chunks"),
     ).withColumns({"chunks_size": F.lit(chunk), "fps": F.lit(fps), "split_train": F.concat(F.lit("0:"), F.col("total_episodes"))})
+
+
+STATS = "struct<min:array<double>,max:array<double>,mean:array<double>,std:array<double>,count:array<long>>"
+
+
+def read_episode_stats(spark: SparkSession, root: str) -> DataFrame:
+    """episode_index, feature, min, max, mean, std, count: a row per episode and feature."""
+    rows = read_jsonl(spark, f"{root}/meta/episodes_stats.jsonl", f"episode_index long, stats map<string,{STATS}>")
+    return rows.select("episode_index", F.explode("stats").alias("feature", "s")).select("episode_index", "feature", "s.*")
+
+
+def legacy_stats(stats: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Statistics of a whole dataset, given to each of its episodes; one row a feature, so it is the side that is broadcast."""
+    return episodes.select("episode_index").distinct().crossJoin(F.broadcast(stats))
+
+
+def ingest(rows: DataFrame, tasks: DataFrame, fps: float, episode: str, order: str, task: str) -> DataFrame:
+    """Raw rows as frames: frame_index, timestamp (float seconds), index over all episodes, task_index by the task's text."""
+    from framewright.operators import episodes, lookups
+
+    numbered = episodes.number_frames(rows, episode, order).withColumn("timestamp", (F.col("frame_index") / fps).cast("float"))
+    begin = episodes.offsets(rows, episode).select(F.col(episode).alias("__e"), "begin")
+    placed = numbered.join(begin, F.col(episode) == F.col("__e")).withColumn("index", F.col("begin") + F.col("frame_index"))
+    met = lookups.lookup(placed.drop("__e", "begin"), tasks, task, "task_index", "task")
+    return met.withColumnRenamed(episode, "episode_index").drop(task)
+
+
+def empty_table(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    return spark.createDataFrame([], schema)
+
+
+def first_existing(spark: SparkSession, candidates: list[str]) -> str:
+    """The first path that exists, in any store that Spark reads."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in candidates:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        if target.getFileSystem(conf).exists(target):
+            return path
+    raise FileNotFoundError(f"none of {candidates} exists")
+
+
+def incomplete_episodes(spark: SparkSession, root: str, frames: DataFrame) -> DataFrame:
+    """Episodes of ``frames`` without a data file under ``root``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(f"{root}/data")
+    number = F.regexp_extract("path", r"episode_index=(\d+)", 1).cast("long")
+    return frames.select("episode_index").distinct().join(files.select(number.alias("episode_index")).distinct(), "episode_index", "left_anti")

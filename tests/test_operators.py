@@ -200,3 +200,16 @@ def test_stream_settles_steps_as_chunks_come(spark, tmp_path):
         job.stop()
     got = {(r.rollout, r.step): (r["mean"], r.votes) for r in spark.table("settled").collect()}
     assert got == {(0, 0): (1.0, 1), (0, 1): (3.0, 2), (0, 2): (4.0, 2)}
+
+
+def test_settings_and_formats(spark):
+    from framewright.operators import checks
+
+    rows = spark.createDataFrame([(128, "yuv420p"), (128, "GRAY8")], "n int, f string")
+    assert checks.single_value(rows, "n").first().n == 128
+    assert [r[0] for r in rows.select(checks.channels(F.col("f"))).collect()] == [3, 1]
+    with pytest.raises(Exception, match="2 values of f"):
+        checks.single_value(rows, "f").collect()
+    size = checks.canvas([F.lit(3), F.lit(4)], [F.lit(5), F.lit(6)], "horizontal")
+    assert tuple(rows.limit(1).select(*size).first()) == (7, 6)
+    assert rows.limit(1).select(checks.over_length(F.array(F.lit(True), F.lit(False)))).first()[0] is False

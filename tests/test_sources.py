@@ -85,3 +85,21 @@ def test_report_and_matrix(spark, tmp_path):
     datasets.write_report(spark.createDataFrame([("a", 1)], "s string, n int"), str(tmp_path / "r"))
     assert spark.read.option("header", True).csv(str(tmp_path / "r")).first().s == "a"
     assert datasets.task_matrix(spark, {"x": 2, "y": 0}).count() == 2
+
+
+def test_episode_statistics(spark, tmp_path):
+    (tmp_path / "meta").mkdir()
+    stats = {"action": {"min": [0.0], "max": [1.0], "mean": [0.5], "std": [0.1], "count": [4]}}
+    (tmp_path / "meta" / "episodes_stats.jsonl").write_text(json.dumps({"episode_index": 3, "stats": stats}))
+    row = datasets.read_episode_stats(spark, str(tmp_path)).first()
+    assert (row.episode_index, row.feature, row["max"], row["count"]) == (3, "action", [1.0], [4])
+
+
+def test_paths_and_completeness(spark, tmp_path):
+    assert datasets.first_existing(spark, [str(tmp_path / "no"), str(tmp_path)]) == str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        datasets.first_existing(spark, [str(tmp_path / "no")])
+    rows = spark.createDataFrame([(e, i) for e in range(3) for i in range(2)], "episode_index long, frame_index long")
+    datasets.write_frames(rows.filter("episode_index < 2"), str(tmp_path / "d"))
+    assert [r[0] for r in datasets.incomplete_episodes(spark, str(tmp_path / "d"), rows).collect()] == [2]
+    assert datasets.empty_table(spark, schema.table_schema(FEATURES)).count() == 0
