@@ -10,6 +10,9 @@ from framewright.llm import block_naming, mixing, packing, simhash, toxicity
 from framewright.llm.registry import labels, tokenizer_file
 from framewright.storage import materialize
 
+#: Units that a worker remembers while it tokenizes: fewer than by default, since workers outlive the stages before.
+KEPT_UNITS = 200_000
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -31,7 +34,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, tokenizer_file())
+    return packing.pack_documents(docs, tokenizer_file(), kept_units=KEPT_UNITS)
 
 
 STAGES: list[tuple[str, Stage]] = [

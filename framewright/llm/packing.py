@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from framewright.llm.memory import frugal
 from framewright.llm.text import text_of
-from framewright.llm.units import encoder
+from framewright.llm.units import KEPT_UNITS, encoder
 from framewright.storage import materialize
 
 SEQUENCE_TOKENS = 2048
@@ -48,13 +48,18 @@ def cut(n: int, capacity: int) -> list[int]:
 
 
 def token_pieces(
-    docs: DataFrame, tokenizer_path: str, capacity: int = SEQUENCE_TOKENS, text: str = "text", doc_id: str = "doc_id"
+    docs: DataFrame,
+    tokenizer_path: str,
+    capacity: int = SEQUENCE_TOKENS,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    kept_units: int = KEPT_UNITS,
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the pieces of every document."""
 
     @frugal
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path)
+        encode = encoder(tokenizer_path, kept_units)
         for batch in batches:
             rows: list[tuple[int, int, int, int, int]] = []
             docs_of = iter(batch.column(0).to_pylist())
@@ -201,7 +206,12 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, group_pieces: int =
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, capacity: int = SEQUENCE_TOKENS, text: str = "text", doc_id: str = "doc_id"
+    docs: DataFrame,
+    tokenizer_path: str,
+    capacity: int = SEQUENCE_TOKENS,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    kept_units: int = KEPT_UNITS,
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document."""
-    return pack(token_pieces(docs, tokenizer_path, capacity, text, doc_id), capacity)
+    return pack(token_pieces(docs, tokenizer_path, capacity, text, doc_id, kept_units), capacity)

@@ -42,7 +42,7 @@ LAYOUT = [
 ]
 ESCAPE = 0
 BLOCK_IDS = 1 << 16
-CODED_BYTES = 4 << 20
+CODED_BYTES = 6 << 20
 KEPT_UNITS = 550_000
 
 _CODED = "part int, doc_id long, n_ids long, words binary"

@@ -13,13 +13,11 @@ import functools
 import itertools
 import os
 import re
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -30,8 +28,9 @@ LATIN_END = "\u0250"
 #: White space, as ``\\s`` has it for strings, before a space.
 _BLANK_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 latin_word = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
-KEPT_UNITS = 250_000
+KEPT_UNITS = 450_000
 LONGEST_KEPT = 64
+_AT_ONCE, _IN_A_LINE = 50_000, 500
 _space_after_space = re.compile(r"\s ")
 _cut = re.compile(r"(?<=\S) ")
 
@@ -49,12 +48,16 @@ class UnitCache(dict):
             value = self.work_out(unit)
             if len(unit) > LONGEST_KEPT:
                 return value
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
+        self.make_room(1)
         self[unit] = value
         return value
 
+    def make_room(self, n: int) -> None:
+        """Begin a new generation if ``n`` more units are too many for this one."""
+        if len(self) + n > self.most and self:
+            self.older = dict(self)
+            self.clear()
+
 
 def units(text: str) -> list[str]:
     """The text's units in order, each without the space it begins with, but for the first.
@@ -74,38 +77,38 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """Texts to ids of a byte-level tokenizers file, as little-endian unsigned 32-bit integers.
 
-    Units of Latin letters, marks and digits are cut by the published pattern
-    and go to the library's model directly; any other unit goes to the library
-    whole, so scripts and special strings are left to it.
+    New units go to the library many at a time, written one after another as they would stand in a text; the ids are
+    then dealt to the units by the bytes that each token covers.
     """
 
     def __init__(self, tokenizer_path: str, kept: int = KEPT_UNITS):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        pieces, tokens, bytes_as = regex.compile(PATTERN).findall, tokenizer.model.tokenize, byte_letters()
-        letters = {c: "".join(bytes_as[b] for b in chr(c).encode()) for c in range(ord(LATIN_END))}
-        space, stops = letters[ord(" ")], {s: whole_ids(tokens, letters, s) for s in ".,;:!?"}
-
-        def later_ids(unit: str) -> bytes:
-            if unit.isalpha() and max(unit) < LATIN_END:
-                found = tokens(space + (unit if unit.isascii() else unit.translate(letters)))
-                return array("I", [t.id for t in found]).tobytes()
-            if unit[-1:] in stops and unit[:-1].isalpha() and max(unit) < LATIN_END:
-                return later[unit[:-1]] + stops[unit[-1]]
-            return ids(" " + unit)
-
-        def ids(unit: str) -> bytes:
-            if max(unit, default=LATIN_END) >= LATIN_END or any(s in unit for s in special):
-                return array("I", tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
-            cut = pieces(unit)
-            if len(cut) == 1:
-                return whole_ids(tokens, letters, unit)
-            return b"".join([later[p[1:]] if p[0] == " " else first[p] for p in cut])
-
-        first = self.first = UnitCache(ids, kept)
-        later = self.later = UnitCache(later_ids, kept)
+        self.library = tokenizer = Tokenizer.from_file(tokenizer_path)
+        added = tokenizer.get_added_tokens_decoder()
+        self.width = np.zeros(tokenizer.get_vocab_size(), "i8")  # bytes of each token: a letter of the vocabulary is one
+        for token, i in tokenizer.get_vocab().items():
+            self.width[i] = len(added[i].content.encode()) if i in added else len(token)
+
+        def ids(text: str) -> bytes:
+            return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+        self.first = UnitCache(ids, kept)
+        self.later = UnitCache(lambda unit: ids(" " + unit), kept)
+
+    def learn(self, found: list[str]) -> None:
+        """Work out the units that are new.  Those that end in white space, or are long, are left to be looked up alone."""
+        later = self.later
+        new = [u for u in found if u and u not in later and u not in later.older and len(u) <= LONGEST_KEPT and not u[-1].isspace()]
+        later.make_room(len(new))
+        for group in itertools.batched(new, _AT_ONCE):
+            lines = [" " + " ".join(part) for part in itertools.batched(group, _IN_A_LINE)]
+            encoded = self.library.encode_batch_fast(lines, add_special_tokens=False)
+            ids = np.concatenate([np.asarray(e.ids, "<u4") for e in encoded])
+            size = np.cumsum([1 + len(u.encode()) for u in group])
+            at = (4 * np.searchsorted(np.cumsum(self.width[ids]), size, "right")).tolist()
+            raw = ids.tobytes()
+            later.update(zip(group, (raw[a:b] for a, b in itertools.pairwise([0, *at])), strict=True))
 
     def __call__(self, text: str) -> bytes:
         head, *rest = units(text)
@@ -126,7 +129,9 @@ class Encoder:
         coded = cut.flatten().dictionary_encode()
         code = coded.indices.to_numpy().astype("i8")
         odd = np.flatnonzero(pc.match_substring_regex(texts, _BLANK_SPACE).to_numpy(zero_copy_only=False))
-        known = list(map(self.later.__getitem__, coded.dictionary.to_pylist()))
+        distinct = coded.dictionary.to_pylist()
+        self.learn(distinct)
+        known = list(map(self.later.__getitem__, distinct))
         heads = [self.first[u] for u in pc.list_element(cut, 0).to_pylist()]
         for k in odd.tolist():  # cut elsewhere: the whole text stands in its head's place, and nothing after it
             heads[k] = self(texts[k].as_py())
@@ -142,11 +147,6 @@ class Encoder:
         return np.frombuffer(b"".join(table), "<u4")[from_], ends[at[1:] + np.arange(len(heads))]
 
 
-def whole_ids(tokens: Callable, letters: dict[int, str], piece: str) -> bytes:
-    """Ids of one pre-token."""
-    return array("I", [t.id for t in tokens(piece.translate(letters))]).tobytes()
-
-
 @functools.lru_cache(2)
 def encoder(tokenizer_path: str, kept: int = KEPT_UNITS) -> Encoder:
     """The worker's encoder of this file."""
