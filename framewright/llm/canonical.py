@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from framewright.llm.text import text_of
 from framewright.storage import broadcast_within, materialize
 
-RANGE_ROWS = 2048
+RANGE_ROWS = 256
 RANGE_IDS = 1 << 16
 BROADCAST_ROWS = 500_000
 
