@@ -58,4 +58,4 @@ def broadcast_within(df: DataFrame, rows: int) -> DataFrame:
 
     Beyond that the plan is left to Catalyst, which shuffles.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
