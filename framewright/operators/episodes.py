@@ -47,22 +47,22 @@ def require_count(frames: DataFrame, episode: str, expected: int) -> DataFrame:
     return told.withColumn("matches", F.when(F.col("matches"), True).otherwise(F.raise_error(message).cast("boolean")))
 
 
-def offsets(frames: DataFrame, episode: str, dataset: str | None = None) -> DataFrame:
-    """Each episode's first and past-the-last row when episodes lie end to end, within a dataset and over all.
+def offsets(frames: DataFrame, episode: str, dataset: str | None = None, fan: int = 4096) -> DataFrame:
+    """Each episode's first and past-the-last row when episodes lie end to end, datasets one after another.
 
-    The running sum is over one row per episode, summed by dataset first.
+    Episodes are summed ``fan`` numbers at a time; only the sums of those groups are put in one order.
     """
-    keys = [dataset, episode] if dataset else [episode]
-    sizes = frames.groupBy(*keys).agg(F.count("*").alias("length"))
-    within = Window.partitionBy(*([dataset] if dataset else [])).orderBy(episode).rowsBetween(Window.unboundedPreceding, 0)
-    out = sizes.withColumn("end", F.sum("length").over(within)).withColumn("begin", F.col("end") - F.col("length"))
-    if not dataset:
-        return out
-    before = Window.orderBy(dataset).rowsBetween(Window.unboundedPreceding, -1)  # one row a dataset
-    totals = sizes.groupBy(dataset).agg(F.sum("length").alias("n"))
-    base = totals.select(dataset, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    joined = out.join(F.broadcast(base), dataset)
-    return joined.withColumns({"begin": F.col("begin") + F.col("base"), "end": F.col("end") + F.col("base")}).drop("base")
+    parts = [dataset] if dataset else []
+    sizes = frames.groupBy(*parts, episode).agg(F.count("*").alias("length"))
+    sizes = sizes.withColumn("__group", F.floor(F.col(episode) / fan))
+    group = [*parts, "__group"]
+    before = Window.orderBy(*group).rowsBetween(Window.unboundedPreceding, -1)
+    totals = sizes.groupBy(*group).agg(F.sum("length").alias("n"))
+    base = totals.select(*group, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+    inside = F.sum("length").over(Window.partitionBy(*group).orderBy(episode).rowsBetween(Window.unboundedPreceding, 0))
+    out = sizes.withColumn("__end", inside).join(base, group)
+    end = F.col("__base") + F.col("__end")
+    return out.select(*parts, episode, "length", end.alias("end"), (end - F.col("length")).alias("begin"))
 
 
 def split(episodes: list[int], share: float, seed: int = 42) -> tuple[list[int], list[int]]:

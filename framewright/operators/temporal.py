@@ -118,3 +118,12 @@ def causal_mask(n: DataFrame, query: str, key: str) -> Column:
 def stride(values: Column, ratio: int) -> Column:
     """Every ``ratio``-th element from the first."""
     return F.filter(values, lambda x, i: i % ratio == 0)
+
+
+def group_causal(query: Column, key: Column, size: int) -> Column:
+    """Whether a query's group is not before the key's; the first group is seen by all."""
+    return (key < size) | (F.floor(query / size) >= F.floor(key / size))
+
+
+def same_group(query: Column, key: Column, size: int) -> Column:
+    return F.floor(query / size) == F.floor(key / size)

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from framewright.operators import ensemble, episodes, temporal, vectors
 from framewright.plans.registry import FRAMES, frames, query, rounded, table
+from framewright.storage import new_path
+from framewright.streaming import ensembler
 
 CHUNKS = f"""{FRAMES}, chunks AS (
   SELECT a.user_id, a.frame_index, j.j AS "offset", b.value AS x, a.frame_index + j.j >= a.n AS pad
@@ -228,3 +230,29 @@ def rank_batches(spark, sf_dir):
 @query()
 def epoch_order(spark, sf_dir):
     return episodes.epoch_order(table(spark, sf_dir, "events").select("event_id"), "event_id", seed=7, epoch=2, skip=128)
+
+
+@query(
+    f"""WITH {CHUNKS}, m AS (SELECT user_id, frame_index + "offset" AS step, round(avg(x), 6) AS mean, count(*) AS votes FROM chunks GROUP BY ALL)
+SELECT m.* FROM m JOIN (SELECT DISTINCT user_id, n FROM frames) f ON f.user_id = m.user_id AND m.step < f.n - 1"""
+)
+def ensemble_stream(spark, sf_dir):
+    """The same means from a stream of chunks: steps are out once a later chunk has settled them."""
+    given, out, state = (new_path(spark, f"ensemble-{part}") for part in ("in", "out", "state"))
+    chunks = _chunks(spark, sf_dir).select(F.col("user_id").alias("rollout"), F.col("frame_index").alias("start"), "chunk")
+    chunks.write.parquet(given)
+    source = spark.readStream.schema("rollout long, start long, chunk array<double>").parquet(given)
+    stream = ensembler.ensemble_stream(source).writeStream.format("parquet").outputMode("append")
+    stream.option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    settled = spark.read.schema(ensembler.OUTPUT).parquet(out)
+    return rounded(settled.select(F.col("rollout").alias("user_id"), "step", "mean", "votes"), "mean")
+
+
+@query(
+    """SELECT q.q, k.k, CASE WHEN k.k < 4 THEN true ELSE q.q // 4 >= k.k // 4 END AS group_sees, q.q // 4 = k.k // 4 AS same_group
+FROM range(24) q(q) CROSS JOIN range(24) k(k)"""
+)
+def group_causal_mask(spark, sf_dir):
+    q, k = spark.range(24).withColumnRenamed("id", "q"), spark.range(24).withColumnRenamed("id", "k")
+    both = q.crossJoin(F.broadcast(k))  # 24 steps of one window
+    return both.withColumns({"group_sees": temporal.group_causal(F.col("q"), F.col("k"), 4), "same_group": temporal.same_group(F.col("q"), F.col("k"), 4)})
