@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from framewright.llm import block_naming, mixing, packing, simhash, toxicity
 from framewright.llm.registry import labels, tokenizer_file
+from framewright.shipping import shipped
 from framewright.storage import materialize
 
 #: Units that a worker remembers while it tokenizes: fewer than by default, since workers outlive the stages before.
@@ -16,23 +17,28 @@ KEPT_UNITS = 200_000
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+@shipped
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, labels(spark, sf_dir))
 
 
+@shipped
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return block_naming.drop_exact_duplicates(docs)
 
 
+@shipped
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five-word shingles, similarity 0.8 or more; one document of each group stays."""
     return simhash.drop_similar(docs)
 
 
+@shipped
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.sample_to_targets(docs)
 
 
+@shipped
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_file(), kept_units=KEPT_UNITS)
 
