@@ -10,7 +10,9 @@ of squared fills, which drives the emptiest bins to nothing.
 
 Scale.  Texts never leave the task that reads them: only (doc_id, length, crc)
 rows are shuffled.  A group is bounded, so memory is too, and more rows mean
-more groups; each group ends with about one bin that is not full.
+more groups; each group ends with about one bin that is not full.  The search
+is bounded by a number of tries, which leaves pieces where they are and drops
+none: pieces longer than half a sequence, say, can't be improved on.
 
 Edge cases.  Null text counts as empty; an empty text is the end id alone.
 Rows that repeat a doc_id are packed like any others; null doc_ids are kept.
@@ -36,6 +38,7 @@ from framewright.storage import materialize
 SEQUENCE_TOKENS = 2048
 GROUP_PIECES = 16_384
 SEARCH_ROUNDS = 8
+SEARCH_TRIES = 100_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -149,8 +152,8 @@ class Bins:
         self._exchange(a, choice[0], b, choice[1])
         return True
 
-    def local_search(self, rounds: int = SEARCH_ROUNDS) -> None:
-        """Empty the emptiest bins into the fuller ones while the sum of squared fills rises."""
+    def local_search(self, rounds: int = SEARCH_ROUNDS, tries: int = SEARCH_TRIES) -> None:
+        """Empty the emptiest bins into the fuller ones while the sum of squared fills rises, for at most so many tries."""
         for _ in range(rounds):
             under = sorted((b for b in range(len(self.fill)) if 0 < self.fill[b] < self.capacity), key=self.fill.__getitem__)
             room = sum(self.capacity - self.fill[b] for b in under)
@@ -159,13 +162,16 @@ class Bins:
                 if room - (self.capacity - self.fill[a]) < self.fill[a]:
                     break  # what the others have left can't take this bin
                 for b in reversed(under[k + 1 :]):
-                    while self.fill[a] and self.fill[b] >= self.fill[a] and self._improve(a, b):
+                    while tries and self.fill[a] and self.fill[b] >= self.fill[a]:
+                        tries -= 1
+                        if not self._improve(a, b):
+                            break
                         better = True
-                    if not self.fill[a]:
+                    if not tries or not self.fill[a]:
                         break
                 if not self.fill[a]:
                     room -= self.capacity
-            if not better:
+            if not better or not tries:
                 break
 
     def places(self) -> tuple[np.ndarray, np.ndarray]:

@@ -62,6 +62,13 @@ def test_local_search_empties_a_bin_by_an_exchange():
     assert sorted(f for f in bins.fill if f) == [10, 10]
 
 
+def test_search_ends_where_nothing_can_be_gained():
+    bins = packing.Bins([1025 + k % 1000 for k in range(6000)], 2048)
+    bins.best_fit()
+    bins.local_search(tries=500)
+    assert len(bins.items) == 6000 and all(len(x) == 1 for x in bins.items)
+
+
 def test_query_against_a_plain_reading(spark, library):
     texts = {i: t for i, t in enumerate(ODD)} | {100: None, 101: "to be or not " * 900}
     rows = [(i, t, "clash") for i, t in texts.items()] + [(7, "twice", "x"), (None, "no id", None)]
