@@ -54,6 +54,7 @@ WIDE_RADIUS = 18
 TABLES = 9
 GROUP = 3
 SKETCH = 2048
+PARITY_BITS = 1024
 BROADCAST_ROWS = 500_000
 
 
@@ -167,12 +168,47 @@ def band_masks(bands: int = BANDS) -> list[int]:
     return [x | y for x, y in combinations(single, 2)]
 
 
+class Sets:
+    """Shingle sets of a cell's texts, compared by parity sketches first and by their hashes where those leave doubt.
+
+    A parity sketch has a bit flipped for each element, so the bits in which two differ tell the size of the symmetric
+    difference, with a known variance: four deviations away from the threshold is taken for sure.
+    """
+
+    def __init__(self, rows: pa.Table, similarity: float):
+        self.similarity = similarity
+        self.hashes = rows["sketch"].to_pylist()
+        self.parity = np.frombuffer(b"".join(rows["parity"].to_pylist()), "<u8").reshape(-1, PARITY_BITS // 64)
+        self.size = rows["n_set"].to_numpy().astype("f8")
+
+    def sift(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs may be alike, and which of all are for sure."""
+        may, sure = np.ones(len(x), bool), np.zeros(len(x), bool)
+        for a in range(0, len(x), 1 << 15):
+            part = slice(a, a + (1 << 15))
+            n, total = PARITY_BITS, self.size[x[part]] + self.size[y[part]]
+            differ = np.bitwise_count(self.parity[x[part]] ^ self.parity[y[part]]).sum(axis=1, dtype="i8")
+            q = 1 - 2 * np.minimum(differ, n // 2 - 8) / n
+            apart = -n / 2 * np.log(q)
+            spread = np.sqrt(np.maximum(n / 4 * (1 - q * q) - apart * q * q, 1)) / q
+            alike = (total - apart) / np.maximum(total + apart, 1)
+            doubt = 8 * total / np.maximum(total + apart, 1) ** 2 * spread
+            known = (differ < n // 2 - 32) & (total > 0)
+            may[part] = ~known | (alike + doubt >= self.similarity)
+            sure[part] = known & (alike - doubt >= self.similarity)
+        return may, sure
+
+    def alike(self, x: int, y: int) -> bool:
+        return resemblance(*(np.frombuffer(self.hashes[k], "<u4") for k in (x, y))) >= self.similarity
+
+
 def spanning_links(
-    fps: np.ndarray, trees: int, radius: int, alike: Callable[[int, int], bool] | None = None, chunk: int = 256
+    fps: np.ndarray, trees: int, radius: int, sets: Sets | None = None, first: int = 0, chunk: int = 256
 ) -> list[tuple[int, int]]:
     """Links that join up the fingerprints: the first ``trees`` are in the tree, all search it.
 
-    Pairs that other links have joined already are passed over as whole arrays.
+    Pairs that other links have joined already are passed over as whole arrays.  With ``sets``, in which the
+    fingerprints' texts stand from ``first`` on, a link needs their shingle sets to be alike.
     """
     tree = BKTree(fps[:trees])
     groups, out, label = Groups(len(fps)), [], np.arange(len(fps))
@@ -180,9 +216,14 @@ def spanning_links(
         for who, node in tree.search(fps[a : a + chunk], radius):
             who = who + a
             apart = label[who] != label[node]
+            who, node = who[apart], node[apart]
+            sure = np.ones(len(who), bool)
+            if sets is not None and len(who):
+                may, sure = sets.sift(who + first, node + first)
+                who, node, sure = who[may], node[may], sure[may]
             before = len(out)
-            for x, y in zip(who[apart].tolist(), node[apart].tolist(), strict=True):
-                if groups.root(x) != groups.root(y) and (alike is None or alike(x, y)):
+            for x, y, known in zip(who.tolist(), node.tolist(), sure.tolist(), strict=True):
+                if groups.root(x) != groups.root(y) and (known or sets.alike(x + first, y + first)):
                     groups.join(x, y)
                     out.append((x, y))
             if len(out) > before:
@@ -210,7 +251,7 @@ def shard_links(distinct: DataFrame, radius: int = RADIUS, tree_nodes: int = TRE
 def linked_cells(keyed: DataFrame, radius: int, tree_nodes: int, similarity: float | None = None) -> DataFrame:
     """a, b of the links in the shards (band, bits) of ``keyed``.
 
-    ``keyed`` has fp, and for a similarity to be checked also node and sketch; a and b are nodes then, else fps.
+    ``keyed`` has fp, and for a similarity to be checked also node, sketch, parity and n_set; a and b are nodes then, else fps.
     """
     own = "fp" if similarity is None else "node"
     sizes = keyed.groupBy("band", "bits").agg(F.count("*").alias("n")).filter("n > 1")
@@ -219,7 +260,7 @@ def linked_cells(keyed: DataFrame, radius: int, tree_nodes: int, similarity: flo
     # A large shard is met tree by chunk: every fingerprint is in one tree, and queries all trees from its own on.
     spread = shared.withColumn("trees", F.ceil(F.col("n") / tree_nodes).cast("int"))
     spread = spread.withColumn("mine", F.pmod(F.xxhash64(own), F.col("trees")).cast("int"))
-    carried = ["fp"] if similarity is None else ["fp", "node", "sketch"]
+    carried = ["fp"] if similarity is None else ["fp", "node", "sketch", "parity", "n_set"]
     by_tree = spread.select(*carried, "band", "bits", "mine", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("other"))
     cells = by_tree.select(
         *carried,
@@ -273,15 +314,14 @@ def cell_links(rows: pa.Table, starts: np.ndarray, radius: int, similarity: floa
     points = rows["fp"].to_numpy().view("u8")
     inside = rows["in_tree"].to_numpy()
     ends = np.append(starts[1:], rows.num_rows)
-    sketches = None if similarity is None else [np.frombuffer(x, "<u4") for x in rows["sketch"].to_pylist()]
+    sets = None if similarity is None else Sets(rows, similarity)
     left, right = [], []
     for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
         if b - a == 2:  # a tree of one node and its one query
             near = (int(points[a]) ^ int(points[a + 1])).bit_count() <= radius
-            found = [(0, 1)] if near and (sketches is None or resemblance(*sketches[a:b]) >= similarity) else []
+            found = [(0, 1)] if near and (sets is None or sets.alike(a, a + 1)) else []
         else:
-            alike = None if sketches is None else (lambda x, y, a=a: resemblance(sketches[a + x], sketches[a + y]) >= similarity)
-            found = spanning_links(points[a:b], int(inside[a:b].sum()), radius, alike)
+            found = spanning_links(points[a:b], int(inside[a:b].sum()), radius, sets, a)
         left += [a + x for x, _ in found]
         right += [a + y for _, y in found]
     values = points.view("i8") if similarity is None else rows["node"].to_numpy()
@@ -321,7 +361,7 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sketches(docs: DataFrame, words: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """node, doc_id, text_hash, fp, keys and sketch of every row.
+    """node, doc_id, text_hash, fp, keys, sketch, parity and n_set of every row.
 
     keys: TABLES hashes, each of GROUP least hashes of the shingles under one mixing; two texts of similarity s have one
     in common with probability 1 - (1 - s**GROUP)**TABLES, which is 0.998 at 0.8.
@@ -331,7 +371,7 @@ def sketches(docs: DataFrame, words: int, text: str = "text", doc_id: str = "doc
     @frugal
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, keys, kept = [], [], []
+            fps, keys, kept, parity, sizes = [], [], [], [], []
             for value in batch.column(3).to_pylist():
                 hashes = shingle_hashes(value, words)
                 fps.append(simhash_of(hashes) if len(hashes) else 0)
@@ -340,6 +380,9 @@ def sketches(docs: DataFrame, words: int, text: str = "text", doc_id: str = "doc
                 mixed = low.reshape(TABLES, GROUP) * mixers[:GROUP, 1]
                 keys.append(np.bitwise_xor.reduce(mixed, axis=1).view("i8"))
                 kept.append(np.unique((own >> np.uint64(32)).astype("<u4"))[:SKETCH].tobytes())
+                flips = np.bincount((own >> np.uint64(8)).astype("i8") % PARITY_BITS, minlength=PARITY_BITS) % 2
+                parity.append(np.packbits(flips.astype("u1"), bitorder="little").tobytes())
+                sizes.append(len(own))
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, "i8"))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -347,14 +390,16 @@ def sketches(docs: DataFrame, words: int, text: str = "text", doc_id: str = "doc
                     pa.array(np.array(fps, "u8").view("i8")),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, TABLES), pa.int32()), flat),
                     pa.array(kept, pa.binary()),
+                    pa.array(parity, pa.binary()),
+                    pa.array(sizes, pa.int32()),
                 ],
-                ["node", "doc_id", "text_hash", "fp", "keys", "sketch"],
+                ["node", "doc_id", "text_hash", "fp", "keys", "sketch", "parity", "n_set"],
             )
 
     chosen = docs.select(
         F.monotonically_increasing_id().alias("node"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text_of(text)), text_of(text)
     )
-    schema = "node long, doc_id long, text_hash long, fp long, keys array<long>, sketch binary"
+    schema = "node long, doc_id long, text_hash long, fp long, keys array<long>, sketch binary, parity binary, n_set int"
     return chosen.mapInArrow(of_batches, schema)
 
 
@@ -376,7 +421,7 @@ def similar_groups(
     keyed = rows.select("fp", "node", F.posexplode("keys").alias("band", "bits"))
     some = keyed.groupBy("band", "bits").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     paired = materialize(keyed.join(some, ["band", "bits"]), "paired-keys")
-    with_sketch = paired.join(rows.select("node", "sketch"), "node")
+    with_sketch = paired.join(rows.select("node", "sketch", "parity", "n_set"), "node")
     links = materialize(linked_cells(with_sketch, radius, tree_nodes, similarity), "similar-links")
     found = components(links).withColumnRenamed("node", "member")
     rooted = rows.select("node", "doc_id", "text_hash").join(found, F.col("node") == F.col("member"), "left")

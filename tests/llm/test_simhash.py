@@ -162,3 +162,26 @@ def test_resemblance():
     big = np.random.default_rng(0).permutation(1 << 20)[:50_000].astype("u4") << 12
     x, y = (np.sort(part)[: simhash.SKETCH] for part in (big[:45_000], big[5_000:]))
     assert abs(simhash.resemblance(x, y) - 0.8) < 0.04
+
+
+def test_parity_sketches_decide_as_the_sets_do():
+    rng = random.Random(21)
+    base = [rng.getrandbits(64) for _ in range(400)]
+    sets = [set(base)] + [set(rng.sample(base, 400 - k)) | {rng.getrandbits(64) for _ in range(k)} for k in (0, 5, 20, 60, 80, 120, 200)] + [set()]
+    flips = [np.bincount([(h >> 8) % simhash.PARITY_BITS for h in s], minlength=simhash.PARITY_BITS) % 2 for s in sets]
+    rows = pa.table(
+        {
+            "sketch": [np.unique(np.array([h >> 32 for h in s], "<u4")).tobytes() for s in sets],
+            "parity": [np.packbits(f.astype("u1"), bitorder="little").tobytes() for f in flips],
+            "n_set": [len(s) for s in sets],
+        }
+    )
+    made = simhash.Sets(rows, 0.8)
+    x = np.zeros(len(sets), "i8")
+    may, sure = made.sift(x, np.arange(len(sets)))
+    for k, s in enumerate(sets):
+        alike = len(sets[0] & s) >= 0.8 * len(sets[0] | s)
+        assert made.alike(0, k) == alike
+        assert may[k] or not alike
+        assert alike or not sure[k]
+    assert sure[1] and sure[2] and not may[6] and not may[7]
