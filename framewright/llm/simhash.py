@@ -373,9 +373,8 @@ def sketches(docs: DataFrame, words: int, text: str = "text", doc_id: str = "doc
         for batch in batches:
             fps, keys, kept, parity, sizes = [], [], [], [], []
             for value in batch.column(3).to_pylist():
-                hashes = shingle_hashes(value, words)
-                fps.append(simhash_of(hashes) if len(hashes) else 0)
-                own = np.unique(hashes)
+                own = np.unique(shingle_hashes(value, words))
+                fps.append(simhash_of(own) if len(own) else 0)  # of the set: links are judged on sets
                 low = np.array([((own ^ x) * m >> np.uint64(20)).min(initial=1 << 44) for x, m in mixers], "u8")
                 mixed = low.reshape(TABLES, GROUP) * mixers[:GROUP, 1]
                 keys.append(np.bitwise_xor.reduce(mixed, axis=1).view("i8"))

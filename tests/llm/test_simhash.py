@@ -155,6 +155,20 @@ def test_similar_texts_leave_one(spark, tree_nodes):
     assert kept == sorted([0, 1, 2, 3, 4, 5, 60, 61, 62, 63, 64, 65, 80, 82, 83, None], key=str)
 
 
+def test_repeated_lines_do_not_part_near_copies(spark):
+    """The same shingle sets but for a few: a line that stands there thirty times more changes counts alone."""
+    rng = random.Random(17)
+    rows = []
+    for i in range(12):
+        words = [rng.choice("abcdefgh") * rng.randint(1, 9) + str(rng.randint(0, 99)) for _ in range(204)]
+        rows += [(i, " ".join(words)), (100 + i, " ".join(words + words[50:69] * 30))]
+    docs = spark.createDataFrame([(d, t, "clash") for d, t in rows], SCHEMA)
+    found = simhash.sketches(docs, 5).collect()
+    fps = {r.doc_id: r.fp % (1 << 64) for r in found}
+    assert all((fps[i] ^ fps[100 + i]).bit_count() <= simhash.WIDE_RADIUS for i in range(12))
+    assert sorted(r.doc_id for r in simhash.drop_similar(docs).collect()) == list(range(12))
+
+
 def test_resemblance():
     a, b = np.arange(0, 100, dtype="u4"), np.arange(20, 120, dtype="u4")
     assert simhash.resemblance(a, b) == 80 / 120
