@@ -56,6 +56,7 @@ GROUP = 3
 SKETCH = 2048
 PARITY_BITS = 1024
 BROADCAST_ROWS = 500_000
+RANK_BITS = 20
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -361,7 +362,7 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sketches(docs: DataFrame, words: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """node, doc_id, text_hash, fp, keys, sketch, parity and n_set of every row.
+    """node, doc_id, text_hash, fp, keys, hashes (all, 32 bits each, in order), parity and n_set of every row.
 
     keys: TABLES hashes, each of GROUP least hashes of the shingles under one mixing; two texts of similarity s have one
     in common with probability 1 - (1 - s**GROUP)**TABLES, which is 0.998 at 0.8.
@@ -378,7 +379,7 @@ def sketches(docs: DataFrame, words: int, text: str = "text", doc_id: str = "doc
                 low = np.array([((own ^ x) * m >> np.uint64(20)).min(initial=1 << 44) for x, m in mixers], "u8")
                 mixed = low.reshape(TABLES, GROUP) * mixers[:GROUP, 1]
                 keys.append(np.bitwise_xor.reduce(mixed, axis=1).view("i8"))
-                kept.append(np.unique((own >> np.uint64(32)).astype("<u4"))[:SKETCH].tobytes())
+                kept.append(np.unique((own >> np.uint64(32)).astype("<u4")).tobytes())
                 flips = np.bincount((own >> np.uint64(8)).astype("i8") % PARITY_BITS, minlength=PARITY_BITS) % 2
                 parity.append(np.packbits(flips.astype("u1"), bitorder="little").tobytes())
                 sizes.append(len(own))
@@ -392,16 +393,121 @@ def sketches(docs: DataFrame, words: int, text: str = "text", doc_id: str = "doc
                     pa.array(parity, pa.binary()),
                     pa.array(sizes, pa.int32()),
                 ],
-                ["node", "doc_id", "text_hash", "fp", "keys", "sketch", "parity", "n_set"],
+                ["node", "doc_id", "text_hash", "fp", "keys", "hashes", "parity", "n_set"],
             )
 
     chosen = docs.select(
         F.monotonically_increasing_id().alias("node"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text_of(text)), text_of(text)
     )
-    schema = "node long, doc_id long, text_hash long, fp long, keys array<long>, sketch binary, parity binary, n_set int"
+    schema = "node long, doc_id long, text_hash long, fp long, keys array<long>, hashes binary, parity binary, n_set int"
     return chosen.mapInArrow(of_batches, schema)
 
 
+def settled(pairs: DataFrame, rows: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """a, b of the ``pairs`` of nodes whose whole sets of 64-bit shingle hashes are alike.
+
+    ``texts`` has doc, hash and text; ``rows`` (of ``sketches``) says which are a node's.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    named = rows.select("node", "doc_id", "text_hash").join(ends, "node")
+    named = broadcast_within(materialize(named, "ends"), BROADCAST_ROWS)
+    held = texts.join(named, F.col("doc").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")))
+    held = materialize(held.select("node", "text").dropDuplicates(["node"]), "texts-of-ends")
+    met = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    met = met.join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+
+    @frugal
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = batch.column(2), batch.column(3)
+            keep = []
+            for k in range(batch.num_rows):
+                x, y = (np.unique(shingle_hashes(side[k].as_py(), words)) for side in (left, right))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                either = len(x) + len(y) - shared
+                keep.append(not either or shared / either >= similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return materialize(met.select("a", "b", "text_a", "text_b").mapInArrow(alike, "a long, b long"), "settled-links")
+
+
+def shingle_counts(rows: DataFrame) -> DataFrame:
+    """bucket, n: how often the shingles of a bucket of hashes occur in the corpus (the cut sets are enough to rank them)."""
+
+    @frugal
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(1 << RANK_BITS, "i8")
+        for batch in batches:
+            flat = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4")
+            sums += np.bincount(flat >> np.uint32(32 - RANK_BITS), minlength=1 << RANK_BITS)
+        some = np.flatnonzero(sums)
+        for a in range(0, len(some), 1 << 16):
+            part = some[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(sums[part])], ["bucket", "n"])
+
+    return rows.select(F.col("hashes")).mapInArrow(counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+
+
+def prefixes(rows: DataFrame, similarity: float) -> DataFrame:
+    """node, root, n_set, key: the rarest hashes of each text, one more than an alike text may lack.
+
+    In one order of all hashes, the first that two alike texts share has at most that many before it in either, so they
+    meet in a key.  Any order is exact; by the corpus counts of buckets, common shingles come last.
+    """
+    spark = rows.sparkSession
+    found = shingle_counts(rows).toPandas()  # at most 2**RANK_BITS rows
+    ranks = np.zeros(1 << RANK_BITS, "u4")
+    ranks[found.bucket.to_numpy("i8")] = np.minimum(found.n.to_numpy("i8"), (1 << 32) - 1)
+    shared = spark.sparkContext.broadcast(ranks)
+
+    @frugal
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            for k in range(batch.num_rows):
+                hashes = np.frombuffer(batch.column(3)[k].as_py(), "<u4")
+                n = batch.column(2)[k].as_py()
+                lack = n - int(np.ceil(similarity * n - 1e-9))
+                order = np.lexsort((hashes, counts[hashes >> np.uint32(32 - RANK_BITS)]))[: lack + 1]
+                if not len(order):
+                    continue
+                same = [pa.array(np.full(len(order), batch.column(c)[k].as_py())) for c in range(2)]
+                sizes = pa.array(np.full(len(order), n), pa.int32())
+                yield pa.RecordBatch.from_arrays([*same, sizes, pa.array(hashes[order].astype("i8"))], ["node", "root", "n_set", "key"])
+
+    return rows.select("node", "root", "n_set", "hashes").mapInArrow(least, "node long, root long, n_set int, key long")
+
+
+def missed_pairs(rows: DataFrame, similarity: float, chunk: int = TREE_NODES) -> DataFrame:
+    """a, b: all pairs of nodes of different roots that may be alike, by an exact prefix filter.
+
+    ``rows`` has node, root, n_set, hashes and parity.  Keys whose texts have one root have nothing to add.  A key of more
+    than ``chunk`` texts is met chunk by chunk.  The bits in which two parity sketches differ are at most as many as the
+    elements that only one set has, so pairs that differ in more than alike sets may are apart for sure.
+    """
+    keyed = materialize(prefixes(rows, similarity), "prefixes")
+    several = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    several = materialize(several.filter("low <> high").select("key", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")), "mixed-keys")
+    met = keyed.join(broadcast_within(several, BROADCAST_ROWS), "key")
+    met = materialize(met.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "mixed-prefixes")
+    other = met.select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("mine"), *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "n_set")])
+    sized = (F.least("n_set", "n_set_b") >= F.greatest("n_set", "n_set_b") * similarity - 1e-6)
+    pairs = met.join(other, ["key", "mine"]).filter((F.col("node") < F.col("node_b")) & (F.col("root") != F.col("root_b")) & sized)
+    pairs = materialize(pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct(), "prefix-pairs")
+    sides = [rows.select(F.col("node").alias(c), F.col("parity").alias(f"parity_{c}"), F.col("n_set").alias(f"n_{c}")) for c in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "parity_a", "parity_b", (F.col("n_a") + F.col("n_b")).alias("total"))
+
+    @frugal
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(-1, PARITY_BITS // 64) for c in (2, 3))
+            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype="i8")
+            may = differ <= batch.column(4).to_numpy() * (1 - similarity) / (1 + similarity) + 1e-6
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(may))
+
+    return materialize(both.mapInArrow(near, "a long, b long"), "missed-pairs")
+
+
 def similar_groups(
     docs: DataFrame,
     words: int = SHINGLE_WORDS,
@@ -413,16 +519,25 @@ def similar_groups(
 ) -> DataFrame:
     """node, doc_id, text_hash, keep_id, kept: rows grouped by shingle sets of at least the similarity.
 
-    At 0.8 fingerprints differ in up to about 14 bits, too many for shards of equal bands.  Here a shard is a key of
-    least shingle hashes; its BK-tree is searched with a wide radius, and a link is one whose sketches bear it out.
+    First most links are found cheaply: a shard is a key of least shingle hashes, and its BK-tree is searched with a wide
+    radius.  Then an exact prefix filter finds all pairs that those bounds miss, among texts which are not grouped yet.
+    Every link of either is settled on the whole shingle sets.
     """
     rows = materialize(sketches(docs, words, text, doc_id), "sketches")
     keyed = rows.select("fp", "node", F.posexplode("keys").alias("band", "bits"))
     some = keyed.groupBy("band", "bits").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     paired = materialize(keyed.join(some, ["band", "bits"]), "paired-keys")
-    with_sketch = paired.join(rows.select("node", "sketch", "parity", "n_set"), "node")
-    links = materialize(linked_cells(with_sketch, radius, tree_nodes, similarity), "similar-links")
-    found = components(links).withColumnRenamed("node", "member")
+    cut = F.substring("hashes", 1, 4 * SKETCH).alias("sketch")
+    with_sketch = paired.join(rows.select("node", cut, "parity", "n_set"), "node")
+    links = linked_cells(with_sketch, radius, tree_nodes, similarity)
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text_of(text)).alias("hash"), text_of(text).alias("text"))
+    links = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-links")
+    links = settled(links, rows, texts, words, similarity)
+    first = components(links).withColumnRenamed("node", "member")
+    sets = rows.select("node", "n_set", "hashes", "parity").join(first, F.col("node") == F.col("member"), "left")
+    sets = sets.select("node", "n_set", "hashes", "parity", F.coalesce("root", "node").alias("root"))
+    missed = settled(missed_pairs(sets, similarity), rows, texts, words, similarity)
+    found = components(links.unionByName(missed)).withColumnRenamed("node", "member")
     rooted = rows.select("node", "doc_id", "text_hash").join(found, F.col("node") == F.col("member"), "left")
     rooted = materialize(rooted.select("node", "doc_id", "text_hash", F.coalesce("root", "node").alias("root")), "grouped")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "node", "text_hash")

@@ -169,6 +169,25 @@ def test_repeated_lines_do_not_part_near_copies(spark):
     assert sorted(r.doc_id for r in simhash.drop_similar(docs).collect()) == list(range(12))
 
 
+def test_no_pair_is_lost_at_the_threshold(spark):
+    """Short pairs (4 of 5 shingles, also under a radius of nothing) and long ones at 0.8 and just below it."""
+    rng = random.Random(19)
+    word = lambda: f"{rng.choice('abcdefgh') * rng.randint(1, 4)}{rng.randint(0, 10**6)}"
+    rows, want = [], []
+    for i in range(150):
+        words = [word() for _ in range(9)]
+        rows += [(i, " ".join(words[:8])), (1000 + i, " ".join(words))]
+        want.append(i)
+    for k, n in enumerate((4000, 4001, 8000, 5000, 5001, 9000)):  # a text that is cut to 4/5 of the shingles, or to one fewer
+        words = [word() for _ in range(n + 4)]
+        least = -(-4 * n // 5)
+        rows += [(5000 + k, " ".join(words)), (6000 + k, " ".join(words[: least + 4])), (7000 + k, " ".join(words[n - least + 1 :]))]
+        want += [5000 + k, 7000 + k]
+    docs = spark.createDataFrame([(d, t, "clash") for d, t in rows], SCHEMA)
+    assert sorted(r.doc_id for r in simhash.drop_similar(docs).collect()) == sorted(want)
+    assert sorted(r.doc_id for r in simhash.drop_similar(docs, radius=0).collect()) == sorted(want)
+
+
 def test_resemblance():
     a, b = np.arange(0, 100, dtype="u4"), np.arange(20, 120, dtype="u4")
     assert simhash.resemblance(a, b) == 80 / 120
