@@ -56,7 +56,7 @@ GROUP = 3
 SKETCH = 2048
 PARITY_BITS = 1024
 BROADCAST_ROWS = 500_000
-RANK_BITS = 20
+RANK_BITS = 18
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -455,9 +455,9 @@ def prefixes(rows: DataFrame, similarity: float) -> DataFrame:
     meet in a key.  Any order is exact; by the corpus counts of buckets, common shingles come last.
     """
     spark = rows.sparkSession
-    found = shingle_counts(rows).toPandas()  # at most 2**RANK_BITS rows
-    ranks = np.zeros(1 << RANK_BITS, "u4")
-    ranks[found.bucket.to_numpy("i8")] = np.minimum(found.n.to_numpy("i8"), (1 << 32) - 1)
+    found = shingle_counts(rows).select(F.col("bucket").cast("int"), F.least("n", F.lit((1 << 32) - 1)).alias("n")).toArrow()
+    ranks = np.zeros(1 << RANK_BITS, "u4")  # at most so many rows came to the driver
+    ranks[found["bucket"].to_numpy()] = found["n"].to_numpy()
     shared = spark.sparkContext.broadcast(ranks)
 
     @frugal
