@@ -1,32 +1,45 @@
 """Personal data, and information-theoretic sanitisation of what discloses it.
 
 Base entities are e-mail addresses, IP addresses, card numbers and telephone
-numbers, found by pattern and checked.  What stands near an entity may disclose
-it as well.  From the corpus, a term t near an entity e is given the share of
-e's information that it reveals,
-
-    PMI(t, e) / IC(e) = 1 + log p(e | t) / -log p(e),
-
-where p(e | t) counts e's distinct contexts that hold t among all documents
-that hold t, and p(e) e's distinct contexts among all documents.  A context is
-the run of ``REACH`` code points on either side, whole words only; equal
-contexts, as copies of a text make them, count once, like equal texts; fewer than
-``LEAST_CONTEXTS`` are no evidence.  Near e, a term above ``REMOVE`` is removed,
-one above ``GENERALISE`` is replaced by its kind.
-
-Everything is Spark's own functions.  Positions come from the lengths of the
-matches and of what ``split`` leaves between them, in linear time; the patterns
-are written so that no text makes them backtrack far.
-
-Scale.  One pass finds entities and contexts and writes one narrow row per
-document, without its text.  Counts are of (entity, term) pairs near entities,
-combined in map tasks; the terms that reach the least evidence are then counted
-over all documents in a second pass, which meets them by a broadcast if they
-are few, else by a shuffle of counts.
+numbers, found by pattern and checked.  Other words of the corpus may disclose
+them.  Counting distinct texts, a term t tells of a protected entity e
+
+    PMI(t, e) = IC(e) - left(t, e),    IC(e) = -log2 p(e),    left(t, e) = -log2 p(e | t)
+
+bits; ``left`` is what remains unknown of e once t is seen.  p(e | t) is the
+share of the texts with t that hold e, drawn towards p(e) by ``SMOOTHING``
+texts, so that there is no least count: a term that stands in one text only
+leaves 0.58 bits.  Above the disclosure thresholds, that is with at most
+``GENERALISE`` bits left, a term is replaced by its kind; with at most
+``REMOVE``, it is removed.  It must also reveal half of IC(e), so that what
+most texts hold is not disclosed by every word.
+
+What is protected: each value; values that always stand in the same texts are
+linked and count as one entity.  Also each kind as such, in the texts that hold
+it, with more smoothing (``KIND_SMOOTHING``), as chance meets kinds more often
+than values.  Terms are runs of letters outside of addresses, in lower case,
+over whole texts.  A term that discloses a value is marked wherever it stands,
+also in texts without the value.
+
+Everything is Spark's own functions.  A running sum over an array, such as the
+places of matches, goes block by block, so that no array grows by one element
+at a time over its whole length; the patterns are written so that no text makes
+them backtrack far.
+
+Scale.  One pass finds the entities and writes a row per document; only rows
+with entities carry their text and words on.  Terms are counted over all
+distinct texts in a second pass, combined in map tasks, and only the counts
+meet the counts of (entity, term) pairs, one row a term; so do the pairs that
+remain.  Places follow from the words that were written.  A further pass looks
+for the terms that also stand in texts without the value; they are few, and
+broadcast if their number is below ``BROADCAST_ROWS``.  Copies of a text are
+told by their least row, so no join has a key with many rows of one text.
 
 Edge cases.  Null text counts as empty.  Rows that repeat a doc_id get a row
-each.  A text may hold any number of spans.  An empty table gives no rows; extra
-columns are ignored.
+each.  A text may hold any number of spans.  Spans that overlap are all
+reported; in the sanitised text the first that starts is applied, and those
+that begin inside it are part of it.  Equal texts count once.  An empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,14 +49,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewright.llm.skew import join_keyed
 from framewright.llm.text import text_of
 from framewright.storage import broadcast_within, materialize
 
-REACH = 80
-LEAST_CONTEXTS = 3
-GENERALISE = 0.85
-REMOVE = 0.95
+SMOOTHING = 0.5
+KIND_SMOOTHING = 8.0
+GENERALISE = 0.7
+REMOVE = 0.35
+LEAST_SHARE = 0.5
 BROADCAST_ROWS = 200_000
+SCAN_BLOCK = 256
+EDIT_BLOCK = 4096
 
 _PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
@@ -57,9 +74,12 @@ PATTERNS = [
 ]
 KINDS = [kind for kind, _, _ in PATTERNS]
 _SIXTEEN_DIGITS = r"[0-9](?:[\x20-]?[0-9]){15}"
-_TERM = r"(?<=\s)\p{L}++(?=[.,;:!?]*+\s)"
+_WORD = r"\p{L}++"
+_ADDRESS_OR_WORD = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++|" + _WORD
 
 _SPAN = "struct<start:int,end:int,value:string>"
+_ADDED = "struct<start:int,end:int,left:double,revealed:double>"
+_EDIT = "struct<start:int,end:int,put:string>"
 
 
 def matches(text: Column, pattern: str) -> tuple[Column, Column]:
@@ -67,19 +87,47 @@ def matches(text: Column, pattern: str) -> tuple[Column, Column]:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
 
-def positions(found: Column, between: Column) -> Column:
-    """Start, end (code points, end exclusive) and value of each match."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, also where lambda functions refer to it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(n: Column, first: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """Elements that ``step`` emits for 1 to ``n`` in turn.
+
+    ``step`` takes what is carried and the number, and gives a struct of ``at``, what is carried on, and ``out``, an
+    array of none or one element of type ``kind``.  Arrays grow within blocks only, so the cost is linear in ``n``.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(acc: Column, i: Column) -> Column:
+        made = step(acc["at"], i)
+        return F.struct(made["at"].alias("at"), F.concat(acc["out"], made["out"]).alias("out"))
+
+    def block(acc: Column, begin: Column) -> Column:
+        inside = F.aggregate(
+            F.sequence(begin, F.least(begin + SCAN_BLOCK - 1, n)), F.struct(acc["at"].alias("at"), none.alias("out")), one
+        )
+        return F.struct(inside["at"].alias("at"), F.concat(acc["out"], F.array(inside["out"])).alias("out"))
+
+    start = F.struct(first.alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    whole = F.flatten(F.aggregate(F.sequence(F.lit(1), n, F.lit(SCAN_BLOCK)), start, block)["out"])
+    return F.when(n > 0, whole).otherwise(none)
 
-    def add(acc: Column, i: Column) -> Column:
-        begin = acc["at"] + F.char_length(F.element_at(between, i))
-        value = F.element_at(found, i)
+
+def positions(found: Column, between: Column, keep: Callable[[Column], Column] | None = None) -> Column:
+    """Start, end (code points, end exclusive) and value of each match, or of those whose value ``keep`` holds for."""
+
+    def step(b: Column, at: Column, i: Column) -> Column:
+        value = F.element_at(b["found"], i)
+        begin = at + F.char_length(F.element_at(b["between"], i))
         end = begin + F.char_length(value)
-        span = F.struct(begin.alias("start"), end.alias("end"), value.alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        span = F.array(F.struct(begin.alias("start"), end.alias("end"), value.alias("value")))
+        out = span if keep is None else F.when(keep(value), span).otherwise(F.array().cast(f"array<{_SPAN}>"))
+        return F.struct(end.alias("at"), out.alias("out"))
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.size(found)), start, add)["out"]
-    return F.when(F.size(found) > 0, walked).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    both = F.struct(found.alias("found"), between.alias("between"))
+    return bound(both, lambda b: running(F.size(b["found"]), F.lit(0), lambda at, i: step(b, at, i), _SPAN))
 
 
 def valid(kind: str, value: Column) -> Column:
@@ -93,10 +141,6 @@ def valid(kind: str, value: Column) -> Column:
     }[kind]
 
 
-def _keeps(kind: str) -> Callable[[Column], Column]:
-    return lambda s: valid(kind, s["value"])
-
-
 def _of_kind(kind: str) -> Callable[[Column], Column]:
     return lambda s: F.struct(
         F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")
@@ -113,16 +157,12 @@ def with_base(rows: DataFrame) -> DataFrame:
         columns[f"m_{kind}"] = F.when(may, found)
         columns[f"g_{kind}"] = F.when(may, between)
     out = rows.withColumns(columns)
-    out = out.withColumns(
-        {
-            kind: F.when(
-                F.size(f"m_{kind}") > 0,
-                F.filter(positions(F.col(f"m_{kind}"), F.col(f"g_{kind}")), _keeps(kind)),
-            ).otherwise(F.array().cast(f"array<{_SPAN}>"))
-            for kind in KINDS
-        }
-    )
-    return out.drop(*columns)
+    none = F.array().cast(f"array<{_SPAN}>")
+    spans = {
+        kind: F.when(F.size(f"m_{kind}") > 0, positions(F.col(f"m_{kind}"), F.col(f"g_{kind}"), lambda v, k=kind: valid(k, v))).otherwise(none)
+        for kind in KINDS
+    }
+    return out.withColumns(spans).drop(*columns)
 
 
 def _named(kind: str | Column, spans: Column) -> Column:
@@ -131,143 +171,229 @@ def _named(kind: str | Column, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.concat_ws(":", label, s["start"].cast("string"), s["end"].cast("string")))
 
 
-def _side(text: Column, begin: Column, length: Column) -> Column:
-    """Terms of one side of an entity, with their places in the text."""
-    inside = F.substring(text, begin + 1, length)
-    found = positions(*matches(inside, _TERM))
-    return F.transform(
-        found,
-        lambda s: F.struct(
-            (s["start"] + begin).alias("start"), (s["end"] + begin).alias("end"), F.lower(s["value"]).alias("value")
-        ),
+def _words(text: Column) -> Column:
+    """The runs of letters outside of addresses, and the addresses."""
+    return F.when(F.contains(text, F.lit("@")), F.regexp_extract_all(text, F.lit(_ADDRESS_OR_WORD), F.lit(0))).otherwise(
+        F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
     )
 
 
-def contexts(text: Column, entities: Column) -> Column:
-    """For each entity (kind, start, end, value): its name, the hash of its context, and the terms there."""
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a text; addresses count as terms that no row of ``found`` has."""
+    words = _words(text)
+    return F.when(F.size(words) > 0, F.array_distinct(F.split(F.lower(F.array_join(words, " ")), " ")))
 
-    def around(e: Column) -> Column:
-        before = F.greatest(e["start"] - REACH, F.lit(0))
-        left, right = _side(text, before, e["start"] - before), _side(text, e["end"], F.lit(REACH))
-        terms = F.concat(left, right)
-        words = F.array_join(F.transform(terms, lambda s: s["value"]), " ")
-        name = F.concat_ws(":", e["kind"], F.lower(e["value"]))
-        return F.struct(name.alias("entity"), F.xxhash64(words).alias("context"), terms.alias("terms"))
 
-    return F.transform(entities, around)
+def term_spans(text: Column) -> Column:
+    """Start, end and value (in lower case) of each term."""
+    between = F.when(F.contains(text, F.lit("@")), F.split(text, _ADDRESS_OR_WORD, -1)).otherwise(F.split(text, _WORD, -1))
+    found = positions(_words(text), between, lambda v: ~F.contains(v, F.lit("@")))
+    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value")))
 
 
-def _entities() -> Column:
-    return F.concat(*[F.transform(F.col(kind), _of_kind(kind)) for kind in KINDS])
+def _rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """rid, doc_id and text; a scan of the same files numbers its rows alike each time."""
+    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
 
 
 def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """rid, doc_id, text_hash, n_<kind>, base (kind:start:end in order) and contexts of every row, written once."""
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), text_of(text).alias("text")
-    )
-    based = with_base(rows).withColumn("entities", _entities())
-    near = F.when(F.size("entities") > 0, contexts(F.col("text"), F.col("entities")))
+    """One row per row of ``docs``, written once: rid, doc_id, text_hash, text_sha256, n_<kind>, base (spans in order).
+
+    Rows that have entities also have their names (kind and value), the kinds, the text and its terms' spans.
+    """
+    based = with_base(_rows(docs, text, doc_id)).withColumn("base", F.concat(*[F.transform(F.col(k), _of_kind(k)) for k in KINDS]))
+    some = F.size("base") > 0
+    names = F.transform("base", lambda e: F.concat_ws(":", e["kind"], F.lower(e["value"])))
     return materialize(
         based.select(
             "rid",
             "doc_id",
             F.xxhash64("text").alias("text_hash"),
+            F.sha2("text", 256).alias("text_sha256"),
             *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in KINDS],
-            F.concat(*[_named(kind, F.col(kind)) for kind in KINDS]).alias("base"),
-            near.alias("contexts"),
+            F.transform("base", lambda e: F.struct(e["kind"].alias("kind"), e["start"].alias("start"), e["end"].alias("end"))).alias("base"),
+            F.when(some, F.array_distinct(names)).alias("names"),
+            F.when(some, F.array_compact(F.array(*[F.when(F.size(k) > 0, F.lit(k)) for k in KINDS]))).alias("kinds"),
+            F.when(some, F.col("text")).alias("text"),
+            F.when(some, term_spans(F.col("text"))).alias("terms"),
         ),
         "entities",
     )
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
-    """entity, term, revealed: pairs whose share of revealed information is at least GENERALISE."""
-    each = found.filter(F.size("contexts") > 0).select(F.explode("contexts").alias("c")).select("c.*")
-    held = each.select("entity", "context", F.explode(F.array_distinct(F.transform("terms", lambda s: s["value"]))).alias("term"))
-    pairs = held.distinct().groupBy("entity", "term").agg(F.count("*").alias("both"))
-    pairs = materialize(pairs.filter(F.col("both") >= LEAST_CONTEXTS), "near-pairs")
-    if pairs.isEmpty():
-        return pairs.select("entity", "term", F.lit(0.0).alias("revealed"))
-    terms = broadcast_within(materialize(pairs.select("term").distinct(), "near-terms"), BROADCAST_ROWS)
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text_of(text)), F.lit(r"\p{L}++"), F.lit(0)))
-    in_texts = docs.select(F.xxhash64(text_of(text)).alias("text_hash"), F.explode(words).alias("term"))
-    in_texts = in_texts.join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("texts"))
-    of_entity = each.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("own"))
-    total = found.select("text_hash").distinct().count()
-    log_share = F.log(F.least(F.lit(1.0), F.col("both") / F.greatest("texts", "both")))
-    information = -F.log(F.col("own") / F.lit(total))
-    revealed = F.when(information > 0, 1 + log_share / information).otherwise(0.0)
-    scored = pairs.join(in_texts, "term").join(of_entity, "entity").select("entity", "term", revealed.alias("revealed"))
-    return materialize(scored.filter(F.col("revealed") >= GENERALISE), "disclosing-terms")
-
-
-def _added(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """rid and its disclosing spans: start, end, revealed; each place once, with the most it reveals."""
-    each = found.filter(F.size("contexts") > 0).select("rid", F.explode("contexts").alias("c"))
-    each = each.select("rid", "c.entity", F.explode("c.terms").alias("t"))
-    each = each.select("rid", "entity", F.col("t.start"), F.col("t.end"), F.col("t.value").alias("term"))
-    hit = each.join(terms, ["entity", "term"]).groupBy("rid", "start", "end").agg(F.max("revealed").alias("revealed"))
-    return hit.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "revealed"))).alias("added"))
+def linked(found: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with entities (rid, head, terms, units), and the units (unit, own, kind).
+
+    A unit is what is protected: values that stand in the same distinct texts, or a kind.  ``heads`` has the rid of the
+    first row of each text; ``own`` counts the distinct texts that hold the unit.
+    """
+    with_some = found.filter(F.col("names").isNotNull())
+    first = heads.select("rid", F.lit(True).alias("head"))
+    held = with_some.select("rid", "text_hash", "names", "kinds").join(first, "rid", "left").withColumn("head", F.coalesce("head", F.lit(False)))
+    held = materialize(held, "held")
+    each = held.select("rid", "text_hash", "head", F.explode("names").alias("name"))
+    texts = [F.bit_xor(F.when(F.col("head"), F.xxhash64(F.lit(k), F.col("text_hash")))) for k in (1, 2)]
+    by_name = each.groupBy("name").agg(F.count_if("head").alias("own"), F.count("*").alias("n"), F.xxhash64(F.count_if("head"), *texts).alias("unit"))
+    by_name = materialize(by_name, "units")
+    of_kind = held.filter("head").select(F.explode("kinds").alias("kind")).groupBy("kind").agg(F.count("*").alias("own"))
+    units = by_name.groupBy("unit").agg(F.max("own").alias("own"), F.lit(False).alias("kind"))
+    units = units.unionByName(of_kind.select(F.xxhash64("kind").alias("unit"), "own", F.lit(True).alias("kind")))
+    named = join_keyed(each.select("rid", "name"), by_name.select("name", "unit", "n"), "name")
+    of_row = named.select("rid", "unit").union(held.select("rid", F.explode("kinds").alias("kind")).select("rid", F.xxhash64("kind").alias("unit")))
+    of_row = of_row.groupBy("rid").agg(F.collect_set("unit").alias("units"))  # at most the entities of a text
+    rows = with_some.select("rid", "terms").join(held.select("rid", "head"), "rid").join(of_row, "rid")
+    return materialize(rows, "linked"), materialize(units, "protected")
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The rows of ``linked``, and unit, term, left, revealed, elsewhere of the pairs beyond the disclosure threshold.
+
+    ``elsewhere``: the term also stands in texts without the value.
+    """
+    heads = materialize(found.groupBy("text_hash").agg(F.min("rid").alias("rid")).select("rid"), "first-rows")
+    total = heads.count()
+    repeats = materialize(found.select("rid").join(heads, "rid", "left_anti"), "repeats")
+    rows, units = linked(found, heads)
+    words = rows.filter("head").select("units", F.array_distinct(F.transform("terms", lambda s: s["value"])).alias("words"))
+    pairs = words.select(F.explode("units").alias("unit"), "words").select("unit", F.explode("words").alias("term"))
+    pairs = materialize(pairs.groupBy("unit", "term").agg(F.count("*").alias("both")), "pairs")
+    most = pairs.groupBy("term").agg(F.max("both").alias("most"))
+    once = _rows(docs, text, doc_id).join(broadcast_within(repeats, BROADCAST_ROWS), "rid", "left_anti")
+    counts = once.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("texts"))
+    bound = (F.col("most") + SMOOTHING) / (F.col("texts") + SMOOTHING) >= 2**-GENERALISE  # no unit can leave less
+    few = materialize(most.join(counts, "term").filter(bound).select("term", "texts"), "candidate-terms")
+    met = pairs.join(few, "term").join(units, "unit")
+    prior = F.col("own") / F.lit(float(max(total, 1)))
+    pseudo = F.when(F.col("kind"), KIND_SMOOTHING).otherwise(SMOOTHING)
+    left = -F.log2((F.col("both") + pseudo * prior) / (F.col("texts") + pseudo))
+    content = -F.log2(prior)
+    revealed = F.when(content > 0, 1 - left / content).otherwise(0.0)
+    scored = met.select(
+        "unit", "term", left.alias("left"), revealed.alias("revealed"), (~F.col("kind") & (F.col("texts") > F.col("both"))).alias("elsewhere")
+    )
+    return rows, materialize(scored.filter((F.col("left") <= GENERALISE) & (F.col("revealed") >= LEAST_SHARE)), "disclosing-terms")
+
+
+def added_spans(docs: DataFrame, found: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """rid, added (start, end, left, revealed of its disclosing terms, in order), text (where ``found`` has none)."""
+    rows, terms = disclosing_terms(docs, found, text, doc_id)
+    inside = rows.select("rid", "terms", F.explode("units").alias("unit")).select("rid", "unit", F.explode("terms").alias("t"))
+    inside = inside.select("rid", "unit", F.col("t.start"), F.col("t.end"), F.col("t.value").alias("term"))
+    spans = inside.join(broadcast_within(terms, BROADCAST_ROWS), ["unit", "term"]).select("rid", "start", "end", "left", "revealed")
+    away = terms.filter("elsewhere").groupBy("term").agg(F.min("left").alias("left"), F.max("revealed").alias("revealed"))
+    away = materialize(away, "terms-elsewhere")
+    whole = None
+    if not away.isEmpty():
+        away = broadcast_within(away, BROADCAST_ROWS)
+        each = _rows(docs, text, doc_id).select("rid", F.explode(terms_of(F.col("text"))).alias("term")).join(away.select("term"), "term")
+        rids = broadcast_within(materialize(each.select("rid").distinct(), "rows-elsewhere"), BROADCAST_ROWS)
+        there = _rows(docs, text, doc_id).join(rids, "rid", "left_semi")
+        whole = materialize(there.select("rid", "text", term_spans(F.col("text")).alias("terms")), "texts-elsewhere")
+        outside = whole.select("rid", F.explode("terms").alias("t")).select("rid", F.col("t.start"), F.col("t.end"), F.col("t.value").alias("term"))
+        spans = spans.unionByName(outside.join(away, "term").select("rid", "start", "end", "left", "revealed"))
+    each = spans.groupBy("rid", "start", "end").agg(F.min("left").alias("left"), F.max("revealed").alias("revealed"))
+    out = each.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "left", "revealed"))).alias("added"))
+    texts = F.lit(None).cast("string").alias("other")
+    out = out.select("rid", "added", texts) if whole is None else out.join(whole.select("rid", F.col("text").alias("other")), "rid", "left")
+    return materialize(out, "added-spans")
+
+
+def _edited(text: Column, edits: Column) -> Column:
+    """``text`` with each edit's span replaced by what it puts; edits are in order and do not overlap.
+
+    The text is cut into blocks, so that no edit searches the text from its beginning; an edit over a border is cut too.
+    """
+
+    def cut(e: Column) -> Column:
+        first = F.floor(e["start"] / EDIT_BLOCK).cast("int")
+        return F.transform(
+            F.sequence(first, F.floor((e["end"] - 1) / EDIT_BLOCK).cast("int")),
+            lambda b: F.struct(
+                b.alias("block"),
+                F.greatest(e["start"] - b * EDIT_BLOCK, F.lit(0)).alias("start"),
+                F.least(e["end"] - b * EDIT_BLOCK, F.lit(EDIT_BLOCK)).alias("end"),
+                F.when(b == first, e["put"]).otherwise("").alias("put"),
+            ),
+        )
+
+    def put(inside: Column, acc: Column, p: Column) -> Column:
+        kept = F.substring(inside, acc["at"] + 1, p["start"] - acc["at"])
+        return F.struct(p["end"].alias("at"), F.concat(acc["out"], kept, p["put"]).alias("out"))
+
+    def of_block(whole: Column, b: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+        here = F.filter(whole["parts"], lambda p: p["block"] == b)
+        return bound(
+            F.substring(whole["text"], b * EDIT_BLOCK + 1, F.lit(EDIT_BLOCK)),
+            lambda inside: bound(
+                F.aggregate(here, begin, lambda acc, p: put(inside, acc, p)),
+                lambda done: F.concat(done["out"], F.substring(inside, done["at"] + 1, F.lit(EDIT_BLOCK))),
+            ),
+        )
+
+    last = F.floor(F.greatest(F.char_length(text) - 1, F.lit(0)) / EDIT_BLOCK).cast("int")
+    value = F.struct(text.alias("text"), F.flatten(F.transform(edits, cut)).alias("parts"))
+    return bound(value, lambda whole: F.array_join(F.transform(F.sequence(F.lit(0), last), lambda b: of_block(whole, b)), ""))
+
+
+def _edits(base: Column, added: Column) -> Column:
+    """What is put for each span: in order, less those that begin inside one before."""
+    of_base = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("put")))
+    of_term = F.transform(
+        added, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["left"] <= REMOVE, "").otherwise("[TERM]").alias("put"))
+    )
+
+    def step(ordered: Column, at: Column, i: Column) -> Column:
+        e = F.element_at(ordered, i)
+        taken = e["start"] >= at
+        return F.struct(F.when(taken, e["end"]).otherwise(at).alias("at"), F.when(taken, F.array(e)).otherwise(F.array().cast(f"array<{_EDIT}>")).alias("out"))
+
+    both = F.sort_array(F.concat(of_base, of_term))
+    return bound(both, lambda o: running(F.size(o), F.lit(0), lambda at, i: step(o, at, i), _EDIT))
+
+
+def _sanitised(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """The rows of ``find`` with added spans and ``clean``, the sanitised text of those that it changes."""
+    found = find(docs, text, doc_id)
+    added = added_spans(docs, found, text, doc_id)
+    rows = found.drop("names", "kinds", "terms").join(added, "rid", "left")
+    rows = rows.withColumns({"added": F.coalesce("added", F.array().cast(f"array<{_ADDED}>")), "text": F.coalesce("text", "other")})
+    rows = rows.withColumn("edits", F.when(F.col("text").isNotNull(), _edits(F.col("base"), F.col("added"))))
+    return rows.withColumn("clean", F.when(F.size("edits") > 0, _edited(F.col("text"), F.col("edits"))))
+
+
+def _action(s: Column) -> Column:
+    return F.concat_ws(
+        ":",
+        s["start"].cast("string"),
+        s["end"].cast("string"),
+        F.when(s["left"] <= REMOVE, "remove").otherwise("generalise"),
+        F.format_string("%.3f", s["revealed"]),
+    )
 
 
 def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, n_term, spans, terms of every row.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, n_term, spans, actions, sanitised_sha256 of every row.
 
-    ``spans`` lists base spans, then the method's as kind ``term``.
+    ``spans`` lists base spans, then the method's as kind ``term``; ``actions`` lists start, end, what is done and the
+    share of information that the term reveals.
     """
-    found = find(docs, text, doc_id)
-    terms = disclosing_terms(docs, found, text)
-    none = F.array().cast("array<struct<start:int,end:int,revealed:double>>")
-    if terms.isEmpty():
-        joined = found.withColumn("added", none)
-    else:
-        joined = found.join(_added(found, terms), "rid", "left").withColumn("added", F.coalesce("added", none))
-    return joined.select(
+    rows = _sanitised(docs, text, doc_id)
+    base = F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    return rows.select(
         "doc_id",
         *[f"n_{kind}" for kind in KINDS],
-        F.sha2(F.array_join("base", ","), 256).alias("base_sha256"),
+        F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
         F.size("added").cast("long").alias("n_term"),
-        F.array_join(F.concat("base", _named("term", F.col("added"))), ",").alias("spans"),
+        F.array_join(F.concat(base, _named("term", F.col("added"))), ",").alias("spans"),
+        F.array_join(F.transform("added", _action), ",").alias("actions"),
+        F.when(F.col("clean").isNull(), F.col("text_sha256")).otherwise(F.sha2("clean", 256)).alias("sanitised_sha256"),
     )
 
 
 def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and sanitised text: entities and generalised terms as their kind in brackets, removed terms as nothing.
-
-    Where spans overlap, the first that starts is applied and those that begin inside it are part of it.
-    """
-    found = find(docs, text, doc_id)
-    terms = disclosing_terms(docs, found, text)
-    base = F.transform(
-        "base",
-        lambda s: F.struct(
-            F.element_at(F.split(s, ":"), 2).cast("int").alias("start"),
-            F.element_at(F.split(s, ":"), 3).cast("int").alias("end"),
-            F.concat(F.lit("["), F.upper(F.element_at(F.split(s, ":"), 1)), F.lit("]")).alias("put"),
-        ),
-    )
-    added = F.transform(
-        "added",
-        lambda s: F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), F.when(s["revealed"] >= REMOVE, "").otherwise("[TERM]").alias("put")
-        ),
-    )
-    edits = found.join(_added(found, terms), "rid", "left")
-    edits = edits.select(
-        F.col("doc_id").alias("__id"),
-        F.col("text_hash").alias("__hash"),
-        F.sort_array(F.concat(base, F.coalesce(added, F.array().cast("array<struct<start:int,end:int,put:string>>")))).alias("edits"),
-    ).filter(F.size("edits") > 0).dropDuplicates(["__id", "__hash"])
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
-    met = rows.join(edits, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
-
-    def apply(acc: Column, e: Column) -> Column:
-        kept = F.substring(F.col("text"), acc["at"] + 1, e["start"] - acc["at"])
-        done = F.struct(e["end"].alias("at"), F.concat(acc["out"], F.array(kept, e["put"])).alias("out"))
-        return F.when(e["start"] >= acc["at"], done).otherwise(acc)
-
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    ended = F.aggregate("edits", begin, apply)
-    whole = F.concat(F.array_join(ended["out"], ""), F.substring(F.col("text"), ended["at"] + 1, F.char_length("text")))
-    return met.select("doc_id", F.coalesce(whole, F.col("text")).alias("text"))
+    """doc_id and sanitised text: entities and generalised terms as their kind in brackets, removed terms as nothing."""
+    changed = _sanitised(docs, text, doc_id).filter(F.col("clean").isNotNull()).select("rid", "clean")
+    changed = broadcast_within(materialize(changed, "changed-texts"), BROADCAST_ROWS // 100)
+    rows = _rows(docs, text, doc_id).join(changed, "rid", "left")
+    return rows.select("doc_id", F.coalesce("clean", "text").alias("text"))

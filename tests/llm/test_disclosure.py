@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import time
 
 import pytest
 
@@ -92,20 +94,112 @@ def test_terms_that_disclose_an_entity(corpus):
         assert out[i].n_term == len(words)
 
 
-def test_copies_alone_are_no_evidence(spark):
-    rng = random.Random(3)
-    texts = ["some rare Quillfeather words before a.b@c.de and words after it"] * 9 + [f"other text {i} {rng.random()}" for i in range(30)]
+def left_over(texts):
+    """What brute force finds: for each text its disclosing terms with the bits they leave."""
+    word = re.compile(r"[^\W\d_]+")
+
+    def terms(t):
+        return [(m.start(), m.end(), m.group().lower()) for m in word.finditer(RULES["email"].sub(lambda m: "0" * len(m.group()), t))]
+
+    distinct = sorted(set(texts))
+    n = len(distinct)
+    held = {t: {f"{k}:{t[a:b].lower()}" for k, spans in base(t).items() for a, b in spans} for t in distinct}
+    words = {t: {w for _, _, w in terms(t)} for t in distinct}
+    with_term: dict = {}
+    for t in distinct:
+        for w in words[t]:
+            with_term.setdefault(w, set()).add(t)
+    sets = {frozenset(t for t in distinct if e in held[t]) for e in set().union(*held.values())}
+    units = [(u, False) for u in sets] + [
+        (frozenset(t for t in distinct if any(e.startswith(k + ":") for e in held[t])), True) for k in RULES
+    ]
+    found: dict = {t: {} for t in distinct}
+    for unit, kind in units:
+        if not unit:
+            continue
+        pseudo, prior = (8.0 if kind else 0.5), len(unit) / n
+        for w in set().union(*(words[t] for t in unit)):
+            both = len(unit & with_term[w])
+            left = -math.log2((both + pseudo * prior) / (len(with_term[w]) + pseudo))
+            content = -math.log2(prior)
+            if left <= 0.7 and content > 0 and 1 - left / content >= 0.5:
+                for t in unit if kind else distinct:
+                    if w in words[t]:
+                        found[t][w] = min(left, found[t].get(w, 9.0))
+    return {t: [(a, b, "remove" if found[t][w] <= 0.35 else "generalise") for a, b, w in terms(t) if w in found[t]] for t in distinct}
+
+
+def made_texts(rng):
+    """Values in several texts, linked values, terms of every frequency, a term that also stands where the value does not."""
+    filler = [f"w{c}x{d}".replace("w", "stone").replace("x", "r") for c in "abcdefgh" for d in "ijklmnopqrst"]
+    texts = []
+    for i in range(120):
+        words = [rng.choice(filler) for _ in range(25)]
+        if i % 6 == 0:
+            words.insert(3, f"call +1 555 000 {1000 + i % 5}")
+        if i % 10 == 3:
+            words.insert(7, "Signature (Harbour-Office): ann.lee@mail.example.org, 10.20.30.40")
+        if i % 10 == 4 and i < 20:
+            words.insert(2, "harbour office")
+        if i % 17 == 0:
+            words.insert(9, f"unique{'abcdefghij'[i // 17]} x{i}@y.com")
+        texts.append(" ".join(words))
+    return texts + texts[:30] + ["", "Only Words", "ann.lee@mail.example.org"]
+
+
+def test_added_spans_against_brute_force(spark):
+    texts = made_texts(random.Random(11))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert all(r.n_term == 0 for r in disclosure.personal_data(docs).collect())
+    want = left_over(texts)
+    out = disclosure.personal_data(docs).collect()
+    assert sum(r.n_term for r in out) > 50
+    for r in out:
+        got = [tuple(s.split(":")[:3]) for s in r.actions.split(",") if s]
+        assert got == [(str(a), str(b), c) for a, b, c in want[texts[r.doc_id]]], texts[r.doc_id]
+        assert r.n_term == len(got)
+    actions = {a for spans in want.values() for _, _, a in spans}
+    assert actions == {"remove", "generalise"}
+
+
+def test_copies_count_once(spark):
+    rng = random.Random(3)
+    one = "some rare Quillfeather words before a.b@c.de and words after it"
+    others = [f"other text {i} {rng.random()}" for i in range(30)]
+    out = []
+    for copies in (1, 9):
+        docs = spark.createDataFrame(list(enumerate([one] * copies + others)), "doc_id long, text string")
+        out.append({(r.spans, r.actions) for r in disclosure.personal_data(docs).collect() if r.n_email})
+    assert out[0] == out[1] and "remove" not in out[0].pop()[1]
 
 
 def test_sanitised_texts(corpus, spark):
     texts, docs = corpus
+    hashes = {r.doc_id: r.sanitised_sha256 for r in disclosure.personal_data(docs).collect()}
     for r in disclosure.sanitise(docs).collect():
         want = texts[r.doc_id].replace("k.lee@mail.example.org", "[EMAIL]").replace("Wolfsberg", "")
         assert r.text == want
+        assert hashes[r.doc_id] == hashlib.sha256(want.encode()).hexdigest()
     few = spark.createDataFrame([(1, "é a@b.co, 4111 1111 1111 1111!", "x", 1), (2, None, "x", 1)], SCHEMA)
-    assert {r.doc_id: r.text for r in disclosure.sanitise(few).collect()} == {1: "é [EMAIL], [CARD]!", 2: ""}
+    assert {r.doc_id: r.text for r in disclosure.sanitise(few).collect()} == {1: " [EMAIL], [CARD]!", 2: ""}
+
+
+def test_many_matches_in_one_text(spark):
+    """50,000 numbers and as many addresses: positions and edits take time in proportion."""
+    numbers = " ".join(["4111 1111 1111 1111.", *["77."] * 50_000])
+    addresses = " ".join(f"a{k}@b.co" for k in range(50_000))
+    docs = spark.createDataFrame([(1, numbers), (2, addresses), (3, "é")], "doc_id long, text string")
+    began = time.monotonic()
+    out = {r.doc_id: r for r in disclosure.personal_data(docs).collect()}
+    assert time.monotonic() - began < 60
+    assert out[1].n_card == 1 and out[2].n_email == 50_000
+    want = " ".join(["[EMAIL]"] * 50_000)
+    assert out[2].sanitised_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_terms_are_found_in_the_test_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = disclosure.personal_data(docs).toPandas()
+    assert rows.n_term.sum() > 0 and rows.n_term[rows[["n_email", "n_ip", "n_card", "n_phone"]].sum(axis=1) > 0].sum() > 0
 
 
 def test_empty_table(spark):
