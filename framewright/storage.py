@@ -11,16 +11,20 @@ import atexit
 import os
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
+_path_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``, else a local one."""
+    """The shared folder named by ``spark.checkpoint.dir``, else, on one machine, a local one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (configured or f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}").rstrip("/")
 
 
@@ -35,7 +39,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _path_of[back] = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``df``, which no other table may still need."""
+    path = _path_of.pop(df, None)
+    if path is not None:
+        delete_path(df.sparkSession, path)
+        _written.remove((df.sparkSession, path))
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -50,7 +64,7 @@ def _clean() -> None:
         try:
             delete_path(spark, path)
         except Exception:  # noqa: BLE001, PERF203  the JVM may be gone already; nothing is lost but disk
-            return
+            continue
 
 
 def broadcast_within(df: DataFrame, rows: int) -> DataFrame:
