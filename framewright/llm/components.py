@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.storage import materialize
+from framewright.llm.skew import join_keyed
+from framewright.storage import discard, materialize
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -14,23 +15,28 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Each round points every node, by its neighbours, at the smallest node it
     sees, in two steps (larger neighbours, then smaller ones), so paths shrink
     by about half a round.  A round shuffles the edges twice, keeps one row per
-    distinct edge and is written, so a lost executor costs one round at most.
-    Hubs are grouped by minimum only: no list of neighbours is ever collected.
+    distinct edge and is written, so a lost executor costs one round at most; what
+    the round before wrote is deleted.
+    Hubs are grouped by minimum only: no list of neighbours is ever collected, and
+    a hub's minimum reaches its neighbours by a broadcast (``join_keyed``).
     """
     links = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     links = materialize(links, "links")
     for _ in range(most_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        least = materialize(least, "least")
+        large = join_keyed(both.filter("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.filter("u <> v").distinct(), "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        small = join_keyed(large, least, "u")
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = materialize(
             small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star"
         )
         same = after.count() == links.count() and after.join(links, ["u", "v"], "left_anti").isEmpty()
+        for done in (links, large):
+            discard(done)
         links = after
         if same:
             break

@@ -286,9 +286,10 @@ def added_spans(docs: DataFrame, found: DataFrame, text: str = "text", doc_id: s
     if not away.isEmpty():
         away = broadcast_within(away, BROADCAST_ROWS)
         each = _rows(docs, text, doc_id).select("rid", F.explode(terms_of(F.col("text"))).alias("term")).join(away.select("term"), "term")
-        rids = broadcast_within(materialize(each.select("rid").distinct(), "rows-elsewhere"), BROADCAST_ROWS)
-        there = _rows(docs, text, doc_id).join(rids, "rid", "left_semi")
-        whole = materialize(there.select("rid", "text", term_spans(F.col("text")).alias("terms")), "texts-elsewhere")
+        hits = materialize(each.groupBy("rid").agg(F.collect_list("term").alias("hits")), "rows-elsewhere")  # each a distinct term of a text
+        there = _rows(docs, text, doc_id).join(broadcast_within(hits, BROADCAST_ROWS), "rid")
+        of_hits = F.filter(term_spans(F.col("text")), lambda s: F.array_contains("hits", s["value"]))
+        whole = materialize(there.select("rid", "text", of_hits.alias("terms")), "texts-elsewhere")
         outside = whole.select("rid", F.explode("terms").alias("t")).select("rid", F.col("t.start"), F.col("t.end"), F.col("t.value").alias("term"))
         spans = spans.unionByName(outside.join(away, "term").select("rid", "start", "end", "left", "revealed"))
     each = spans.groupBy("rid", "start", "end").agg(F.min("left").alias("left"), F.max("revealed").alias("revealed"))

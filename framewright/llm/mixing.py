@@ -4,40 +4,49 @@ Tokens (words) are summed by cell: source, language and topic.  The weights of
 the cells are raked: scaled to meet the targets of one marginal after the
 other, round after round, until the largest change is below a tolerance.  A
 cell's factor, its raked weight over its tokens, times a common scale is the
-chance that each of its documents is drawn; the scale is the largest at which
-the drawn tokens meet the asked share, chances above 1 being 1.  A document is
-drawn if a hash of its id and text, taken as a number from 0 to 1, is below
-its chance, so the draw is repeatable and needs no order.
+chance that each of its documents is drawn.  The scale is the largest at which
+no chance passes 1 and no more than the asked share of all tokens is expected,
+so the drawn tokens have the raked margins in expectation.  A document is drawn
+if a hash of its id and text, taken as a number from 0 to 1, is below its
+chance, so the draw is repeatable and needs no order.
 
-The topic of a text is the group of its length and its share of long words,
-the two measures that need no model: short or long, plain or dense.
+The topic is a column of the documents, if one is named; else the group of
+length and mean word length, the two measures that need no model: short, middle
+or long, plain or dense.
 
 Targets default to tempered shares: the share to the power ``TEMPER``, made to
-sum to one, which lifts what is rare.
+sum to one, which lifts what is rare.  What is lifted bounds what can be drawn:
+a cell that is to have twice its share leaves half of the tokens of the others.
 
 Scale.  One pass sums the cells, in map tasks first; raking works on cells as
-DataFrames, with window sums over each marginal, and is written every round.
+DataFrames, with window sums over each marginal, ``FUSED`` rounds a job.
 Drawing is a second pass that meets the cells by a broadcast if they are few
 (the number of sources is checked), else by a join that skew handling may split.
 
 Edge cases.  Null text counts as empty and has no tokens; null source or
 language is a value of its own.  Cells without tokens have the chance 1.  A
-target value without documents is left out and the others scaled up.  Rows that
-repeat a doc_id and text are drawn together.  An empty table gives no rows;
-columns of ``docs`` are kept.
+target value without documents is left out and the others scaled up.  Targets
+that no weights of the cells there are can meet together end with the last
+marginal met and the others as near as the rounds come; raking that still moves
+after ``ROUNDS`` rounds says so in a warning.  Rows that repeat a doc_id and
+text are drawn together.  An empty table gives no rows; columns of ``docs`` are
+kept whatever their names.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.text import text_of
-from framewright.storage import broadcast_within, materialize
+from framewright.llm.text import text_of, unused
+from framewright.storage import broadcast_within, discard, materialize
 
-TEMPER = 0.7
+TEMPER = 0.9
 KEEP = 0.8
-ROUNDS = 30
+ROUNDS = 200
+FUSED = 4
 TOLERANCE = 1e-6
 SEED = 17
 BROADCAST_ROWS = 100_000
@@ -56,24 +65,21 @@ def topic(n_tokens: Column, text: Column) -> Column:
     return F.concat_ws("-", length, F.when(dense, "dense").otherwise("plain"))
 
 
-def _keyed(docs: DataFrame, text: str, source: str, language: str) -> DataFrame:
-    """``docs`` with struct __mix: source, language, topic, tokens."""
+def _cell(text: str, source: str, language: str, given: str | None) -> Column:
+    """A struct of source, language, topic and tokens."""
     n = token_count(text_of(text))
-    out = docs.withColumn("__tokens", n)
-    return out.withColumn(
-        "__mix",
-        F.struct(
-            F.coalesce(F.col(source).cast("string"), F.lit("\u0000null")).alias("source"),
-            F.coalesce(F.col(language).cast("string"), F.lit("\u0000null")).alias("language"),
-            topic(F.col("__tokens"), text_of(text)).alias("topic"),
-            F.col("__tokens").alias("tokens"),
-        ),
-    ).drop("__tokens")
-
-
-def cells(docs: DataFrame, text: str = "text", source: str = "source", language: str = "lang") -> DataFrame:
+    named = topic(n, text_of(text)) if given is None else F.coalesce(F.col(given).cast("string"), F.lit("\u0000null"))
+    return F.struct(
+        F.coalesce(F.col(source).cast("string"), F.lit("\u0000null")).alias("source"),
+        F.coalesce(F.col(language).cast("string"), F.lit("\u0000null")).alias("language"),
+        named.alias("topic"),
+        n.alias("tokens"),
+    )
+
+
+def cells(docs: DataFrame, text: str = "text", source: str = "source", language: str = "lang", topic: str | None = None) -> DataFrame:
     """source, language, topic, tokens: the sums of all documents by cell."""
-    summed = _keyed(docs, text, source, language).select("__mix.*").groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"))
+    summed = docs.select(_cell(text, source, language, topic).alias("cell")).select("cell.*").groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"))
     return materialize(summed, "cells")
 
 
@@ -92,39 +98,33 @@ def rake(found: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
         named = wanted.select(F.col("value").alias(margin), F.col("target").alias(f"target_{margin}"))
         now = now.join(named, margin, "left").withColumn(f"target_{margin}", F.coalesce(f"target_{margin}", F.lit(0.0)))
     now = materialize(now, "rake")
-    for _ in range(rounds):
-        after = now.withColumn("was", F.col("weight"))
-        for margin in targets:
-            has = F.sum("weight").over(Window.partitionBy(margin))
-            after = after.withColumn("weight", F.when(has > 0, F.col("weight") * F.col(f"target_{margin}") / has).otherwise(0.0))
-        after = materialize(after, "rake")
-        moved = after.agg(F.max(F.abs(F.col("weight") - F.col("was")))).first()[0]
-        now = after.drop("was")
+    moved = None
+    for k in range(0, rounds, FUSED):
+        after = now
+        for _ in range(min(FUSED, rounds - k)):
+            after = after.withColumn("was", F.col("weight"))
+            for margin in targets:
+                has = F.sum("weight").over(Window.partitionBy(margin))
+                after = after.withColumn("weight", F.when(has > 0, F.col("weight") * F.col(f"target_{margin}") / has).otherwise(0.0))
+        before, now = now, materialize(after, "rake")
+        discard(before)
+        moved = now.agg(F.max(F.abs(F.col("weight") - F.col("was")))).first()[0]
+        now = now.drop("was")
         if moved is None or moved < tolerance:
             break
+    else:
+        warnings.warn(f"raking still moves weights by {moved} after {rounds} rounds: the targets can't be met together", stacklevel=2)
     total = now.agg(F.sum("weight")).first()[0] or 1.0  # targets of absent values leave less than one
     return now.select(*MARGINS, "tokens", (F.col("weight") / total).alias("weight"))
 
 
 def chances(raked: DataFrame, keep: float = KEEP) -> DataFrame:
-    """``raked`` with chance: min(1, scale x weight / tokens), the scale such that ``keep`` of all tokens are expected.
-
-    With cells in order of their factor, those above a place are taken whole; the scale follows for each place.
-    """
-    factor = raked.withColumn("factor", F.col("weight") / F.col("tokens"))
-    total = factor.agg(F.sum("tokens")).first()[0]
-    if not total:
-        return factor.withColumn("chance", F.lit(1.0)).select(*MARGINS, "tokens", "weight", "chance")
-    low, high = 0.0, float(total) * 1e9
-    lightest = factor.filter("factor > 0").agg(F.min("factor")).first()[0]
-    high = 1.0 / lightest if lightest else high
-    for _ in range(6):  # each pass halves the bracket 16 times over
-        steps = [low + (high - low) * k / 64 for k in range(65)]
-        sums = factor.agg(*[F.sum(F.least(F.lit(1.0), F.col("factor") * s) * F.col("tokens")).alias(f"s{k}") for k, s in enumerate(steps)])
-        got = sums.first()
-        k = max((i for i in range(65) if got[i] <= keep * total), default=0)
-        low, high = steps[k], steps[min(k + 1, 64)]
-    return factor.withColumn("chance", F.least(F.lit(1.0), F.col("factor") * low)).select(*MARGINS, "tokens", "weight", "chance")
+    """``raked`` with chance: scale x weight / tokens, by the largest scale at which no chance passes 1 and at most
+    ``keep`` of all tokens are expected."""
+    factor = F.col("weight") / F.col("tokens")
+    most, total = raked.agg(F.max(factor), F.sum("tokens")).first()
+    scale = min(1 / most, keep * total) if most else 0.0  # weights sum to one, so the scale is what is expected to be drawn
+    return raked.withColumn("chance", F.least(F.lit(1.0), factor * scale))
 
 
 def unit_hash(doc_id: Column, text: Column, seed: int = SEED) -> Column:
@@ -140,21 +140,26 @@ def draw(
     doc_id: str = "doc_id",
     source: str = "source",
     language: str = "lang",
+    topic: str | None = None,
+    into: str = "mix",
 ) -> DataFrame:
-    """The documents that are drawn, with struct __mix: source, language, topic, tokens, weight, chance."""
-    found = cells(docs, text, source, language)
+    """The documents that are drawn, with struct ``into``: source, language, topic, tokens, weight, chance."""
+    if into.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {into} already")
+    found = cells(docs, text, source, language, topic)
     targets = targets or {m: materialize(tempered(found, m), f"target-{m}") for m in MARGINS}
     raked = materialize(chances(rake(found, targets), keep), "chances")
-    chance = broadcast_within(raked.select(F.struct(*MARGINS).alias("__cell"), F.col("weight").alias("__weight"), F.col("chance").alias("__chance")), BROADCAST_ROWS)
-    keyed = _keyed(docs, text, source, language)
-    met = keyed.join(chance, F.struct(*[F.col(f"__mix.{m}").alias(m) for m in MARGINS]) == F.col("__cell"), "left")
-    likely = F.coalesce("__chance", F.lit(1.0))
+    key, given = unused(docs.withColumn(into, F.lit(0)), "cell", "given")
+    chance = raked.select(F.struct(*MARGINS).alias(key), F.struct("weight", "chance").alias(given))
+    keyed = docs.withColumn(into, _cell(text, source, language, topic))
+    met = keyed.join(broadcast_within(chance, BROADCAST_ROWS), F.struct(*[F.col(f"{into}.{m}").alias(m) for m in MARGINS]) == F.col(key), "left")
+    likely = F.coalesce(F.col(given)["chance"], F.lit(1.0))
     drawn = met.filter(unit_hash(F.col(doc_id), text_of(text)) < likely)
-    return drawn.withColumn(
-        "__mix", F.struct("__mix.*", F.coalesce("__weight", F.lit(0.0)).alias("weight"), likely.alias("chance"))
-    ).drop("__cell", "__weight", "__chance")
+    full = F.struct(f"{into}.*", F.coalesce(F.col(given)["weight"], F.lit(0.0)).alias("weight"), likely.alias("chance"))
+    return drawn.withColumn(into, full).drop(key, given)
 
 
 def sample_to_targets(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are drawn, with their columns."""
-    return draw(docs, **options).drop("__mix")
+    (into,) = unused(docs, "mix")
+    return draw(docs, into=into, **options).drop(into)

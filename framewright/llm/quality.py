@@ -7,7 +7,8 @@ document frequency, scaled to length one and projected on the leading
 ``AXES`` singular directions of the labelled sample.  The labelled vectors are
 broadcast; every document's cosines with all of them are computed exactly, a
 block of documents at a time, and its ``NEIGHBOURS`` nearest vote with weights
-that grow with similarity.
+that grow with similarity.  Of equally near ones at the border, those whose
+doc_id and text hash lower vote.
 
 Scale.  The labelled sample has at most ``TRAINING_ROWS`` texts (a parameter),
 so what is broadcast is at most TRAINING_ROWS x AXES numbers.  Scoring is one
@@ -84,6 +85,16 @@ def damped(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([OUTLINE_WEIGHT * outlines, words], axis=1)
 
 
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` largest of each row; of equals at the border, the first."""
+    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    chosen = np.take_along_axis(cosine, near, axis=1)
+    least = chosen.min(axis=1, keepdims=True)
+    for row in np.flatnonzero((cosine == least).sum(axis=1) > (chosen == least).sum(axis=1)):
+        near[row] = np.argsort(-cosine[row], kind="stable")[:k]
+    return near
+
+
 class Model:
     """The sample's weights of terms, axes, labelled vectors and labels."""
 
@@ -112,7 +123,7 @@ class Model:
         mine = self._unit(self._weighted(counts) @ self.axes)
         cosine = mine @ self.vectors.T
         k = min(NEIGHBOURS, len(self.labels))
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        near = nearest(cosine, k)
         weight = np.exp(SHARPNESS * (np.take_along_axis(cosine, near, axis=1).astype("f8") - 1))
         votes = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
         return np.where(mine.any(axis=1), np.clip(votes, 0, 1), self.prior)

@@ -40,7 +40,7 @@ def op3_disclosure_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, language, topic, tokens, weight and chance of every document drawn."""
-    return mixing.draw(documents(spark, sf_dir)).select("doc_id", "__mix.*")
+    return mixing.draw(documents(spark, sf_dir)).select("doc_id", "mix.*")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

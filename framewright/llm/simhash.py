@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from framewright.llm.components import components
 from framewright.llm.memory import frugal
-from framewright.llm.text import text_of
+from framewright.llm.text import text_of, unused
 from framewright.storage import broadcast_within, materialize
 
 RADIUS = 3
@@ -556,10 +556,11 @@ def drop_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **
     """The rows of ``docs`` that stay, one of each group of similar texts, with their columns."""
     found = materialize(similar_groups(docs, text=text, doc_id=doc_id, **options), "similar")
     same = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_hash") == F.col("keep_hash"))
-    gone = found.filter(~same).select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")).distinct()
+    doc, text_hash = unused(docs, "gone_doc", "gone_hash")
+    gone = found.filter(~same).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash)).distinct()
     gone = broadcast_within(materialize(gone, "gone"), BROADCAST_ROWS)
     out = docs.join(
-        gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(text_of(text)) == F.col("__hash")), "left_anti"
+        gone, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text_of(text)) == F.col(text_hash)), "left_anti"
     )
     repeated = not found.filter(~F.col("kept") & same).isEmpty()  # rows that repeat the one that stays
     return out.dropDuplicates([doc_id, text]) if repeated else out

@@ -13,19 +13,18 @@ HOT_SHARE = 1e-5
 
 
 def join_keyed(rows: DataFrame, keyed: DataFrame, on: str | list[str], how: str = "inner", size: str = "n") -> DataFrame:
-    """``rows`` joined with ``keyed``, which has one row per key and in ``size`` the rows of that key.  Keys are not null.
+    """``rows`` joined with ``keyed``, a written table of one row per key and in ``size`` the rows of that key; no nulls.
 
     Few keys are broadcast.  Of many, the hot ones are: those of at least ``HOT_ROWS`` rows and a share of
     ``HOT_SHARE`` of all, so at most 1 / HOT_SHARE keys at any size.  The rest is dealt by key.
     """
     names = [on] if isinstance(on, str) else on
-    told = materialize(keyed, "keyed")
-    if told.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(told.drop(size)), names, how)
-    total = told.agg(F.sum(size)).first()[0]
+    count, total = keyed.agg(F.count("*"), F.sum(size)).first()
+    if count <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keyed.drop(size)), names, how)
     least = max(HOT_ROWS, int(total * HOT_SHARE))
-    hot, cold = told.filter(F.col(size) > least).drop(size), told.filter(F.col(size) <= least).drop(size)
-    few = materialize(hot, "hot-keys")
+    few = materialize(keyed.filter(F.col(size) > least).drop(size), "hot-keys")
+    cold = keyed.filter(F.col(size) <= least).drop(size)
     if few.isEmpty():
         return rows.join(cold, names, how)
     few = broadcast_within(few, int(1 / HOT_SHARE))

@@ -49,3 +49,33 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert block_naming.exact_duplicates(docs).collect() == []
     assert block_naming.drop_exact_duplicates(docs).collect() == []
+
+
+def test_columns_that_clash_with_names_in_use(spark):
+    schema = "doc_id long, text string, keep_doc int, Keep_SHA int, block string, h long, n int"
+    docs = spark.createDataFrame([(1, "a", 5, 6, "x", 7, 8), (2, "A", 9, 10, "y", 11, 12), (3, "b", 1, 2, "z", 3, 4)], schema)
+    out = block_naming.drop_exact_duplicates(docs)
+    assert out.columns == docs.columns
+    assert sorted(tuple(r) for r in out.collect()) == [(2, "A", 9, 10, "y", 11, 12), (3, "b", 1, 2, "z", 3, 4)]
+
+
+def test_names_do_not_depend_on_how_rows_are_dealt(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    names = []
+    for parts in (1, 5):
+        rows = block_naming.name_documents(docs.repartition(parts), block_bytes=4).collect()
+        names.append(sorted((r.doc_id, r.n_blocks, r.name) for r in rows))
+    assert names[0] == names[1]
+
+
+def test_hot_keys_beyond_the_broadcast(spark, monkeypatch):
+    """One text of most rows: the same result when its keys are told apart as hot."""
+    from framewright.llm import skew
+
+    rows = [(i, "same text of some blocks" if i % 3 else f"own {i}") for i in range(300)] + [(None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, block_naming.exact_duplicates(docs, block_bytes=4).collect()), key=str)
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(skew, "HOT_ROWS", 20)
+    assert sorted(map(tuple, block_naming.exact_duplicates(docs, block_bytes=4).collect()), key=str) == want
+    assert sorted([(w[0], w[1], w[2], w[4]) for w in want], key=str) == expected(rows)

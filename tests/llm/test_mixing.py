@@ -36,7 +36,7 @@ def plain_rake(cells, targets, rounds):
 def drawn(spark):
     rows = table(random.Random(5), 1500)
     docs = spark.createDataFrame(rows, SCHEMA)
-    return rows, docs, mixing.draw(docs, keep=0.6).select("doc_id", "__mix.*").toPandas()
+    return rows, docs, mixing.draw(docs, keep=0.6).select("doc_id", "mix.*").toPandas()
 
 
 def test_weights_against_brute_force(spark, drawn):
@@ -68,13 +68,53 @@ def test_chances_meet_the_share_and_decide_the_draw(drawn):
     total = sum(len(r[1].split()) for r in rows)
     all_cells = mixing.cells(docs).toPandas()
     expected = sum(chance.get((r.source, r.language, r.topic), 0) * r.tokens for r in all_cells.itertuples())
-    assert np.isclose(expected, 0.6 * total, rtol=0.02)
-    assert abs(out.tokens.sum() / total - 0.6) < 0.06
+    factor = {(r.source, r.language, r.topic): r.weight / n for r in out.itertuples() for n in [r.tokens]}
+    assert out.chance.max() <= 1 + 1e-9 and factor
+    assert expected <= 0.6 * total * (1 + 1e-9)
+    assert np.isclose(expected, 0.6 * total, rtol=0.02) or np.isclose(out.chance.max(), 1)  # one of the bounds is reached
+    assert abs(out.tokens.sum() - expected) / total < 0.06
     number = docs.select("doc_id", mixing.unit_hash(F.col("doc_id"), F.col("text")).alias("u")).toPandas().set_index("doc_id").u
     assert number.between(0, 1, inclusive="left").all()
     assert (number[out.doc_id].to_numpy() < out.chance.to_numpy()).all()
 
 
+def test_drawn_margins_are_the_targets(spark, drawn):
+    """What is drawn, not only the weights: each value's share of drawn tokens, rare and hot ones too."""
+    rng = random.Random(9)
+    rows = [(i, "word " * rng.choice([40, 60]), "x" if i % 20 else "y", "hot" if i % 3 == 0 else f"s{i % 7}", "c", 1) for i in range(6000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = mixing.cells(docs)
+    out = mixing.draw(docs).select("mix.*").toPandas()
+    for margin in ("source", "language"):
+        wanted = {r.value: r.target for r in mixing.tempered(found, margin).collect()}
+        got = out.groupby(margin).tokens.sum() / out.tokens.sum()
+        for value, share in wanted.items():
+            assert abs(got[value] - share) < 0.015 and abs(got[value] / share - 1) < 0.25, (value, got[value], share)
+
+
+def test_topic_column_and_clashing_names(spark):
+    schema = "doc_id long, text string, lang string, source string, subject string, cell int, given int, Mix int"
+    docs = spark.createDataFrame([(i, "a b c", "x", "s", "law" if i % 2 else "art", i, i, i) for i in range(40)], schema)
+    out = mixing.sample_to_targets(docs, topic="subject")
+    assert out.columns == docs.columns
+    kept = out.collect()
+    assert kept and all(r.cell == r.given == r["Mix"] == r.doc_id for r in kept)
+    topics = mixing.draw(docs.drop("Mix"), topic="subject").select("mix.topic").distinct().collect()
+    assert {r.topic for r in topics} == {"law", "art"}
+
+
+def test_targets_that_cannot_be_met_are_told(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 5), ("a", "y", "t", 5), ("b", "x", "t", 5)], "source string, language string, topic string, tokens long")
+    wanted = {
+        "source": spark.createDataFrame([("a", 0.1), ("b", 0.9)], "value string, target double"),
+        "language": spark.createDataFrame([("x", 0.1), ("y", 0.9)], "value string, target double"),
+    }
+    raked = {(r.source, r.language): r.weight for r in mixing.rake(cells, wanted, tolerance=1e-3).collect()}
+    assert np.isclose(raked["a", "y"], 0.9, atol=0.01)  # the last marginal holds
+    with pytest.warns(UserWarning, match="can't be met"):
+        mixing.rake(cells, wanted, rounds=2, tolerance=1e-12)
+
+
 def test_given_targets(spark):
     rows = table(random.Random(6), 600)
     docs = spark.createDataFrame(rows, SCHEMA)
@@ -88,6 +128,7 @@ def test_odd_tables(spark):
         [(1, None, None, None, None, None), (2, "", "x", "s", "c", 1), (None, "word " * 9000, None, "s", None, 1), (2, "a b", "x", "s", "c", 1)], SCHEMA
     )
     out = mixing.sample_to_targets(docs, keep=1.0)
-    assert out.columns == docs.columns and out.count() == 4
+    assert out.columns == docs.columns
+    assert {(r.doc_id, r.text) for r in out.collect()} >= {(1, None), (2, ""), (2, "a b")}  # no tokens, or the rarest value: chance 1
     assert mixing.sample_to_targets(spark.createDataFrame([], SCHEMA)).collect() == []
     assert mixing.sample_to_targets(docs.filter("doc_id = 1")).count() == 1
