@@ -31,18 +31,19 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.llm.components import components
 from framewright.llm.memory import frugal
+from framewright.llm.skew import join_keyed
 from framewright.llm.text import text_of, unused
-from framewright.storage import broadcast_within, materialize
+from framewright.storage import broadcast_within, discard, materialize
 
 RADIUS = 3
 SHINGLE_WORDS = 5
@@ -53,10 +54,11 @@ SIMILARITY = 0.8
 WIDE_RADIUS = 18
 TABLES = 9
 GROUP = 3
-SKETCH = 2048
-PARITY_BITS = 1024
-BROADCAST_ROWS = 500_000
-RANK_BITS = 18
+CHUNK = 256
+ROUNDS = 3
+SIFTINGS = 4
+BROADCAST_ROWS = 200_000
+OUT_HASHES = 1 << 20
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -169,47 +171,10 @@ def band_masks(bands: int = BANDS) -> list[int]:
     return [x | y for x, y in combinations(single, 2)]
 
 
-class Sets:
-    """Shingle sets of a cell's texts, compared by parity sketches first and by their hashes where those leave doubt.
-
-    A parity sketch has a bit flipped for each element, so the bits in which two differ tell the size of the symmetric
-    difference, with a known variance: four deviations away from the threshold is taken for sure.
-    """
-
-    def __init__(self, rows: pa.Table, similarity: float):
-        self.similarity = similarity
-        self.hashes = rows["sketch"].to_pylist()
-        self.parity = np.frombuffer(b"".join(rows["parity"].to_pylist()), "<u8").reshape(-1, PARITY_BITS // 64)
-        self.size = rows["n_set"].to_numpy().astype("f8")
-
-    def sift(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which pairs may be alike, and which of all are for sure."""
-        may, sure = np.ones(len(x), bool), np.zeros(len(x), bool)
-        for a in range(0, len(x), 1 << 15):
-            part = slice(a, a + (1 << 15))
-            n, total = PARITY_BITS, self.size[x[part]] + self.size[y[part]]
-            differ = np.bitwise_count(self.parity[x[part]] ^ self.parity[y[part]]).sum(axis=1, dtype="i8")
-            q = 1 - 2 * np.minimum(differ, n // 2 - 8) / n
-            apart = -n / 2 * np.log(q)
-            spread = np.sqrt(np.maximum(n / 4 * (1 - q * q) - apart * q * q, 1)) / q
-            alike = (total - apart) / np.maximum(total + apart, 1)
-            doubt = 8 * total / np.maximum(total + apart, 1) ** 2 * spread
-            known = (differ < n // 2 - 32) & (total > 0)
-            may[part] = ~known | (alike + doubt >= self.similarity)
-            sure[part] = known & (alike - doubt >= self.similarity)
-        return may, sure
-
-    def alike(self, x: int, y: int) -> bool:
-        return resemblance(*(np.frombuffer(self.hashes[k], "<u4") for k in (x, y))) >= self.similarity
-
-
-def spanning_links(
-    fps: np.ndarray, trees: int, radius: int, sets: Sets | None = None, first: int = 0, chunk: int = 256
-) -> list[tuple[int, int]]:
+def spanning_links(fps: np.ndarray, trees: int, radius: int, chunk: int = 256) -> list[tuple[int, int]]:
     """Links that join up the fingerprints: the first ``trees`` are in the tree, all search it.
 
-    Pairs that other links have joined already are passed over as whole arrays.  With ``sets``, in which the
-    fingerprints' texts stand from ``first`` on, a link needs their shingle sets to be alike.
+    Pairs that other links have joined already are passed over as whole arrays.
     """
     tree = BKTree(fps[:trees])
     groups, out, label = Groups(len(fps)), [], np.arange(len(fps))
@@ -217,21 +182,25 @@ def spanning_links(
         for who, node in tree.search(fps[a : a + chunk], radius):
             who = who + a
             apart = label[who] != label[node]
-            who, node = who[apart], node[apart]
-            sure = np.ones(len(who), bool)
-            if sets is not None and len(who):
-                may, sure = sets.sift(who + first, node + first)
-                who, node, sure = who[may], node[may], sure[may]
             before = len(out)
-            for x, y, known in zip(who.tolist(), node.tolist(), sure.tolist(), strict=True):
-                if groups.root(x) != groups.root(y) and (known or sets.alike(x + first, y + first)):
-                    groups.join(x, y)
+            for x, y in zip(who[apart].tolist(), node[apart].tolist(), strict=True):
+                if groups.join(x, y):
                     out.append((x, y))
             if len(out) > before:
                 label = np.array([groups.root(x) for x in range(len(fps))])
     return out
 
 
+def nearest_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links within the radius that join up the fingerprints, the nearest pairs first."""
+    found = list(BKTree(fps).search(fps, radius))
+    who, node = (np.concatenate([pair[k] for pair in found]) for k in (0, 1))
+    who, node = who[who < node], node[who < node]
+    groups = Groups(len(fps))
+    order = np.argsort(np.bitwise_count(fps[who] ^ fps[node]), kind="stable")
+    return [(x, y) for x, y in zip(who[order].tolist(), node[order].tolist(), strict=True) if groups.join(x, y)]
+
+
 def shard_links(distinct: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES) -> DataFrame:
     """a, b: enough links between fingerprints within ``radius`` bits to join up their groups.
 
@@ -249,22 +218,16 @@ def shard_links(distinct: DataFrame, radius: int = RADIUS, tree_nodes: int = TRE
     return linked_cells(keyed, radius, tree_nodes)
 
 
-def linked_cells(keyed: DataFrame, radius: int, tree_nodes: int, similarity: float | None = None) -> DataFrame:
-    """a, b of the links in the shards (band, bits) of ``keyed``.
-
-    ``keyed`` has fp, and for a similarity to be checked also node, sketch, parity and n_set; a and b are nodes then, else fps.
-    """
-    own = "fp" if similarity is None else "node"
+def linked_cells(keyed: DataFrame, radius: int, tree_nodes: int) -> DataFrame:
+    """a, b: fingerprints that link in the shards (band, bits) of ``keyed``, which has fp."""
     sizes = keyed.groupBy("band", "bits").agg(F.count("*").alias("n")).filter("n > 1")
-    sizes = materialize(sizes, "shards")
-    shared = keyed.join(sizes, ["band", "bits"])
+    sizes = materialize(sizes.withColumn("trees", F.ceil(F.col("n") / tree_nodes).cast("int")), "shards")
     # A large shard is met tree by chunk: every fingerprint is in one tree, and queries all trees from its own on.
-    spread = shared.withColumn("trees", F.ceil(F.col("n") / tree_nodes).cast("int"))
-    spread = spread.withColumn("mine", F.pmod(F.xxhash64(own), F.col("trees")).cast("int"))
-    carried = ["fp"] if similarity is None else ["fp", "node", "sketch", "parity", "n_set"]
-    by_tree = spread.select(*carried, "band", "bits", "mine", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("other"))
+    spread = join_keyed(keyed, sizes, ["band", "bits"])
+    spread = spread.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int"))
+    by_tree = spread.select("fp", "band", "bits", "mine", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("other"))
     cells = by_tree.select(
-        *carried,
+        "fp",
         "band",
         "bits",
         F.least("mine", "other").alias("tree"),
@@ -272,62 +235,60 @@ def linked_cells(keyed: DataFrame, radius: int, tree_nodes: int, similarity: flo
         (F.col("mine") <= F.col("other")).alias("in_tree"),
     )
     at = ["band", "bits", "tree", "chunk"]
-    count = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cells.repartition(count, *at).sortWithinPartitions(*at, F.col("in_tree").desc(), own)
+    dealt = cells.repartition(*at).sortWithinPartitions(*at, F.col("in_tree").desc(), "fp")
+    return dealt.mapInArrow(by_cell(at, lambda rows, starts: cell_links(rows, starts, radius)), "a long, b long")
+
+
+Links = Callable[[pa.Table, np.ndarray], pa.RecordBatch]
+
+
+def by_cell(at: list[str], links: Links) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task over sorted rows: ``links`` of whole cells.  A cell that a batch breaks off goes on in the next."""
 
     @frugal
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows of a cell stand together; a cell that a batch breaks off goes on in the next."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in chain(batches, [None]):
             if batch is not None and not batch.num_rows:
                 continue
             if batch is not None:
                 held.append(batch)
-            if not held or batch is not None and same_cell(held[0], batch):
+            if not held or batch is not None and all(held[0].column(c)[0] == batch.column(c)[batch.num_rows - 1] for c in at):
                 continue
             rows = pa.Table.from_batches(held)
-            starts = cell_starts(rows)
+            starts = cell_starts(rows, at)
             whole = rows.num_rows if batch is None else int(starts[-1])
-            yield cell_links(rows.slice(0, whole), starts if batch is None else starts[:-1], radius, similarity)
+            yield links(rows.slice(0, whole), starts if batch is None else starts[:-1])
             held = [b for b in rows.slice(whole).to_batches() if b.num_rows]
 
-    return dealt.mapInArrow(links, "a long, b long")
+    return task
 
 
-_CELL = ("band", "bits", "tree", "chunk")
-
-
-def same_cell(first: pa.RecordBatch, last: pa.RecordBatch) -> bool:
-    return all(first.column(c)[0] == last.column(c)[last.num_rows - 1] for c in _CELL)
-
-
-def cell_starts(rows: pa.Table) -> np.ndarray:
+def cell_starts(rows: pa.Table, at: list[str]) -> np.ndarray:
     new = np.zeros(rows.num_rows, bool)
     new[0] = True
-    for c in _CELL:
+    for c in at:
         values = rows[c].to_numpy()
         new[1:] |= values[1:] != values[:-1]
     return np.flatnonzero(new)
 
 
-def cell_links(rows: pa.Table, starts: np.ndarray, radius: int, similarity: float | None = None) -> pa.RecordBatch:
+def cell_links(rows: pa.Table, starts: np.ndarray, radius: int, ends_of: str = "fp") -> pa.RecordBatch:
+    """a, b: values of the column ``ends_of`` that link; with ``in_tree``, only such rows are in the trees."""
     points = rows["fp"].to_numpy().view("u8")
-    inside = rows["in_tree"].to_numpy()
-    ends = np.append(starts[1:], rows.num_rows)
-    sets = None if similarity is None else Sets(rows, similarity)
+    inside = rows["in_tree"].to_numpy() if "in_tree" in rows.column_names else None
     left, right = [], []
-    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+    for a, b in zip(starts.tolist(), np.append(starts[1:], rows.num_rows).tolist(), strict=True):
         if b - a == 2:  # a tree of one node and its one query
-            near = (int(points[a]) ^ int(points[a + 1])).bit_count() <= radius
-            found = [(0, 1)] if near and (sets is None or sets.alike(a, a + 1)) else []
+            found = [(0, 1)] if (int(points[a]) ^ int(points[a + 1])).bit_count() <= radius else []
+        elif inside is None:
+            found = nearest_links(points[a:b], radius) if b - a > 1 else []
         else:
-            found = spanning_links(points[a:b], int(inside[a:b].sum()), radius, sets, a)
+            found = spanning_links(points[a:b], int(inside[a:b].sum()), radius)
         left += [a + x for x, _ in found]
         right += [a + y for _, y in found]
-    values = points.view("i8") if similarity is None else rows["node"].to_numpy()
-    ends_of = [pa.array(values[np.array(side, "i8")]) for side in (left, right)]
-    return pa.RecordBatch.from_arrays(ends_of, ["a", "b"])
+    values = rows[ends_of].to_numpy()
+    return pa.RecordBatch.from_arrays([pa.array(values[np.array(side, "i8")]) for side in (left, right)], ["a", "b"])
 
 
 def near_duplicates(
@@ -352,160 +313,162 @@ def near_duplicates(
     )
 
 
-def resemblance(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two shingle sets from their sorted sketches; exact if both are whole sets."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    both = np.union1d(a, b)[: max(len(a), len(b), SKETCH if max(len(a), len(b)) >= SKETCH else len(a) + len(b))]
-    shared = np.isin(both, a, assume_unique=True) & np.isin(both, b, assume_unique=True)
-    return np.count_nonzero(shared) / len(both)
-
-
 def sketches(docs: DataFrame, words: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """node, doc_id, text_hash, fp, keys, hashes (all, 32 bits each, in order), parity and n_set of every row.
+    """node, doc_id, text_hash, fp, keys, hashes (the set of all shingles' hashes, in order) and n_set of every row.
 
     keys: TABLES hashes, each of GROUP least hashes of the shingles under one mixing; two texts of similarity s have one
     in common with probability 1 - (1 - s**GROUP)**TABLES, which is 0.998 at 0.8.
     """
     mixers = np.random.default_rng(SEED).integers(1, 1 << 63, (TABLES * GROUP, 2), "u8") | np.uint64(1)
 
+    def listed(parts: list[np.ndarray]) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))
+
     @frugal
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, keys, kept, parity, sizes = [], [], [], [], []
-            for value in batch.column(3).to_pylist():
-                own = np.unique(shingle_hashes(value, words))
+            fps, keys, sets, begin, held = [], [], [], 0, 0
+            for k in range(batch.num_rows):
+                own = np.unique(shingle_hashes(batch.column(3)[k].as_py(), words))
                 fps.append(simhash_of(own) if len(own) else 0)  # of the set: links are judged on sets
                 low = np.array([((own ^ x) * m >> np.uint64(20)).min(initial=1 << 44) for x, m in mixers], "u8")
-                mixed = low.reshape(TABLES, GROUP) * mixers[:GROUP, 1]
-                keys.append(np.bitwise_xor.reduce(mixed, axis=1).view("i8"))
-                kept.append(np.unique((own >> np.uint64(32)).astype("<u4")).tobytes())
-                flips = np.bincount((own >> np.uint64(8)).astype("i8") % PARITY_BITS, minlength=PARITY_BITS) % 2
-                parity.append(np.packbits(flips.astype("u1"), bitorder="little").tobytes())
-                sizes.append(len(own))
-            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, "i8"))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(k) for k in range(3)],
-                    pa.array(np.array(fps, "u8").view("i8")),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, TABLES), pa.int32()), flat),
-                    pa.array(kept, pa.binary()),
-                    pa.array(parity, pa.binary()),
-                    pa.array(sizes, pa.int32()),
-                ],
-                ["node", "doc_id", "text_hash", "fp", "keys", "hashes", "parity", "n_set"],
-            )
+                keys.append(np.bitwise_xor.reduce(low.reshape(TABLES, GROUP) * mixers[:GROUP, 1], axis=1).view("i8"))
+                sets.append(np.sort(own.view("i8")))
+                held += len(own)
+                if held > OUT_HASHES or k == batch.num_rows - 1:
+                    same = [c.slice(begin, len(sets)) for c in batch.columns[:3]]
+                    columns = [pa.array(np.array(fps, "u8").view("i8")), listed(keys), listed(sets), pa.array([len(x) for x in sets], pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*same, *columns], ["node", "doc_id", "text_hash", "fp", "keys", "hashes", "n_set"])
+                    fps, keys, sets, begin, held = [], [], [], k + 1, 0
 
     chosen = docs.select(
         F.monotonically_increasing_id().alias("node"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text_of(text)), text_of(text)
     )
-    schema = "node long, doc_id long, text_hash long, fp long, keys array<long>, hashes binary, parity binary, n_set int"
+    schema = "node long, doc_id long, text_hash long, fp long, keys array<long>, hashes array<long>, n_set int"
     return chosen.mapInArrow(of_batches, schema)
 
 
-def settled(pairs: DataFrame, rows: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """a, b of the ``pairs`` of nodes whose whole sets of 64-bit shingle hashes are alike.
-
-    ``texts`` has doc, hash and text; ``rows`` (of ``sketches``) says which are a node's.
-    """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    named = rows.select("node", "doc_id", "text_hash").join(ends, "node")
-    named = broadcast_within(materialize(named, "ends"), BROADCAST_ROWS)
-    held = texts.join(named, F.col("doc").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")))
-    held = materialize(held.select("node", "text").dropDuplicates(["node"]), "texts-of-ends")
-    met = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    met = met.join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-
-    @frugal
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch.column(2), batch.column(3)
-            keep = []
-            for k in range(batch.num_rows):
-                x, y = (np.unique(shingle_hashes(side[k].as_py(), words)) for side in (left, right))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                either = len(x) + len(y) - shared
-                keep.append(not either or shared / either >= similarity)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return materialize(met.select("a", "b", "text_a", "text_b").mapInArrow(alike, "a long, b long"), "settled-links")
-
-
-def shingle_counts(rows: DataFrame) -> DataFrame:
-    """bucket, n: how often the shingles of a bucket of hashes occur in the corpus (the cut sets are enough to rank them)."""
-
-    @frugal
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(1 << RANK_BITS, "i8")
-        for batch in batches:
-            flat = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4")
-            sums += np.bincount(flat >> np.uint32(32 - RANK_BITS), minlength=1 << RANK_BITS)
-        some = np.flatnonzero(sums)
-        for a in range(0, len(some), 1 << 16):
-            part = some[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(sums[part])], ["bucket", "n"])
-
-    return rows.select(F.col("hashes")).mapInArrow(counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+def alike(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """a, b of the written ``pairs`` of nodes whose whole shingle sets are alike; two empty sets are."""
+    few = broadcast_within(pairs, BROADCAST_ROWS)
+    left, right = (rows.select(F.col("node").alias(c), F.col("hashes").alias(f"set_{c}")).join(few, c) for c in "ab")
+    met = left.select("a", "b", "set_a").join(right.select("a", "b", "set_b"), ["a", "b"])
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    met = met.select("a", "b", shared.alias("shared"), (F.size("set_a") + F.size("set_b")).alias("total"))
+    return materialize(met.filter(F.col("shared") >= similarity * (F.col("total") - F.col("shared")) - 1e-9).select("a", "b"), "alike")
 
 
-def prefixes(rows: DataFrame, similarity: float) -> DataFrame:
-    """node, root, n_set, key: the rarest hashes of each text, one more than an alike text may lack.
+def tree_links(nodes: DataFrame, radius: int, chunk: int, salt: int) -> tuple[DataFrame, bool]:
+    """a, b: nodes of a shard (band, bits) whose fingerprints a BK-tree finds within the radius, the nearest first.
 
-    In one order of all hashes, the first that two alike texts share has at most that many before it in either, so they
-    meet in a key.  Any order is exact; by the corpus counts of buckets, common shingles come last.
+    A shard of more than ``chunk`` nodes is dealt into trees of about that many, each with its own queries only; whether
+    there are any is told, so that the groups of all trees can be met in a further round.
     """
-    spark = rows.sparkSession
-    found = shingle_counts(rows).select(F.col("bucket").cast("int"), F.least("n", F.lit((1 << 32) - 1)).alias("n")).toArrow()
-    ranks = np.zeros(1 << RANK_BITS, "u4")  # at most so many rows came to the driver
-    ranks[found["bucket"].to_numpy()] = found["n"].to_numpy()
-    shared = spark.sparkContext.broadcast(ranks)
-
-    @frugal
-    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
-        for batch in batches:
-            for k in range(batch.num_rows):
-                hashes = np.frombuffer(batch.column(3)[k].as_py(), "<u4")
-                n = batch.column(2)[k].as_py()
-                lack = n - int(np.ceil(similarity * n - 1e-9))
-                order = np.lexsort((hashes, counts[hashes >> np.uint32(32 - RANK_BITS)]))[: lack + 1]
-                if not len(order):
-                    continue
-                same = [pa.array(np.full(len(order), batch.column(c)[k].as_py())) for c in range(2)]
-                sizes = pa.array(np.full(len(order), n), pa.int32())
-                yield pa.RecordBatch.from_arrays([*same, sizes, pa.array(hashes[order].astype("i8"))], ["node", "root", "n_set", "key"])
-
-    return rows.select("node", "root", "n_set", "hashes").mapInArrow(least, "node long, root long, n_set int, key long")
-
-
-def missed_pairs(rows: DataFrame, similarity: float, chunk: int = TREE_NODES) -> DataFrame:
-    """a, b: all pairs of nodes of different roots that may be alike, by an exact prefix filter.
-
-    ``rows`` has node, root, n_set, hashes and parity.  Keys whose texts have one root have nothing to add.  A key of more
-    than ``chunk`` texts is met chunk by chunk.  The bits in which two parity sketches differ are at most as many as the
-    elements that only one set has, so pairs that differ in more than alike sets may are apart for sure.
+    sizes = nodes.groupBy("band", "bits").agg(F.count("*").alias("n")).filter("n > 1")
+    sizes = materialize(sizes.withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")), "shards")
+    dealt = join_keyed(nodes, sizes, ["band", "bits"])
+    dealt = dealt.withColumn("tree", F.pmod(F.xxhash64(F.lit(salt), "node"), F.col("chunks")).cast("int")).drop("chunks")
+    at = ["band", "bits", "tree"]
+    dealt = dealt.repartition(*at).sortWithinPartitions(*at, "node")
+    found = dealt.mapInArrow(by_cell(at, lambda rows, starts: cell_links(rows, starts, radius, "node")), "a long, b long")
+    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return materialize(found, "tree-links"), not sizes.filter("chunks > 1").isEmpty()
+
+
+def grouped(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``nodes`` with root: the least node of the group, itself without links."""
+    if links is None:
+        return nodes.withColumn("root", F.col("node"))
+    found = materialize(components(links).withColumnRenamed("node", "member"), "groups")
+    met = nodes.join(broadcast_within(found, BROADCAST_ROWS), F.col("node") == F.col("member"), "left")
+    return met.withColumn("root", F.coalesce("root", "node")).drop("member")
+
+
+def shard_groups(rows: DataFrame, radius: int, similarity: float, chunk: int) -> DataFrame | None:
+    """a, b: links that the BK-trees of all shards find and the sets bear out; None if there are none.
+
+    Nodes that a round has joined stand for themselves by one of them in the next, so a shard of many near copies shrinks.
+    """
+    keyed = rows.select("node", "fp", F.posexplode("keys").alias("band", "bits"))
+    shared = materialize(keyed.groupBy("band", "bits").agg(F.count("*").alias("n")).filter("n > 1"), "shared-keys")
+    keyed = materialize(join_keyed(keyed, shared, ["band", "bits"]), "keyed")
+    links = None
+    for k in range(ROUNDS):
+        nodes = keyed
+        if links is not None:
+            nodes = grouped(keyed, links).groupBy("band", "bits", "root").agg(F.min(F.struct("node", "fp")).alias("one"))
+            nodes = materialize(nodes.select("one.*", "band", "bits"), "one-a-group")
+        found, more = tree_links(nodes, radius, chunk, k)
+        found = alike(found, rows, similarity)
+        if found.isEmpty():
+            break
+        links = found if links is None else links.unionByName(found)
+        if not more:
+            break
+    return links
+
+
+def sifted(rows: DataFrame, similarity: float) -> DataFrame:
+    """node, root, key, rank, need: the shared shingles of the nodes that may be alike to one of another root, rarest first.
+
+    An alike text shares at least ``similarity`` of a text's shingles, so a text may lack fewer than ``need`` of them and
+    meets it in one of its ``need`` rarest.  First in the order of hashes: texts whose ``need`` first hashes stand in no
+    other group are out.  Then texts of which too few shingles stand in other groups are out, as often as that helps.
     """
-    keyed = materialize(prefixes(rows, similarity), "prefixes")
-    several = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    several = materialize(several.filter("low <> high").select("key", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")), "mixed-keys")
-    met = keyed.join(broadcast_within(several, BROADCAST_ROWS), "key")
-    met = materialize(met.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "mixed-prefixes")
+    need = (F.col("n_set") - F.ceil(F.col("n_set") * similarity - 1e-9) + 1).cast("int")
+    some = rows.filter("n_set > 0")
+    first = some.select("node", "root", F.explode(F.slice("hashes", 1, need)).alias("key"))
+    mixed = (F.min("root").alias("low"), F.max("root").alias("high"))
+    keys = materialize(first.groupBy("key").agg(*mixed).filter("low <> high").select("key"), "mixed-keys")
+    met = materialize(first.join(broadcast_within(keys, BROADCAST_ROWS), "key", "left_semi").select("node").distinct(), "met-nodes")
+    here = materialize(some.join(broadcast_within(met, BROADCAST_ROWS), "node", "left_semi").select("node", "root", "hashes", "n_set"), "sifted")
+    for _ in range(SIFTINGS):
+        each = here.select("node", "root", "n_set", F.explode("hashes").alias("key"))
+        common = each.groupBy("key").agg(*mixed, F.count("*").alias("n")).filter("low <> high").select("key", "n", F.col("n").alias("texts"))
+        shared = join_keyed(each, materialize(common, "common"), "key")
+        held = shared.groupBy("node").agg(F.count("*").alias("held"), F.first("n_set").alias("n_set"))
+        stay = materialize(held.filter(F.col("held") >= F.col("n_set") * similarity - 1e-9).select("node", "held"), "stay")
+        done = stay.count() == here.count()
+        before, here = here, materialize(here.join(broadcast_within(stay.select("node"), BROADCAST_ROWS), "node", "left_semi"), "sifted")
+        shared = materialize(shared.join(broadcast_within(stay, BROADCAST_ROWS), "node"), "shared")
+        discard(before)
+        if done:
+            break
+    place = F.row_number().over(Window.partitionBy("node").orderBy("texts", "key"))
+    # What stands in no other group comes before all of these in the order of rarity.
+    ranked = shared.select("node", "root", "n_set", "key", (place + F.col("n_set") - F.col("held")).alias("rank"), need.alias("need"))
+    return materialize(ranked.filter("rank <= need").select("node", "root", "n_set", "key"), "rarest")
+
+
+def missed_links(rows: DataFrame, similarity: float, chunk: int) -> DataFrame | None:
+    """a, b: alike nodes of different roots that join up their groups, among all pairs that share one of their rarest shingles.
+
+    ``rows`` has node, root, hashes and n_set.  A key of many nodes is met chunk by chunk.  One pair of each two roots is
+    settled first; what it joins need not be compared further.
+    """
+    keyed = sifted(rows, similarity)
+    if keyed.isEmpty():
+        return None
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
+    met = join_keyed(keyed, materialize(sizes, "key-sizes"), "key")
+    met = materialize(met.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "met")
     other = met.select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("mine"), *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "n_set")])
-    sized = (F.least("n_set", "n_set_b") >= F.greatest("n_set", "n_set_b") * similarity - 1e-6)
+    sized = F.least("n_set", "n_set_b") >= F.greatest("n_set", "n_set_b") * similarity - 1e-9
     pairs = met.join(other, ["key", "mine"]).filter((F.col("node") < F.col("node_b")) & (F.col("root") != F.col("root_b")) & sized)
-    pairs = materialize(pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct(), "prefix-pairs")
-    sides = [rows.select(F.col("node").alias(c), F.col("parity").alias(f"parity_{c}"), F.col("n_set").alias(f"n_{c}")) for c in "ab"]
-    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "parity_a", "parity_b", (F.col("n_a") + F.col("n_b")).alias("total"))
-
-    @frugal
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(-1, PARITY_BITS // 64) for c in (2, 3))
-            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype="i8")
-            may = differ <= batch.column(4).to_numpy() * (1 - similarity) / (1 + similarity) + 1e-6
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(may))
-
-    return materialize(both.mapInArrow(near, "a long, b long"), "missed-pairs")
+    ends = [f("root", "root_b").alias(c) for f, c in ((F.least, "low"), (F.greatest, "high"))]
+    pairs = materialize(pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b"), *ends).distinct(), "pairs")
+    one = materialize(pairs.groupBy("low", "high").agg(F.min(F.struct("a", "b")).alias("p")).select("p.*"), "first-pairs")
+    links = alike(one, rows, similarity)
+    rest = pairs.join(one, ["a", "b"], "left_anti")
+    if rest.isEmpty():
+        return links
+    joined = None if links.isEmpty() else materialize(components(links.select("a", "b").join(pairs, ["a", "b"]).select(F.col("low").alias("a"), F.col("high").alias("b"))), "roots")
+    if joined is not None:
+        for c in ("low", "high"):
+            of = broadcast_within(joined.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), BROADCAST_ROWS)
+            rest = rest.join(of, c, "left").withColumn(c, F.coalesce(f"{c}_root", c)).drop(f"{c}_root")
+    return links.unionByName(alike(materialize(rest.filter("low <> high").select("a", "b"), "other-pairs"), rows, similarity))
 
 
 def similar_groups(
@@ -515,40 +478,30 @@ def similar_groups(
     radius: int = WIDE_RADIUS,
     text: str = "text",
     doc_id: str = "doc_id",
-    tree_nodes: int = TREE_NODES,
+    chunk: int = CHUNK,
 ) -> DataFrame:
     """node, doc_id, text_hash, keep_id, kept: rows grouped by shingle sets of at least the similarity.
 
-    First most links are found cheaply: a shard is a key of least shingle hashes, and its BK-tree is searched with a wide
-    radius.  Then an exact prefix filter finds all pairs that those bounds miss, among texts which are not grouped yet.
-    Every link of either is settled on the whole shingle sets.
+    The BK-trees of shards, which are keys of least shingle hashes, find most links, with a wide radius.  Then an exact
+    filter by shared shingles finds all pairs that those bounds miss, among texts which are not grouped yet.  Every link
+    of either is settled on the whole shingle sets.
     """
     rows = materialize(sketches(docs, words, text, doc_id), "sketches")
-    keyed = rows.select("fp", "node", F.posexplode("keys").alias("band", "bits"))
-    some = keyed.groupBy("band", "bits").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    paired = materialize(keyed.join(some, ["band", "bits"]), "paired-keys")
-    cut = F.substring("hashes", 1, 4 * SKETCH).alias("sketch")
-    with_sketch = paired.join(rows.select("node", cut, "parity", "n_set"), "node")
-    links = linked_cells(with_sketch, radius, tree_nodes, similarity)
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text_of(text)).alias("hash"), text_of(text).alias("text"))
-    links = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-links")
-    links = settled(links, rows, texts, words, similarity)
-    first = components(links).withColumnRenamed("node", "member")
-    sets = rows.select("node", "n_set", "hashes", "parity").join(first, F.col("node") == F.col("member"), "left")
-    sets = sets.select("node", "n_set", "hashes", "parity", F.coalesce("root", "node").alias("root"))
-    missed = settled(missed_pairs(sets, similarity), rows, texts, words, similarity)
-    found = components(links.unionByName(missed)).withColumnRenamed("node", "member")
-    rooted = rows.select("node", "doc_id", "text_hash").join(found, F.col("node") == F.col("member"), "left")
-    rooted = materialize(rooted.select("node", "doc_id", "text_hash", F.coalesce("root", "node").alias("root")), "grouped")
+    links = shard_groups(rows, radius, similarity, chunk)
+    missed = missed_links(grouped(rows.select("node", "hashes", "n_set"), links), similarity, chunk)
+    if missed is not None:
+        links = missed if links is None else links.unionByName(missed)
+    rooted = materialize(grouped(rows.select("node", "doc_id", "text_hash"), links), "grouped")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "node", "text_hash")
-    first = rooted.groupBy("root").agg(F.min(order).alias("first"))
-    return rooted.join(first, "root").select(
+    several = rooted.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    alone = F.col("first").isNull()
+    return join_keyed(rooted, materialize(several, "several"), "root", "left").select(
         "node",
         "doc_id",
         "text_hash",
-        F.col("first.doc_id").alias("keep_id"),
-        F.col("first.text_hash").alias("keep_hash"),
-        (F.col("node") == F.col("first.node")).alias("kept"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),
+        F.when(alone, F.col("text_hash")).otherwise(F.col("first.text_hash")).alias("keep_hash"),
+        (alone | (F.col("node") == F.col("first.node"))).alias("kept"),
     )
 
 

@@ -104,7 +104,7 @@ def test_links_join_what_brute_force_joins(spark, tree_nodes):
 
 def test_cells_broken_off_by_batches():
     rows = pa.table({"band": [0] * 3, "bits": [1] * 3, "tree": [0] * 3, "chunk": [0] * 3, "fp": [1, 3, 7], "in_tree": [True] * 3})
-    got = simhash.cell_links(rows, simhash.cell_starts(rows), 1)
+    got = simhash.cell_links(rows, simhash.cell_starts(rows, ["band", "bits", "tree", "chunk"]), 1)
     assert {tuple(sorted(x)) for x in zip(*(c.to_pylist() for c in got.columns))} == {(1, 3), (3, 7)}
 
 
@@ -139,8 +139,8 @@ def edited(rng, words, many):
     return [rng.choice("klmnop") * 4 if k in places else w for k, w in enumerate(words)]
 
 
-@pytest.mark.parametrize("tree_nodes", [4096, 6])
-def test_similar_texts_leave_one(spark, tree_nodes):
+@pytest.mark.parametrize("chunk", [256, 6])
+def test_similar_texts_leave_one(spark, chunk):
     """Copies with three words of 300 changed (about 0.9) go; rewritten ones and others stay."""
     rng = random.Random(13)
     base = [[rng.choice("abcdefgh") * rng.randint(1, 9) + str(rng.randint(0, 99)) for _ in range(300)] for _ in range(6)]
@@ -149,7 +149,7 @@ def test_similar_texts_leave_one(spark, tree_nodes):
     rows += [(60 + i, " ".join(edited(rng, base[i % 6], 90))) for i in range(6)]
     rows += [(80, None), (81, ""), (82, "short one"), (83, "other one"), (2, rows[2][1]), (None, "no id")]
     docs = spark.createDataFrame([(d, t, "clash") for d, t in rows], SCHEMA)
-    out = simhash.drop_similar(docs, tree_nodes=tree_nodes)
+    out = simhash.drop_similar(docs, chunk=chunk)
     assert out.columns == docs.columns
     kept = sorted((r.doc_id for r in out.collect()), key=str)
     assert kept == sorted([0, 1, 2, 3, 4, 5, 60, 61, 62, 63, 64, 65, 80, 82, 83, None], key=str)
@@ -188,33 +188,29 @@ def test_no_pair_is_lost_at_the_threshold(spark):
     assert sorted(r.doc_id for r in simhash.drop_similar(docs, radius=0).collect()) == sorted(want)
 
 
-def test_resemblance():
-    a, b = np.arange(0, 100, dtype="u4"), np.arange(20, 120, dtype="u4")
-    assert simhash.resemblance(a, b) == 80 / 120
-    assert simhash.resemblance(a[:0], a[:0]) == 1 and simhash.resemblance(a, a[:0]) == 0
-    big = np.random.default_rng(0).permutation(1 << 20)[:50_000].astype("u4") << 12
-    x, y = (np.sort(part)[: simhash.SKETCH] for part in (big[:45_000], big[5_000:]))
-    assert abs(simhash.resemblance(x, y) - 0.8) < 0.04
-
-
-def test_parity_sketches_decide_as_the_sets_do():
-    rng = random.Random(21)
-    base = [rng.getrandbits(64) for _ in range(400)]
-    sets = [set(base)] + [set(rng.sample(base, 400 - k)) | {rng.getrandbits(64) for _ in range(k)} for k in (0, 5, 20, 60, 80, 120, 200)] + [set()]
-    flips = [np.bincount([(h >> 8) % simhash.PARITY_BITS for h in s], minlength=simhash.PARITY_BITS) % 2 for s in sets]
-    rows = pa.table(
-        {
-            "sketch": [np.unique(np.array([h >> 32 for h in s], "<u4")).tobytes() for s in sets],
-            "parity": [np.packbits(f.astype("u1"), bitorder="little").tobytes() for f in flips],
-            "n_set": [len(s) for s in sets],
-        }
-    )
-    made = simhash.Sets(rows, 0.8)
-    x = np.zeros(len(sets), "i8")
-    may, sure = made.sift(x, np.arange(len(sets)))
-    for k, s in enumerate(sets):
-        alike = len(sets[0] & s) >= 0.8 * len(sets[0] | s)
-        assert made.alike(0, k) == alike
-        assert may[k] or not alike
-        assert alike or not sure[k]
-    assert sure[1] and sure[2] and not may[6] and not may[7]
+def test_columns_that_clash_with_names_in_use(spark):
+    schema = "doc_id long, text string, gone_doc int, Gone_Hash int, node long, root long, keys string"
+    line = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(2, line, 1, 2, 3, 4, "k"), (1, line + " ", 5, 6, 7, 8, "l"), (3, "other words", 9, 9, 9, 9, None)], schema)
+    out = simhash.drop_similar(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=str) == [(1, line + " ", 5, 6, 7, 8, "l"), (3, "other words", 9, 9, 9, 9, None)]
+
+
+def test_common_passages_do_not_link(spark):
+    """Texts of which most words are one passage, but fewer than 0.8 of their shingles, stay; those with more go."""
+    rng = random.Random(23)
+    word = lambda: f"{rng.choice('abcdefgh') * rng.randint(1, 4)}{rng.randint(0, 10**6)}"
+    passage = [word() for _ in range(100)]
+    rows = [(i, " ".join(passage + [word() for _ in range(20)])) for i in range(60)]
+    rows += [(100 + i, " ".join(passage + [word() for _ in range(5)])) for i in range(5)]
+    docs = spark.createDataFrame([(d, t, "clash") for d, t in rows], SCHEMA)
+    kept = sorted(r.doc_id for r in simhash.drop_similar(docs, chunk=8).collect())
+    sets = {d: set(simhash.shingle_hashes(t, 5).tolist()) for d, t in rows}
+    root = {d: d for d in sets}
+    for _ in sets:
+        for i in sets:
+            for j in sets:
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    assert kept == sorted(set(root.values())) and 1 < len(kept) < len(rows)
