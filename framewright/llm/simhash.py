@@ -43,7 +43,7 @@ from framewright.llm.components import components
 from framewright.llm.memory import frugal
 from framewright.llm.skew import join_keyed
 from framewright.llm.text import text_of, unused
-from framewright.storage import broadcast_within, discard, materialize
+from framewright.storage import broadcast_within, materialize
 
 RADIUS = 3
 SHINGLE_WORDS = 5
@@ -56,8 +56,10 @@ TABLES = 9
 GROUP = 3
 CHUNK = 256
 ROUNDS = 3
-SIFTINGS = 4
+PARITY_BITS = 1024
+RANK_BITS = 18
 BROADCAST_ROWS = 200_000
+BROADCAST_KEYS = 2_000_000
 OUT_HASHES = 1 << 20
 
 
@@ -313,39 +315,44 @@ def near_duplicates(
     )
 
 
+def listed(parts: list[np.ndarray]) -> pa.Array:
+    """A list array of these parts."""
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))
+
+
 def sketches(docs: DataFrame, words: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """node, doc_id, text_hash, fp, keys, hashes (the set of all shingles' hashes, in order) and n_set of every row.
+    """node, doc_id, text_hash, fp, keys, hashes (the set of all shingles' hashes, in order), parity and n_set of every row.
 
     keys: TABLES hashes, each of GROUP least hashes of the shingles under one mixing; two texts of similarity s have one
     in common with probability 1 - (1 - s**GROUP)**TABLES, which is 0.998 at 0.8.
     """
     mixers = np.random.default_rng(SEED).integers(1, 1 << 63, (TABLES * GROUP, 2), "u8") | np.uint64(1)
 
-    def listed(parts: list[np.ndarray]) -> pa.Array:
-        ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))
-
     @frugal
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, keys, sets, begin, held = [], [], [], 0, 0
+            fps, keys, sets, parity, begin, held = [], [], [], [], 0, 0
             for k in range(batch.num_rows):
                 own = np.unique(shingle_hashes(batch.column(3)[k].as_py(), words))
                 fps.append(simhash_of(own) if len(own) else 0)  # of the set: links are judged on sets
                 low = np.array([((own ^ x) * m >> np.uint64(20)).min(initial=1 << 44) for x, m in mixers], "u8")
                 keys.append(np.bitwise_xor.reduce(low.reshape(TABLES, GROUP) * mixers[:GROUP, 1], axis=1).view("i8"))
                 sets.append(np.sort(own.view("i8")))
+                flips = np.bincount((own >> np.uint64(8)).astype("i8") % PARITY_BITS, minlength=PARITY_BITS) % 2
+                parity.append(np.packbits(flips.astype("u1"), bitorder="little").tobytes())
                 held += len(own)
                 if held > OUT_HASHES or k == batch.num_rows - 1:
                     same = [c.slice(begin, len(sets)) for c in batch.columns[:3]]
-                    columns = [pa.array(np.array(fps, "u8").view("i8")), listed(keys), listed(sets), pa.array([len(x) for x in sets], pa.int32())]
-                    yield pa.RecordBatch.from_arrays([*same, *columns], ["node", "doc_id", "text_hash", "fp", "keys", "hashes", "n_set"])
-                    fps, keys, sets, begin, held = [], [], [], k + 1, 0
+                    columns = [pa.array(np.array(fps, "u8").view("i8")), listed(keys), listed(sets), pa.array(parity, pa.binary()), pa.array([len(x) for x in sets], pa.int32())]
+                    names = ["node", "doc_id", "text_hash", "fp", "keys", "hashes", "parity", "n_set"]
+                    yield pa.RecordBatch.from_arrays([*same, *columns], names)
+                    fps, keys, sets, parity, begin, held = [], [], [], [], k + 1, 0
 
     chosen = docs.select(
         F.monotonically_increasing_id().alias("node"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text_of(text)), text_of(text)
     )
-    schema = "node long, doc_id long, text_hash long, fp long, keys array<long>, hashes array<long>, n_set int"
+    schema = "node long, doc_id long, text_hash long, fp long, keys array<long>, hashes array<long>, parity binary, n_set int"
     return chosen.mapInArrow(of_batches, schema)
 
 
@@ -409,47 +416,97 @@ def shard_groups(rows: DataFrame, radius: int, similarity: float, chunk: int) ->
     return links
 
 
-def sifted(rows: DataFrame, similarity: float) -> DataFrame:
-    """node, root, key, rank, need: the shared shingles of the nodes that may be alike to one of another root, rarest first.
+def bucket_counts(rows: DataFrame) -> np.ndarray:
+    """How often shingles whose hashes begin with the same RANK_BITS bits occur in the corpus.
 
-    An alike text shares at least ``similarity`` of a text's shingles, so a text may lack fewer than ``need`` of them and
-    meets it in one of its ``need`` rarest.  First in the order of hashes: texts whose ``need`` first hashes stand in no
-    other group are out.  Then texts of which too few shingles stand in other groups are out, as often as that helps.
+    Each task adds up its own; what is shuffled, and comes to the driver, is of fixed size.
     """
-    need = (F.col("n_set") - F.ceil(F.col("n_set") * similarity - 1e-9) + 1).cast("int")
-    some = rows.filter("n_set > 0")
-    first = some.select("node", "root", F.explode(F.slice("hashes", 1, need)).alias("key"))
-    mixed = (F.min("root").alias("low"), F.max("root").alias("high"))
-    keys = materialize(first.groupBy("key").agg(*mixed).filter("low <> high").select("key"), "mixed-keys")
-    met = materialize(first.join(broadcast_within(keys, BROADCAST_ROWS), "key", "left_semi").select("node").distinct(), "met-nodes")
-    here = materialize(some.join(broadcast_within(met, BROADCAST_ROWS), "node", "left_semi").select("node", "root", "hashes", "n_set"), "sifted")
-    for _ in range(SIFTINGS):
-        each = here.select("node", "root", "n_set", F.explode("hashes").alias("key"))
-        common = each.groupBy("key").agg(*mixed, F.count("*").alias("n")).filter("low <> high").select("key", "n", F.col("n").alias("texts"))
-        shared = join_keyed(each, materialize(common, "common"), "key")
-        held = shared.groupBy("node").agg(F.count("*").alias("held"), F.first("n_set").alias("n_set"))
-        stay = materialize(held.filter(F.col("held") >= F.col("n_set") * similarity - 1e-9).select("node", "held"), "stay")
-        done = stay.count() == here.count()
-        before, here = here, materialize(here.join(broadcast_within(stay.select("node"), BROADCAST_ROWS), "node", "left_semi"), "sifted")
-        shared = materialize(shared.join(broadcast_within(stay, BROADCAST_ROWS), "node"), "shared")
-        discard(before)
-        if done:
-            break
-    place = F.row_number().over(Window.partitionBy("node").orderBy("texts", "key"))
-    # What stands in no other group comes before all of these in the order of rarity.
-    ranked = shared.select("node", "root", "n_set", "key", (place + F.col("n_set") - F.col("held")).alias("rank"), need.alias("need"))
-    return materialize(ranked.filter("rank <= need").select("node", "root", "n_set", "key"), "rarest")
+    slices = 16
+
+    @frugal
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(1 << RANK_BITS, "i8")
+        for batch in batches:
+            hashes = batch.column(0).flatten().to_numpy().view("u8")
+            sums += np.bincount((hashes >> np.uint64(64 - RANK_BITS)).astype("i8"), minlength=1 << RANK_BITS)
+        parts = [part.tobytes() for part in np.split(sums, slices)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array(parts, pa.binary())], ["slice", "n"])
+
+    @frugal
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(n, "i8")
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([n.tobytes() for n in sums.values()], pa.binary())], ["slice", "n"])
+
+    schema = "slice int, n binary"
+    found = rows.select("hashes").mapInArrow(counted, schema).repartition("slice").mapInArrow(added, schema)
+    out = np.zeros((slices, (1 << RANK_BITS) // slices), "i8")
+    for r in found.collect():  # 16 rows
+        out[r["slice"]] = np.frombuffer(r["n"], "i8")
+    return out.ravel()
+
+
+def rarest(rows: DataFrame, similarity: float) -> DataFrame:
+    """node, root, n_set, rare of every row with shingles: its rarest hashes, one more than an alike text may lack.
+
+    In one order of all hashes, the first that two alike texts share has at most that many before it in either, so they
+    meet in one of these.  Any order is exact; by the corpus counts of buckets, common passages come last.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(bucket_counts(rows))
+
+    @frugal
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            out = []
+            for k in range(batch.num_rows):
+                hashes = batch.column(3)[k].values.to_numpy()
+                lack = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9))
+                order = np.lexsort((hashes, counts[(hashes.view("u8") >> np.uint64(64 - RANK_BITS)).astype("i8")]))[: lack + 1]
+                out.append(hashes[order])
+            if out:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], listed(out)], ["node", "root", "n_set", "rare"])
+
+    some = rows.filter("n_set > 0").select("node", "root", "n_set", "hashes")
+    return materialize(some.mapInArrow(least, "node long, root long, n_set int, rare array<long>"), "rarest")
+
+
+def may_be_alike(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b, low, high) less those that are apart for sure.
+
+    Two parity sketches differ in at most as many bits as there are shingles that only one of the texts has.
+    """
+    both = pairs
+    for c in "ab":
+        both = both.join(rows.select(F.col("node").alias(c), F.col("parity").alias(f"parity_{c}"), F.col("n_set").alias(f"n_{c}")), c)
+    both = both.select(*pairs.columns, "parity_a", "parity_b", (F.col("n_a") + F.col("n_b")).alias("total"))
+
+    @frugal
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(-1, PARITY_BITS // 64) for c in (4, 5))
+            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype="i8")
+            may = differ <= batch.column(6).to_numpy() * (1 - similarity) / (1 + similarity) + 1e-6
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], list("abcd")).rename_columns(["a", "b", "low", "high"]).filter(pa.array(may))
+
+    return materialize(both.mapInArrow(near, "a long, b long, low long, high long"), "near-pairs")
 
 
 def missed_links(rows: DataFrame, similarity: float, chunk: int) -> DataFrame | None:
     """a, b: alike nodes of different roots that join up their groups, among all pairs that share one of their rarest shingles.
 
-    ``rows`` has node, root, hashes and n_set.  A key of many nodes is met chunk by chunk.  One pair of each two roots is
-    settled first; what it joins need not be compared further.
+    ``rows`` has node, root, hashes, parity and n_set.  Shingles that stand in one group alone have nothing to add.  A key
+    of many nodes is met chunk by chunk.  One pair of each two roots is settled first; what it joins need not be compared
+    further.
     """
-    keyed = sifted(rows, similarity)
-    if keyed.isEmpty():
+    each = rarest(rows, similarity).select("node", "root", "n_set", F.explode("rare").alias("key"))
+    mixed = each.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    mixed = materialize(mixed, "mixed-keys")
+    if mixed.isEmpty():
         return None
+    keyed = materialize(each.join(broadcast_within(mixed, BROADCAST_KEYS), "key"), "mixed-rows")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
     met = join_keyed(keyed, materialize(sizes, "key-sizes"), "key")
     met = materialize(met.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "met")
@@ -458,6 +515,7 @@ def missed_links(rows: DataFrame, similarity: float, chunk: int) -> DataFrame |
     pairs = met.join(other, ["key", "mine"]).filter((F.col("node") < F.col("node_b")) & (F.col("root") != F.col("root_b")) & sized)
     ends = [f("root", "root_b").alias(c) for f, c in ((F.least, "low"), (F.greatest, "high"))]
     pairs = materialize(pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b"), *ends).distinct(), "pairs")
+    pairs = may_be_alike(pairs, rows, similarity)
     one = materialize(pairs.groupBy("low", "high").agg(F.min(F.struct("a", "b")).alias("p")).select("p.*"), "first-pairs")
     links = alike(one, rows, similarity)
     rest = pairs.join(one, ["a", "b"], "left_anti")
@@ -488,7 +546,7 @@ def similar_groups(
     """
     rows = materialize(sketches(docs, words, text, doc_id), "sketches")
     links = shard_groups(rows, radius, similarity, chunk)
-    missed = missed_links(grouped(rows.select("node", "hashes", "n_set"), links), similarity, chunk)
+    missed = missed_links(grouped(rows.select("node", "hashes", "parity", "n_set"), links), similarity, chunk)
     if missed is not None:
         links = missed if links is None else links.unionByName(missed)
     rooted = materialize(grouped(rows.select("node", "doc_id", "text_hash"), links), "grouped")
