@@ -417,35 +417,12 @@ def shard_groups(rows: DataFrame, radius: int, similarity: float, chunk: int) ->
 
 
 def bucket_counts(rows: DataFrame) -> np.ndarray:
-    """How often shingles whose hashes begin with the same RANK_BITS bits occur in the corpus.
-
-    Each task adds up its own; what is shuffled, and comes to the driver, is of fixed size.
-    """
-    slices = 16
-
-    @frugal
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(1 << RANK_BITS, "i8")
-        for batch in batches:
-            hashes = batch.column(0).flatten().to_numpy().view("u8")
-            sums += np.bincount((hashes >> np.uint64(64 - RANK_BITS)).astype("i8"), minlength=1 << RANK_BITS)
-        parts = [part.tobytes() for part in np.split(sums, slices)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array(parts, pa.binary())], ["slice", "n"])
-
-    @frugal
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(n, "i8")
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([n.tobytes() for n in sums.values()], pa.binary())], ["slice", "n"])
-
-    schema = "slice int, n binary"
-    found = rows.select("hashes").mapInArrow(counted, schema).repartition("slice").mapInArrow(added, schema)
-    out = np.zeros((slices, (1 << RANK_BITS) // slices), "i8")
-    for r in found.collect():  # 16 rows
-        out[r["slice"]] = np.frombuffer(r["n"], "i8")
-    return out.ravel()
+    """How often shingles whose hashes begin with the same RANK_BITS bits occur in the corpus; of fixed size."""
+    bucket = F.shiftrightunsigned("h", 64 - RANK_BITS).cast("int").alias("bucket")
+    found = rows.select(F.explode("hashes").alias("h")).select(bucket).groupBy("bucket").agg(F.count("*").alias("n")).toArrow()
+    out = np.zeros(1 << RANK_BITS, "i8")
+    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    return out
 
 
 def rarest(rows: DataFrame, similarity: float) -> DataFrame:
