@@ -6,8 +6,10 @@ import ctypes
 import functools
 import gc
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 
 def release() -> None:
@@ -30,3 +32,15 @@ def frugal(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
             release()
 
     return run
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Hand tasks at most so many rows at a time while this lasts, for rows that are wide."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

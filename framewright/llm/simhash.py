@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.llm.components import components
-from framewright.llm.memory import frugal
+from framewright.llm.memory import frugal, small_batches
 from framewright.llm.skew import join_keyed
 from framewright.llm.text import text_of, unused
 from framewright.storage import broadcast_within, materialize
@@ -447,7 +447,8 @@ def rarest(rows: DataFrame, similarity: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], listed(out)], ["node", "root", "n_set", "rare"])
 
     some = rows.filter("n_set > 0").select("node", "root", "n_set", "hashes")
-    return materialize(some.mapInArrow(least, "node long, root long, n_set int, rare array<long>"), "rarest")
+    with small_batches(rows.sparkSession):
+        return materialize(some.mapInArrow(least, "node long, root long, n_set int, rare array<long>"), "rarest")
 
 
 def may_be_alike(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
@@ -468,7 +469,8 @@ def may_be_alike(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFr
             may = differ <= batch.column(6).to_numpy() * (1 - similarity) / (1 + similarity) + 1e-6
             yield pa.RecordBatch.from_arrays(batch.columns[:4], list("abcd")).rename_columns(["a", "b", "low", "high"]).filter(pa.array(may))
 
-    return materialize(both.mapInArrow(near, "a long, b long, low long, high long"), "near-pairs")
+    with small_batches(rows.sparkSession):
+        return materialize(both.mapInArrow(near, "a long, b long, low long, high long"), "near-pairs")
 
 
 def missed_links(rows: DataFrame, similarity: float, chunk: int) -> DataFrame | None:
@@ -521,7 +523,8 @@ def similar_groups(
     filter by shared shingles finds all pairs that those bounds miss, among texts which are not grouped yet.  Every link
     of either is settled on the whole shingle sets.
     """
-    rows = materialize(sketches(docs, words, text, doc_id), "sketches")
+    with small_batches(docs.sparkSession):
+        rows = materialize(sketches(docs, words, text, doc_id), "sketches")
     links = shard_groups(rows, radius, similarity, chunk)
     missed = missed_links(grouped(rows.select("node", "hashes", "parity", "n_set"), links), similarity, chunk)
     if missed is not None:
