@@ -11,11 +11,11 @@ of squared fills, which drives the emptiest bins to nothing.
 Scale.  Texts never leave the task that reads them: only (doc_id, length, crc)
 rows are shuffled.  A group is bounded, so memory is too, and more rows mean
 more groups; each group ends with about one bin that is not full.  The search
-is bounded by a number of tries, which leaves pieces where they are and drops
-none: pieces longer than half a sequence, say, can't be improved on.
+ends where no exchange raises the sum, or where fewer bins can't hold the pieces.
 
 Edge cases.  Null text counts as empty; an empty text is the end id alone.
 Rows that repeat a doc_id are packed like any others; null doc_ids are kept.
+Of pieces of one length, the earlier row comes first.
 An empty table gives no rows.  Extra columns are ignored.
 """
 
@@ -37,8 +37,6 @@ from framewright.storage import materialize
 
 SEQUENCE_TOKENS = 2048
 GROUP_PIECES = 16_384
-SEARCH_ROUNDS = 8
-SEARCH_TRIES = 100_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -116,63 +114,80 @@ class Bins:
                 with_space[left].append(b)
                 spaces |= 1 << left
 
-    def _exchange(self, a: int, out: list[int], b: int, back: list[int]) -> None:
-        for x, y, moved in ((a, b, out), (b, a, back)):
-            for i in moved:
-                self.items[x].remove(i)
-                self.items[y].append(i)
-                self.fill[x] -= self.sizes[i]
-                self.fill[y] += self.sizes[i]
-
-    def _by_size(self, b: int) -> dict[int, list[int]]:
-        found: dict[int, list[int]] = {}
-        for i in self.items[b]:
-            found.setdefault(self.sizes[i], []).append(i)
-        return found
-
-    def _improve(self, a: int, b: int) -> bool:
-        """Shift weight from ``a`` to the fuller ``b``: a move, one for one, or two for one; the one that fills most."""
-        free = self.capacity - self.fill[b]
-        if not free:
-            return False
-        mine, theirs = self._by_size(a), self._by_size(b)
-        give = [([x[0]], n) for n, x in mine.items()]  # pieces of one size are alike: at most 63 sizes fit 2048 tokens
-        give += [([x[0], y[0]], n + m) for n, x in mine.items() for m, y in mine.items() if m < n]
-        give += [(x[:2], 2 * n) for n, x in mine.items() if len(x) > 1]
-        take = [([], 0), *(([x[0]], n) for n, x in theirs.items())]
-        costs = np.array([c for _, c in take])
-        best, choice = 0, None
-        for out, weight in give:
-            left = np.where((weight - costs > 0) & (weight - costs <= free), weight - costs, 0)
-            k = int(left.argmax())
-            if left[k] > best:
-                best, choice = int(left[k]), (out, take[k][0])
-        if choice is None:
-            return False
-        self._exchange(a, choice[0], b, choice[1])
-        return True
-
-    def local_search(self, rounds: int = SEARCH_ROUNDS, tries: int = SEARCH_TRIES) -> None:
-        """Empty the emptiest bins into the fuller ones while the sum of squared fills rises, for at most so many tries."""
-        for _ in range(rounds):
-            under = sorted((b for b in range(len(self.fill)) if 0 < self.fill[b] < self.capacity), key=self.fill.__getitem__)
-            room = sum(self.capacity - self.fill[b] for b in under)
-            better = False
-            for k, a in enumerate(under):
-                if room - (self.capacity - self.fill[a]) < self.fill[a]:
-                    break  # what the others have left can't take this bin
-                for b in reversed(under[k + 1 :]):
-                    while tries and self.fill[a] and self.fill[b] >= self.fill[a]:
-                        tries -= 1
-                        if not self._improve(a, b):
-                            break
-                        better = True
-                    if not tries or not self.fill[a]:
-                        break
-                if not self.fill[a]:
-                    room -= self.capacity
-            if not better or not tries:
-                break
+    def local_search(self) -> None:
+        """Empty bins into fuller ones while that raises the sum of squared fills, until no exchange does.
+
+        The emptiest bin gives: of all moves into a bin that is at least as full, else of all exchanges one for one, else
+        of all two for one, the one that raises the sum most is made.  A bin that has none is passed over until others
+        have changed.  Each exchange raises a bounded sum, so the search ends; it ends at once when no fewer bins could
+        hold the pieces.
+        """
+        size, fill = np.array(self.sizes, "i8"), np.array(self.fill, "i8")
+        where = np.zeros(len(size), "i8")
+        for b, items in enumerate(self.items):
+            where[items] = b
+        least = -(-int(size.sum()) // self.capacity)
+        again = True
+        while again and np.count_nonzero(fill) > least:
+            again, passed = False, np.zeros(len(fill), bool)
+            while np.count_nonzero(fill) > least:
+                givers = np.flatnonzero((fill > 0) & (fill < self.capacity) & ~passed)
+                if not len(givers):
+                    break
+                a = int(givers[fill[givers].argmin()])
+                found = self._best(a, size, fill, where)
+                if found is None:
+                    passed[a] = True
+                    continue
+                out, back, b = found
+                d = int(size[out].sum() - size[back].sum())
+                where[out], where[back] = b, a
+                fill[a] -= d
+                fill[b] += d
+                again = True
+        self.fill = fill.tolist()
+        self.items = [[] for _ in self.fill]
+        for i, b in enumerate(where.tolist()):
+            self.items[b].append(i)
+
+    def _best(self, a: int, size: np.ndarray, fill: np.ndarray, where: np.ndarray) -> tuple[list[int], list[int], int] | None:
+        """Pieces that bin ``a`` gives, pieces that it takes, and the bin: what raises the sum of squares most."""
+        mine = np.flatnonzero(where == a)
+        _, first = np.unique(size[mine], return_index=True)  # pieces of one size are alike
+        ones = mine[first]
+        takers = np.flatnonzero((fill >= fill[a]) & (fill < self.capacity))
+        takers = takers[takers != a]
+        if not len(takers):
+            return None
+        free = self.capacity - fill
+        moved = np.where(size[ones][:, None] <= free[takers], size[ones][:, None], 0)
+        gain = np.where(moved > 0, moved * (fill[takers] - fill[a] + moved), 0)
+        k, t = np.unravel_index(int(gain.argmax()), gain.shape)
+        if gain[k, t] > 0:
+            return [int(ones[k])], [], int(takers[t])
+        open_to = np.zeros(len(fill), bool)
+        open_to[takers] = True
+        theirs = np.flatnonzero(open_to[where])
+        room, ahead = free[where[theirs]], fill[where[theirs]] - fill[a]
+
+        def swap(give: np.ndarray, of: list[list[int]]) -> tuple[list[int], list[int], int] | None:
+            best, choice = 0, None
+            for begin in range(0, len(give), 64):
+                d = give[begin : begin + 64, None] - size[theirs]
+                gain = np.where((d > 0) & (d <= room), d * (ahead + d), 0)
+                k, t = np.unravel_index(int(gain.argmax()), gain.shape)
+                if gain[k, t] > best:
+                    best, choice = gain[k, t], (of[begin + k], [int(theirs[t])], int(where[theirs[t]]))
+            return choice
+
+        found = swap(size[ones], [[int(i)] for i in ones])
+        if found is not None:
+            return found
+        pairs: dict[int, list[int]] = {}
+        for x in range(len(mine)):
+            for y in range(x):
+                pairs.setdefault(int(size[mine[x]] + size[mine[y]]), [int(mine[x]), int(mine[y])])
+        return swap(np.array(list(pairs), "i8"), list(pairs.values())) if pairs else None
 
     def places(self) -> tuple[np.ndarray, np.ndarray]:
         """Bin and offset of each piece."""

@@ -65,10 +65,28 @@ def test_local_search_empties_a_bin_by_an_exchange():
 def test_search_ends_where_nothing_can_be_gained():
     bins = packing.Bins([1025 + k % 1000 for k in range(6000)], 2048)
     bins.best_fit()
-    bins.local_search(tries=500)
+    bins.local_search()
     assert len(bins.items) == 6000 and all(len(x) == 1 for x in bins.items)
 
 
+def test_search_ends_at_a_local_optimum():
+    """No move, exchange one for one or two for one that raises the sum of squares is left, unless the bins are the fewest."""
+    for seed in range(12):
+        rng = random.Random(seed)
+        bins = packing.Bins([rng.randint(20, 60) for _ in range(40)], 100)
+        bins.best_fit()
+        bins.local_search()
+        if sum(1 for f in bins.fill if f) == -(-sum(bins.sizes) // 100):
+            continue
+        for a, mine in enumerate(bins.items):
+            for b, theirs in enumerate(bins.items):
+                if a == b or not bins.fill[a] or not bins.fill[a] <= bins.fill[b] < 100 or bins.fill[a] == 100:
+                    continue
+                give = [bins.sizes[i] for i in mine] + [bins.sizes[i] + bins.sizes[j] for i in mine for j in mine if i < j]
+                take = [0] + [bins.sizes[i] for i in theirs]
+                assert not any(0 < g - t <= 100 - bins.fill[b] for g in give for t in take)
+
+
 def test_query_against_a_plain_reading(spark, library):
     texts = {i: t for i, t in enumerate(ODD)} | {100: None, 101: "to be or not " * 900}
     rows = [(i, t, "clash") for i, t in texts.items()] + [(7, "twice", "x"), (None, "no id", None)]
