@@ -10,8 +10,9 @@ byte per code point, the change of the count there; a running sum answers how
 many tokens a prefix has, and how long a prefix fits a budget, without another
 encoding.
 
-Scale.  No shuffle: each text is counted where it is read.  A worker keeps a
-bounded number of units.
+Scale.  No shuffle: each text is counted where it is read, and its changes are
+written, a byte a code point; every question is answered from that table.  A
+worker keeps a bounded number of units.
 
 Edge cases.  Null text counts as empty and has no tokens.  Special strings
 inside a text are single tokens, as the library takes them by default.  Rows
@@ -37,6 +38,7 @@ from pyspark.sql import functions as F
 from framewright.llm.memory import frugal
 from framewright.llm.text import text_of
 from framewright.llm.units import LATIN_END, PATTERN, UnitCache, byte_letters, latin_word, units
+from framewright.storage import materialize
 
 LIMIT = 512
 KEPT_PAIRS = 500_000
@@ -165,31 +167,23 @@ def counter(tokenizer_path: str) -> PrefixCounter:
     return PrefixCounter(tokenizer_path)
 
 
-def prefix_changes(
-    docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "doc_id", keep_changes: bool = True
-) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and, if kept, changes (binary, one signed byte per code point)."""
+def prefix_changes(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, text_hash, n_bytes and changes (binary, one signed byte per code point)."""
 
     @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         changes_of = counter(tokenizer_path)
         for batch in batches:
-            changes = [changes_of(t) for t in batch.column(2).to_pylist()]
-            n = [int(np.frombuffer(c, "i1").sum(dtype="i8")) for c in changes]
-            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64())]
-            names = ["doc_id", "n_bytes", "n_tokens"]
-            if keep_changes:
-                columns.append(pa.array(changes, pa.binary()))
-                names.append("changes")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            changes = pa.array([changes_of(t) for t in batch.column(3).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], changes], ["doc_id", "text_hash", "n_bytes", "changes"])
 
     chosen = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
+        F.xxhash64(text_of(text)).alias("text_hash"),
         F.octet_length(text_of(text)).cast("long").alias("n_bytes"),
         text_of(text).alias("text"),
     )
-    schema = "doc_id long, n_bytes long, n_tokens long" + ", changes binary" * keep_changes
-    return chosen.mapInArrow(count, schema)
+    return chosen.mapInArrow(count, "doc_id long, text_hash long, n_bytes long, changes binary")
 
 
 def tokens_of_prefix(changes: bytes, n_chars: int) -> int:
@@ -203,30 +197,47 @@ def longest_prefix(changes: bytes, budget: int) -> int:
     return int(np.flatnonzero(counts <= budget)[-1])
 
 
-def truncated(
-    docs: DataFrame, budget: int, tokenizer_path: str, text: str = "text", doc_id: str = "doc_id"
-) -> DataFrame:
-    """doc_id, kept_chars, kept_text: the longest prefix of each text within ``budget`` tokens."""
+def answered(stored: DataFrame, budget: int = LIMIT) -> DataFrame:
+    """``stored``, rows of ``prefix_changes``, with n_tokens, over_limit, kept_chars and kept_tokens, from the changes alone.
+
+    kept_chars and kept_tokens: the longest prefix of at most ``budget`` tokens, in code points, and its tokens.
+    """
 
     @frugal
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        changes_of = counter(tokenizer_path)
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            keep = [longest_prefix(changes_of(t), budget) for t in texts]
-            kept = [t[:n] for t, n in zip(texts, keep, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keep, pa.int64()), pa.array(kept, pa.string())],
-                ["doc_id", "kept_chars", "kept_text"],
-            )
-
-    chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    return chosen.mapInArrow(cut, "doc_id long, kept_chars long, kept_text string")
+            total, chars, kept = [], [], []
+            for changes in batch.column(3):
+                counts = np.cumsum(np.frombuffer(changes.as_buffer(), "i1"), dtype="i8")
+                n = int(counts[-1]) if len(counts) else 0
+                fit = len(counts) if n <= budget else int(np.flatnonzero(counts <= budget)[-1]) + 1 if (counts <= budget).any() else 0
+                total.append(n)
+                chars.append(fit)
+                kept.append(int(counts[fit - 1]) if fit else 0)
+            columns = [pa.array(x, pa.int64()) for x in (total, chars, kept)]
+            names = ["doc_id", "text_hash", "n_bytes", "n_tokens", "kept_chars", "kept_tokens"]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names)
+
+    schema = "doc_id long, text_hash long, n_bytes long, n_tokens long, kept_chars long, kept_tokens long"
+    found = stored.select("doc_id", "text_hash", "n_bytes", "changes").mapInArrow(answer, schema)
+    return found.withColumn("over_limit", F.col("n_tokens") > budget)
+
+
+def truncated(docs: DataFrame, stored: DataFrame, budget: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, kept_chars, kept_text of every row: the longest prefix within ``budget`` tokens.  Nothing is encoded."""
+    cuts = answered(stored, budget).select(F.col("doc_id").alias("of"), F.col("text_hash").alias("hash"), "kept_chars")
+    cuts = cuts.dropDuplicates(["of", "hash"])
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
+    met = rows.join(cuts, F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("hash")))
+    return met.select("doc_id", "kept_chars", F.substring("text", F.lit(1), F.col("kept_chars").cast("int")).alias("kept_text"))
 
 
 def count_tokens(
     docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for every document, from the stored changes."""
-    counted = prefix_changes(docs, tokenizer_path, text, doc_id, keep_changes=False)
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+    """doc_id, n_bytes, n_tokens, over_limit, kept_chars, kept_tokens for every document.
+
+    The changes are written once; counts and the longest prefix within the limit are read from them.
+    """
+    stored = materialize(prefix_changes(docs, tokenizer_path, text, doc_id), "prefix-changes")
+    return answered(stored, limit).select("doc_id", "n_bytes", "n_tokens", "over_limit", "kept_chars", "kept_tokens")

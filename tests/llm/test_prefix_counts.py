@@ -51,7 +51,11 @@ def test_query_and_truncation(spark, library):
     want = [(d, len((t or "").encode()), len(library.encode(t or "").ids)) for d, t in rows]
     assert sorted([(r.doc_id, r.n_bytes, r.n_tokens) for r in out], key=str) == sorted(want, key=str)
     assert all(r.over_limit == (r.n_tokens > 512) for r in out)
-    cut = {r.doc_id: r for r in prefix_counts.truncated(docs, 7, tokenizer_file()).collect()}
+    for r in out:
+        assert r.kept_tokens <= 512 and (r.over_limit or r.kept_tokens == r.n_tokens)
+    stored = prefix_counts.prefix_changes(docs, tokenizer_file())
+    cut = {r.doc_id: r for r in prefix_counts.truncated(docs, stored, 7).collect()}
+    assert set(cut) == {d for d, _ in rows}
     assert len(library.encode(cut[91].kept_text).ids) <= 7 and cut[91].kept_chars == len(cut[91].kept_text)
 
 
