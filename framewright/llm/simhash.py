@@ -54,7 +54,7 @@ SIMILARITY = 0.8
 WIDE_RADIUS = 18
 TABLES = 9
 GROUP = 3
-CHUNK = 256
+CHUNK = 1024
 ROUNDS = 3
 PARITY_BITS = 1024
 RANK_BITS = 18
