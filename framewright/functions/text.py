@@ -94,6 +94,11 @@ def step_of(path: Column) -> Column:
     return F.nullif(F.regexp_extract(path, r"step[_-](\d+)$", 1), F.lit("")).cast("long")
 
 
+def frame_number(path: Column) -> Column:
+    """The number after the last underscore of a frame's file name, by which frames sort; null without one."""
+    return F.nullif(F.regexp_extract(path, r"_(\d+)\.[^._]*$", 1), F.lit("")).cast("long")
+
+
 def parse_bool(word: Column) -> Column:
     low = F.lower(F.trim(word))
     fail = F.raise_error(F.concat(F.lit("not a truth value: "), word)).cast("boolean")

@@ -6,7 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Channels by pixel format or image mode; the first that the name contains holds.
-CHANNELS = [("gray", 1), ("gbrap", 4), ("rgba", 4), ("bgra", 4), ("yuva", 4), ("rgb", 3), ("bgr", 3), ("yuv", 3)]
+CHANNELS = [
+    ("gray", 1), ("depth", 1), ("monochrome", 1), ("gbrap", 4), ("rgba", 4), ("bgra", 4), ("yuva", 4), ("rgb", 3), ("bgr", 3), ("yuv", 3),
+]
+
+#: Channels by image mode.
+MODES = {"L": 1, "LA": 2, "RGB": 3, "RGBA": 4}
+
+#: The longest episode of each suite, in steps.
+SUITE_STEPS = {"libero_spatial": 400, "libero_object": 400, "libero_goal": 400, "libero_10": 700, "libero_90": 700}
 
 
 def bad_embeddings(rows: DataFrame, context: str, mask: str, length: int, width: int, *keys: str) -> DataFrame:
@@ -50,6 +58,27 @@ def channels(pixel_format: Column) -> Column:
     return out
 
 
+def of_table(word: Column, values: dict[str, int], what: str) -> Column:
+    """The word's number in a fixed table; fails on a word that it lacks."""
+    out = F.raise_error(F.concat(F.lit(f"unknown {what} "), word)).cast("int")
+    for name, n in values.items():
+        out = F.when(word == name, F.lit(n)).otherwise(out)
+    return out
+
+
+def mode_channels(mode: Column) -> Column:
+    return of_table(mode, MODES, "image mode")
+
+
+def suite_steps(suite: Column) -> Column:
+    return of_table(suite, SUITE_STEPS, "suite")
+
+
+def trial_state(trial: Column, states: Column) -> Column:
+    """Which of the initial states a trial begins in."""
+    return F.pmod(trial, states)
+
+
 def canvas(widths: list[Column], heights: list[Column], layout: str) -> tuple[Column, Column]:
     """Width and height of cameras side by side or one above the other."""
     total = lambda xs: sum(xs[1:], xs[0])

@@ -65,6 +65,26 @@ def offsets(frames: DataFrame, episode: str, dataset: str | None = None, fan: in
     return out.select(*parts, episode, "length", end.alias("end"), (end - F.col("length")).alias("begin"))
 
 
+def route(places: DataFrame, place: str, sizes: DataFrame, dataset: str, length: str = "length") -> DataFrame:
+    """``places`` (rows over all datasets laid end to end) with dataset and local_row; places beyond the end are left out.
+
+    ``sizes`` has one row a dataset; it is put in order in one task and broadcast.
+    """
+    before = F.sum(length).over(Window.orderBy(dataset).rowsBetween(Window.unboundedPreceding, -1))
+    begin = sizes.select(dataset, F.coalesce(before, F.lit(0)).alias("__begin"), F.col(length).alias("__length"))
+    inside = (F.col(place) >= F.col("__begin")) & (F.col(place) < F.col("__begin") + F.col("__length"))
+    met = places.join(F.broadcast(begin), inside)
+    return met.withColumn("local_row", F.col(place) - F.col("__begin")).drop("__begin", "__length")
+
+
+def one_rate(datasets: DataFrame, path: str, fps: str) -> DataFrame:
+    """One row: datasets, whether all have one fps, whether the last parts of their paths differ."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return datasets.agg(
+        F.count("*").alias("datasets"), (F.countDistinct(fps) <= 1).alias("one_fps"), (F.countDistinct(name) == F.count("*")).alias("names_differ")
+    )
+
+
 def split(episodes: list[int], share: float, seed: int = 42) -> tuple[list[int], list[int]]:
     """Training and held-out episodes: a seeded shuffle of the list, cut at ``int(n * (1 - share))``.
 
@@ -78,13 +98,22 @@ def split(episodes: list[int], share: float, seed: int = 42) -> tuple[list[int],
     return order[:cut], order[cut:]
 
 
+def split_table(rows: DataFrame, episode: str, share: float, seed: int = 42) -> DataFrame:
+    """episode, part ("train" or "held") of all episodes of a table: its seeded order cut at ``int(n * (1 - share))``."""
+    placed = epoch_order(rows.select(episode).distinct(), episode, seed, 0)
+    n = placed.agg(F.count("*").alias("__n"))
+    first = F.floor(F.col("__n") * (1 - share)) if share >= 1e-6 else F.col("__n")
+    told = placed.crossJoin(F.broadcast(n))  # one row
+    return told.select(episode, F.when(F.col("place") < first, "train").otherwise("held").alias("part"))
+
+
 def epoch_order(rows: DataFrame, key: str, seed: int, epoch: int, skip: int = 0) -> DataFrame:
-    """``rows`` with their place in a permutation that seed and epoch fix, less the first ``skip`` places.
+    """``rows`` with their place in the permutation by md5 of seed + epoch and key, less the first ``skip`` places.
 
     Places are counted within ranges of the hash and ranges are laid end to end, so no task orders all rows.
     """
-    hashed = rows.withColumn("__h", F.xxhash64(F.lit(seed + epoch), F.col(key)))
-    ranged = hashed.withColumn("__r", F.shiftright("__h", 52))
+    hashed = rows.withColumn("__h", F.md5(F.concat_ws(":", F.lit(str(seed + epoch)), F.col(key).cast("string")).cast("binary")))
+    ranged = hashed.withColumn("__r", F.substring("__h", 1, 3))
     inner = F.row_number().over(Window.partitionBy("__r").orderBy("__h", key))
     sizes = ranged.groupBy("__r").agg(F.count("*").alias("__n"))  # at most 4096 rows
     before = F.sum("__n").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1))

@@ -120,6 +120,11 @@ def stride(values: Column, ratio: int) -> Column:
     return F.filter(values, lambda x, i: i % ratio == 0)
 
 
+def strided(rows: DataFrame, place: str, ratio: int) -> DataFrame:
+    """The rows at every ``ratio``-th place from 0."""
+    return rows.filter((F.col(place) >= 0) & (F.col(place) % ratio == 0))
+
+
 def group_causal(query: Column, key: Column, size: int) -> Column:
     """Whether a query's group is not before the key's; the first group is seen by all."""
     return (key < size) | (F.floor(query / size) >= F.floor(key / size))

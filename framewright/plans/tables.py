@@ -266,11 +266,11 @@ def latest_file(spark, sf_dir):
     return summary.latest(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderkey", "o_orderdate", F.lit("1995-01-01").cast("timestamp"))
 
 
-@query(f"WITH {FRAMES} SELECT user_id AS episode_index, frame_index, round(value, 6) AS value FROM frames WHERE user_id < 40")
+@query(f"WITH {FRAMES} SELECT user_id AS episode_index, frame_index, round(value, 6) AS value FROM frames")
 def parquet_roundtrip(spark, sf_dir):
-    rows = frames(spark, sf_dir).filter("user_id < 40").select(F.col("user_id").alias("episode_index"), "frame_index", "value")
+    rows = frames(spark, sf_dir).select(F.col("user_id").alias("episode_index"), "frame_index", "value")
     root = new_path(spark, "frames")
-    datasets.write_frames(rows, root, chunk=16)
+    datasets.write_frames(rows, root, chunk=1000)
     back = datasets.read_frames(spark, root).select(F.col("episode_index").cast("long").alias("episode_index"), "frame_index", "value")
     return rounded(back, "value")
 
@@ -338,3 +338,86 @@ def input_contract(spark, sf_dir):
 def legacy_statistics(spark, sf_dir):
     stats = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
     return datasets.legacy_stats(stats, table(spark, sf_dir, "events").withColumnRenamed("user_id", "episode_index"))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS k, 'run/frame_' || p_partkey || '.png' AS path, ['gray', 'gray16le', 'depth', 'monochrome', 'rgba', 'yuva420p', 'rgb24', 'yuv420p'][p_partkey % 8 + 1] AS f,
+  ['L', 'LA', 'RGB', 'RGBA'][p_partkey % 4 + 1] AS m FROM part)
+SELECT k, path, row_number() OVER (PARTITION BY k % 64 ORDER BY k) - 1 AS place, [1, 1, 1, 1, 4, 4, 3, 3][k % 8 + 1] AS channels, [1, 2, 3, 4][k % 4 + 1] AS mode_channels FROM p"""
+)
+def frame_files(spark, sf_dir):
+    """Frames' files by number, not by name, and channels of formats and modes."""
+    k = F.col("p_partkey")
+    of = lambda words: F.element_at(F.array(*map(F.lit, words)), (k % len(words) + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select(
+        k.alias("k"),
+        F.concat(F.lit("run/frame_"), k.cast("string"), F.lit(".png")).alias("path"),
+        checks.channels(of(["gray", "gray16le", "depth", "monochrome", "rgba", "yuva420p", "rgb24", "yuv420p"])).alias("channels"),
+        checks.mode_channels(of(["L", "LA", "RGB", "RGBA"])).alias("mode_channels"),
+    )
+    place = F.row_number().over(Window.partitionBy(F.col("k") % 64).orderBy(fx.frame_number(F.col("path")))) - 1
+    return rows.withColumn("place", place.cast("long"))
+
+
+@query(
+    """SELECT o_orderkey, ['libero_spatial', 'libero_object', 'libero_goal', 'libero_10', 'libero_90'][o_orderkey % 5 + 1] AS suite,
+  [400, 400, 400, 700, 700][o_orderkey % 5 + 1] AS steps, o_orderkey % 50 AS state, printf('%.2f', (o_orderkey % 101) / 101.0 * 100) AS percent,
+  CASE WHEN o_orderkey % 7 > 0 THEN round(o_totalprice / (o_orderkey % 7) * (10 - o_orderkey % 7), 4) END AS remaining FROM orders"""
+)
+def trial_plan(spark, sf_dir):
+    """Longest episode by suite, initial state by trial, percentage and time left."""
+    from framewright.functions import schedules
+
+    k = F.col("o_orderkey")
+    suites = list(checks.SUITE_STEPS)
+    suite = F.element_at(F.array(*map(F.lit, suites)), (k % len(suites) + 1).cast("int"))
+    left = schedules.remaining_seconds(k % 7, F.lit(10), F.col("o_totalprice"))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        suite.alias("suite"),
+        checks.suite_steps(suite).alias("steps"),
+        checks.trial_state(k, F.lit(50)).alias("state"),
+        fx.percentage((k % 101) / 101.0).alias("percent"),
+        F.round(left, 4).alias("remaining"),
+    )
+
+
+@query(
+    """SELECT count(*) AS datasets, count(DISTINCT n_regionkey % 1) <= 1 AS one_fps, count(DISTINCT n_name) = count(*) AS names_differ FROM nation"""
+)
+def dataset_rates(spark, sf_dir):
+    from framewright.operators import episodes
+
+    rows = table(spark, sf_dir, "nation").select(F.concat(F.lit("data/"), "n_name").alias("path"), (F.col("n_regionkey") % 1).alias("fps"))
+    return episodes.one_rate(rows, "path", "fps")
+
+
+@query(
+    """SELECT vec_id, list_count(embedding) = 64 AS whole, round(CAST(embedding[1] AS DOUBLE), 5) AS first_value, len(embedding) - 1 AS after_drop,
+  round(CAST(embedding[1] AS DOUBLE) / 255.0, 6) AS unit, round(CAST(embedding[1] AS DOUBLE) * 2.0 / 255.0 - 1.0, 6) AS signed FROM embeddings"""
+)
+def vector_checks(spark, sf_dir):
+    """Width check, last step dropped, pixel scalings."""
+    from framewright.functions import normalize
+    from framewright.operators import vectors
+
+    v = F.col("embedding")
+    first = F.element_at(v, 1).cast("double")
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id",
+        (F.size(vectors.as_vector(v, 64)) == 64).alias("whole"),
+        F.round(first, 5).alias("first_value"),
+        F.size(vectors.drop_last(v)).cast("long").alias("after_drop"),
+        F.round(normalize.pixels_to_unit(first), 6).alias("unit"),
+        F.round(normalize.pixels_to_signed(first), 6).alias("signed"),
+    )
+
+
+@query("SELECT o_orderkey, o_orderstatus AS task, o_totalprice AS duration FROM orders")
+def result_documents(spark, sf_dir):
+    """Results written as JSON lines and read by their schema."""
+    rows = table(spark, sf_dir, "orders")
+    path = new_path(spark, "results")
+    datasets.append_jsonl(rows.select(F.col("o_orderstatus").alias("task_suite"), F.col("o_orderkey").alias("task_id"), F.col("o_totalprice").alias("duration")), path)
+    back = datasets.read_jsonl(spark, path, datasets.RESULTS)
+    return back.select(F.col("task_id").alias("o_orderkey"), F.col("task_suite").alias("task"), "duration")

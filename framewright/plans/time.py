@@ -44,9 +44,14 @@ def exclusion_audit(spark, sf_dir):
     return episodes.exclusion_audit(table(spark, sf_dir, "events"), out, "user_id")
 
 
-@query("SELECT count(DISTINCT user_id) AS episodes, count(*) AS frames, 150 AS expected, count(DISTINCT user_id) = 150 AS matches FROM events")
+@query(
+    """SELECT count(DISTINCT user_id) AS episodes, count(*) AS frames, max(user_id) + 1 AS expected, count(DISTINCT user_id) = max(user_id) + 1 AS matches
+FROM events"""
+)
 def expected_counts(spark, sf_dir):
-    return episodes.check_count(table(spark, sf_dir, "events"), "user_id", F.lit(150))
+    """Episodes are numbered from 0, so there should be one more than the largest number."""
+    events = table(spark, sf_dir, "events")
+    return episodes.check_count(events, "user_id", F.lit(events.agg(F.max("user_id")).first()[0] + 1))
 
 
 _DELTAS = """WITH {frames} SELECT a.user_id, a.frame_index, d.d AS delta,
@@ -114,11 +119,7 @@ def nearest_match(spark, sf_dir):
 
 @query("SELECT conv_id, turn, role FROM conversations WHERE turn % 3 = 0")
 def stride_subsample(spark, sf_dir):
-    grouped = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("turns"))
-    first = F.element_at("turns", 1)["turn"]
-    ahead = F.transform(F.sequence(F.lit(0), F.element_at("turns", -1)["turn"]), lambda t: F.element_at(F.filter("turns", lambda x: x["turn"] == t), 1))
-    dense = F.when(first >= 0, temporal.stride(ahead, 3))
-    return grouped.select("conv_id", F.explode(F.filter(dense, lambda x: x.isNotNull())).alias("t")).select("conv_id", "t.turn", "t.role")
+    return temporal.strided(table(spark, sf_dir, "conversations"), "turn", 3).select("conv_id", "turn", "role")
 
 
 @query(
@@ -210,15 +211,25 @@ def even_sample(spark, sf_dir):
 
 
 @query(
-    "WITH e AS (SELECT unnest(range(150)) AS user_id) SELECT user_id, CASE WHEN user_id IN ("
-    + ", ".join(map(str, sorted(episodes.split(list(range(150)), 0.1)[1])))
-    + ") THEN 'held' ELSE 'train' END AS part, count(*) AS frames FROM events WHERE user_id < 150 GROUP BY ALL"
+    """WITH o AS (SELECT user_id, row_number() OVER (ORDER BY md5('42:' || user_id), user_id) - 1 AS place, count(*) OVER () AS n
+  FROM (SELECT DISTINCT user_id FROM events))
+SELECT user_id, CASE WHEN place < floor(n * 0.9) THEN 'train' ELSE 'held' END AS part, count(*) AS frames FROM events JOIN o USING (user_id) GROUP BY ALL"""
 )
 def split_episodes(spark, sf_dir):
-    train, held = episodes.split(list(range(150)), 0.1)
-    parts = spark.createDataFrame([(e, "train") for e in train] + [(e, "held") for e in held], "user_id long, part string")
-    met = table(spark, sf_dir, "events").join(F.broadcast(parts), "user_id")  # the list of episodes drawn on the driver
-    return met.groupBy("user_id", "part").agg(F.count("*").alias("frames"))
+    events = table(spark, sf_dir, "events").select("user_id")
+    return events.join(episodes.split_table(events, "user_id", 0.1), "user_id").groupBy("user_id", "part").agg(F.count("*").alias("frames"))
+
+
+@query(
+    """WITH s AS (SELECT user_id % 3 AS dataset, count(*) AS length FROM events GROUP BY ALL),
+o AS (SELECT dataset, length, coalesce(sum(length) OVER (ORDER BY dataset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM s)
+SELECT e.event_id, o.dataset, CAST(e.event_id - o.b AS BIGINT) AS local_row FROM events e JOIN o ON e.event_id >= o.b AND e.event_id < o.b + o.length"""
+)
+def dataset_route(spark, sf_dir):
+    """A place over all datasets as a dataset and a row of it."""
+    events = table(spark, sf_dir, "events")
+    sizes = events.groupBy((F.col("user_id") % 3).alias("dataset")).agg(F.count("*").alias("length"))
+    return episodes.route(events.select("event_id"), "event_id", sizes, "dataset")
 
 
 @query("SELECT event_id, event_id // 64 AS batch, event_id % 64 AS in_batch FROM events WHERE event_id % 4 = 1")
@@ -227,7 +238,10 @@ def rank_batches(spark, sf_dir):
     return episodes.batches(rows, "event_id", 64)
 
 
-@query()
+@query(
+    """WITH o AS (SELECT event_id, row_number() OVER (ORDER BY md5('9:' || event_id), event_id) - 1 AS place FROM events)
+SELECT event_id, place FROM o WHERE place >= 128"""
+)
 def epoch_order(spark, sf_dir):
     return episodes.epoch_order(table(spark, sf_dir, "events").select("event_id"), "event_id", seed=7, epoch=2, skip=128)
 
