@@ -35,12 +35,15 @@ def frugal(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Hand tasks at most so many rows at a time while this lasts, for rows that are wide."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+def small_batches(spark: SparkSession, rows: int = 1000, held: int = 4 << 20) -> Iterator[None]:
+    """Hand tasks at most so many rows and about so many bytes at a time while this lasts, for rows that are wide."""
+    by_rows, by_bytes = (f"spark.sql.execution.arrow.max{what}PerBatch" for what in ("Records", "Bytes"))
+    before = {name: spark.conf.get(name) for name in (by_rows, by_bytes)}
+    most = int(before[by_rows])
+    spark.conf.set(by_rows, min(rows, most) if most > 0 else rows)
+    spark.conf.set(by_bytes, held)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
