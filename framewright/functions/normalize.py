@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,6 +57,12 @@ def denormalize(y: Column, scale: Column, offset: Column) -> Column:
     return (y - offset) / scale
 
 
+def adapter(mode: str, stats: dict[str, Column]) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+    """One key's way in and way back."""
+    scale, offset = coefficients(mode, stats)
+    return lambda x: normalize(x, scale, offset), lambda y: denormalize(y, scale, offset)
+
+
 def normalize_array(x: Column, scale: Column, offset: Column) -> Column:
     """The same for arrays of one width."""
     zipped = F.arrays_zip(x.alias("x"), scale.alias("s"), offset.alias("o"))

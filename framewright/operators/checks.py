@@ -45,6 +45,29 @@ def input_faults(frames: Column, height: Column, width: Column, actions: Column,
     return F.filter(F.array(*rules), lambda x: x.isNotNull())
 
 
+def stats_faults(feature: Column, stat: Column, values: Column) -> Column:
+    """What breaks the rules of statistics: no value at all, a count that is not one number, an image's that are not three."""
+    return (
+        F.when(values.isNull() | (F.size(values) == 0), "empty")
+        .when((stat == "count") & (F.size(values) != 1), "count")
+        .when((stat != "count") & F.contains(feature, F.lit("image")) & (F.size(values) != 3), "channels")
+    )
+
+
+def mask_faults(masks: DataFrame, widths: DataFrame, key: str, mask: str, width: str) -> DataFrame:
+    """key, fault of masks that have no declared key, are missing, or are not as long as declared."""
+    declared = F.when(F.col(width).isNull(), "unknown key")
+    fault = declared.when(F.col(mask).isNull(), "missing").when(F.size(mask) != F.col(width), "length")
+    met = masks.select(key, mask).join(widths.select(key, width), key, "full")
+    return met.select(key, fault.alias("fault")).filter("fault IS NOT NULL")
+
+
+def before_version(version: Column, gate: str) -> Column:
+    """Whether a version such as v2.0 comes before the gate, number by number."""
+    numbers = lambda v: F.transform(F.split(F.ltrim(v, F.lit("v")), r"\."), lambda x: x.cast("int"))
+    return numbers(version) < numbers(F.lit(gate))
+
+
 def over_length(masks: Column) -> Column:
     """Whether a prompt's mask is true throughout, as it is when the prompt was cut."""
     return F.forall(masks, lambda m: m)

@@ -31,6 +31,22 @@ def _measures(trials: str, successes: str, seconds: str) -> list[Column]:
     ]
 
 
+def summary_document(results: DataFrame, suite: str, trials: str, successes: str, seconds: str) -> DataFrame:
+    """One row: ``suites``, a struct each in order of name, and ``overall``; one pass over the results."""
+    each = results.rollup(suite).agg(F.grouping(suite).alias("__all"), *_measures(trials, successes, seconds))
+    row = F.struct(*[c for c in each.columns if c != "__all"])
+    return each.agg(
+        F.sort_array(F.collect_list(F.when(F.col("__all") == 0, row))).alias("suites"),
+        F.first(F.when(F.col("__all") == 1, row), ignorenulls=True).alias("overall"),
+    )
+
+
+def failed_tasks(rates: DataFrame, task: str, *phases: str) -> DataFrame:
+    """task, failed: the tasks that lack a rate, with the phases that lack it in the order given."""
+    lacks = F.filter(F.array(*[F.when(F.col(p).isNull(), F.lit(p)) for p in phases]), lambda p: p.isNotNull())
+    return rates.select(task, lacks.alias("failed")).filter(F.size("failed") > 0)
+
+
 def suite_rank(suite: Column, order: list[str]) -> Column:
     """A suite's place in the fixed order; unknown ones last."""
     place = F.array_position(F.array(*map(F.lit, order)), suite)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from framewright.plans import signals, tables, time
+from framewright.plans import metadata, signals, tables, time
 from framewright.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "delta_gather"
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "signals", "tables", "time"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "metadata", "signals", "tables", "time"]

@@ -248,13 +248,14 @@ def epoch_order(spark, sf_dir):
 
 @query(
     f"""WITH {CHUNKS}, m AS (SELECT user_id, frame_index + "offset" AS step, round(avg(x), 6) AS mean, count(*) AS votes FROM chunks GROUP BY ALL)
-SELECT m.* FROM m JOIN (SELECT DISTINCT user_id, n FROM frames) f ON f.user_id = m.user_id AND m.step < f.n - 1"""
+SELECT * FROM m"""
 )
 def ensemble_stream(spark, sf_dir):
-    """The same means from a stream of chunks: steps are out once a later chunk has settled them."""
+    """The same means from a stream of chunks: steps are out once a later chunk, or the rollout's end, has settled them."""
     given, out, state = (new_path(spark, f"ensemble-{part}") for part in ("in", "out", "state"))
     chunks = _chunks(spark, sf_dir).select(F.col("user_id").alias("rollout"), F.col("frame_index").alias("start"), "chunk")
-    chunks.write.parquet(given)
+    ends = chunks.groupBy("rollout").agg((F.max("start") + 1).alias("start")).withColumn("chunk", F.lit(None).cast("array<double>"))
+    chunks.unionByName(ends).write.parquet(given)
     source = spark.readStream.schema("rollout long, start long, chunk array<double>").parquet(given)
     stream = ensembler.ensemble_stream(source).writeStream.format("parquet").outputMode("append")
     stream.option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()

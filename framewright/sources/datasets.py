@@ -12,6 +12,10 @@ RESULTS = (
     "task_suite string, task_id long, total_episodes long, gpu_id long, start_time string, successes long, "
     "success_episodes array<long>, failure_episodes array<long>, task_description string, duration double"
 )
+INFO = (
+    "total_episodes long, total_frames long, total_tasks long, total_chunks long, chunks_size long, fps double, split_train string, "
+    "features map<string,struct<dtype:string,shape:array<long>,names:array<string>>>"
+)
 #: Annotation tables of a dataset.
 ANNOTATIONS = ["task", "coarse_task", "quality", "coarse_quality", "operating_hand", "atomic_task", "subtask"]
 
@@ -56,6 +60,53 @@ def read_episodes(spark: SparkSession, root: str) -> DataFrame:
     return read_jsonl(spark, f"{root}/meta/episodes.jsonl", EPISODES)
 
 
+def write_document(row: DataFrame, path: str) -> None:
+    """A table of one row as one JSON document."""
+    row.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_info(counts: DataFrame, features: dict[str, dict], root: str) -> None:
+    """The info document: a dataset's counts (one row, as ``info_document`` gives) with its declared features."""
+    declared = [
+        F.struct(
+            F.lit(f["dtype"]).alias("dtype"),
+            F.array(*map(F.lit, f["shape"])).alias("shape"),
+            F.array(*map(F.lit, f.get("names") or [])).cast("array<string>").alias("names"),
+        )
+        for f in features.values()
+    ]
+    named = F.struct(*[d.alias(n) for n, d in zip(features, declared, strict=True)])
+    write_document(counts.withColumn("features", named), f"{root}/meta/info.json")
+
+
+def read_info(spark: SparkSession, root: str) -> DataFrame:
+    """The info document, one row; ``features`` maps names to dtype, shape and names."""
+    return read_document(spark, f"{root}/meta/info.json", INFO)
+
+
+def write_episode_stats(stats: DataFrame, root: str) -> None:
+    """One line an episode from rows of episode_index, feature, min, max, mean, std, count, as ``read_episode_stats`` gives."""
+    entry = F.struct("feature", F.struct("min", "max", "mean", "std", "count").alias("s"))
+    lines = stats.groupBy("episode_index").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("stats"))
+    append_jsonl(lines, f"{root}/meta/episodes_stats.jsonl")
+
+
+def write_stats(rows: DataFrame, path: str) -> None:
+    """A normaliser's statistics document from rows of group, key, name, at, value; it holds declared features only."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda x: x["value"].cast("float"))
+    by_name = rows.groupBy("group", "key", "name").agg(ordered.alias("values"))
+    by_key = by_name.groupBy("group", "key").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "values")))).alias("stats"))
+    keys = lambda g: F.map_from_entries(F.collect_list(F.when(F.col("group") == g, F.struct("key", "stats")))).alias(g)
+    write_document(by_key.agg(keys("state"), keys("action")), path)
+
+
+def read_task_list(spark: SparkSession, path: str) -> DataFrame:
+    """task, first_place of each key of a flat list "key: value"; comments and blank lines are skipped."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("place", "line"))
+    keyed = lines.select("place", F.regexp_extract("line", r"^([^\s#:][^:#]*?)\s*:", 1).alias("task")).filter("task <> ''")
+    return keyed.groupBy("task").agg(F.min("place").alias("first_place"))
+
+
 def read_annotations(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """All annotation tables; each must be there."""
     return {k: read_jsonl(spark, f"{root}/annotations/{k}.jsonl", f"{k}_index long, {k} string") for k in ANNOTATIONS}
