@@ -18,7 +18,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     distinct edge and is written, so a lost executor costs one round at most; what
     the round before wrote is deleted.
     Hubs are grouped by minimum only: no list of neighbours is ever collected, and
-    a hub's minimum reaches its neighbours by a broadcast (``join_keyed``).
+    a hub's minimum reaches its neighbours by a broadcast (``join_keyed``).  The rounds
+    end as soon as all components are stars, without one more to see that none changes.
     """
     links = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     links = materialize(links, "links")
@@ -34,13 +35,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         after = materialize(
             small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star"
         )
-        same = after.count() == links.count() and after.join(links, ["u", "v"], "left_anti").isEmpty()
         for done in (links, large):
             discard(done)
         links = after
-        if same:
+        if stars(links):
             break
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     return roots.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def stars(links: DataFrame) -> bool:
+    """Whether each larger end u of distinct ``links`` has one smaller end v, which is no larger end itself."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("above"), F.lit(0).alias("below"))
+    ends = ends.unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("above"), F.lit(1).alias("below")))
+    seen = ends.groupBy("node").agg(F.sum("above").alias("above"), F.max("below").alias("below"))
+    return seen.filter((F.col("above") > 1) | (F.col("above") > 0) & (F.col("below") > 0)).isEmpty()
