@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.01"
 
 def test_one_query_for_each_operator():
     numbers = sorted(int(re.match(r"op(\d+)_", name)[1]) for name in registry.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert __spark_entry__.queries()["pipeline"].__wrapped__ is corpus_pipeline.run
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
