@@ -104,11 +104,12 @@ class Aligner:
         fresh = [u for u in dict.fromkeys(units) if u not in known and u not in older]
         made = dict(zip(fresh, self._align(fresh), strict=True)) if fresh else {}
         out = [known[u] if u in known else made[u] if u in made else older[u] for u in units]
-        for u in units:
+        for u, unit in zip(units, out):
             if u not in known and len(u) <= LONGEST_KEPT:
                 if len(known) >= self.kept:
-                    self.older, self.known = known, (known := {})
-                known[u] = made[u] if u in made else older[u]
+                    self.older, self.known = known, {}
+                    known = self.known
+                known[u] = unit
         return out
 
     def _align(self, units: list[str]) -> list[Unit | None]:

@@ -100,9 +100,10 @@ def test_owners_and_overlaps():
 def test_a_small_cache_changes_nothing(paths):
     units = [f"word{k % 7} {k}" for k in range(50)]
     small, large = alignment.Aligner(*paths, kept=3), alignment.Aligner(*paths)
-    for k in range(0, 50, 5):
+    for k in [*range(0, 50, 5), 0, 20, 45]:
         assert small.aligned(units[k : k + 5]) == large.aligned(units[k : k + 5])
-    assert len(small.known) + len(small.older) <= 3 + 5 + 3
+        assert small.aligned(units[k : k + 9]) == large.aligned(units[k : k + 9])
+    assert len(small.known) + len(small.older) <= 6
 
 
 def test_empty_table(spark, paths):
