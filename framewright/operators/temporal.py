@@ -52,6 +52,13 @@ def unpadded(frames: DataFrame, deltas: list[int], episode: str, frame: str = "f
     ).drop("__p", "__n")
 
 
+def with_padding(frames: DataFrame, deltas: list[int], episode: str, frame: str = "frame_index", into: str = "has_pad") -> DataFrame:
+    """``frames``, each told whether its window needs padding."""
+    ordered, whole = _whole(episode, frame)
+    place, last = F.row_number().over(ordered) - 1, F.count(F.lit(1)).over(whole)
+    return frames.withColumn(into, (place + min(deltas) < 0) | (place + max(deltas) >= last))
+
+
 def sliding_window(frames: DataFrame, value: str, width: int, episode: str, frame: str = "frame_index") -> DataFrame:
     """``frames`` with ``chunk``: this and the next values, ``width`` in all, the last repeated at the end."""
     ahead = Window.partitionBy(episode).orderBy(frame).rowsBetween(0, width - 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,10 +50,37 @@ def append_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def line_order() -> Column:
+    """The order in which lines were appended: by the time of their file, then its name, then the place in it.
+
+    Row numbers only compare lines of one block of a file, which one task reads in order; blocks of all sizes are thus kept in
+    order, whichever task reads them.
+    """
+    file = [F.col(f"_metadata.{c}") for c in ("file_modification_time", "file_name", "file_block_start")]
+    return F.struct(*file, F.monotonically_increasing_id().alias("line"))
+
+
 def read_tasks(spark: SparkSession, root: str) -> DataFrame:
-    """task_index, task; of repeated indices the last task in alphabetical order of the file stays."""
-    tasks = read_jsonl(spark, f"{root}/meta/tasks.jsonl", TASKS).withColumn("__at", F.monotonically_increasing_id())
-    return tasks.groupBy("task_index").agg(F.max_by("task", "__at").alias("task"))
+    """task_index, task; of lines that repeat an index, the last one appended counts."""
+    tasks = read_jsonl(spark, f"{root}/meta/tasks.jsonl", TASKS).select("*", line_order().alias("appended"))
+    return tasks.groupBy("task_index").agg(F.max_by("task", "appended").alias("task"))
+
+
+def read_apart(spark: SparkSession, path: str, schema: str, required: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The JSON lines that read as ``schema`` and have all required fields, and the others: path, line, fault.
+
+    A line that is no JSON, or has a field of another kind, is not readable.  Blank lines are no lines.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line")).filter("trim(line) <> ''")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "unreadable", "allowUnquotedControlChars": "true"}
+    read = lines.withColumn("read", F.from_json("line", f"{schema}, unreadable string", options))
+    lacking = F.filter(F.array(*[F.when(F.col(f"read.{c}").isNull(), F.lit(c)) for c in required]), lambda c: c.isNotNull())
+    fault = F.when(F.col("read.unreadable").isNotNull() | F.col("read").isNull(), "not readable").when(
+        F.size(lacking) > 0, F.concat(F.lit("lacks "), F.array_join(lacking, ", "))
+    )
+    told = read.withColumn("fault", fault)
+    names = [f"read.{f.name}" for f in T.StructType.fromDDL(schema)]
+    return told.filter("fault IS NULL").select(*names), told.filter("fault IS NOT NULL").select("path", "line", "fault")
 
 
 def read_episodes(spark: SparkSession, root: str) -> DataFrame:

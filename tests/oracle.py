@@ -18,6 +18,8 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def plain(rows: pd.DataFrame) -> pd.DataFrame:
     def cell(v):
+        if v is None or v is pd.NA or isinstance(v, float) and v != v:
+            return "null"
         return f"{v:.9g}" if isinstance(v, float) else str(v)
 
     rows = rows[sorted(rows.columns)]
