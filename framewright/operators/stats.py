@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -90,3 +90,31 @@ def weighted_mean(x: Column, weight: Column, keep: Column) -> Column:
 
 def root_mean_square(x: Column) -> Column:
     return F.sqrt(F.avg(x * x))
+
+
+def evenly_sampled(rows: DataFrame, keys: list[str], order: list[str], least: int = 100, most: int = 10_000, power: float = 0.75) -> DataFrame:
+    """The rows at evenly spaced places of each group in ``order``: n**power of n, within bounds, both ends included."""
+    in_group = Window.partitionBy(*keys)
+    place = (F.row_number().over(in_group.orderBy(*order)) - 1).cast("double")
+    n = F.count(F.lit(1)).over(in_group)
+    wanted = F.least(F.greatest(F.lit(least), F.least(F.lit(most), F.floor(F.pow(n.cast("double"), power)).cast("int"))), n)
+    step = F.when(wanted > 1, (n - 1) / (wanted - 1).cast("double")).otherwise(0.0)
+    placed = rows.select(*[F.struct("*").alias("row")], place.alias("place"), n.alias("n"), step.alias("step"))
+    near = F.floor(F.col("place") / F.col("step"))  # the sample there is this or the next one
+    hit = (F.bround(near * F.col("step")) == F.col("place")) | (F.bround((near + 1) * F.col("step")) == F.col("place"))
+    return placed.filter(F.when(F.col("step") > 0, hit).otherwise(F.col("place") == 0)).select("row.*")
+
+
+def channel_stats(rows: DataFrame, keys: list[str], image: str) -> DataFrame:
+    """keys, channel, min, max, mean, std, count of images (arrays of channels, of lines, of values), over lines and columns and all rows of a key.
+
+    Each image is reduced where it stands; only a row a channel is summed.  ``count`` is the number of images.
+    """
+    x = F.posexplode(F.transform(image, lambda c: F.transform(F.flatten(c), lambda v: v.cast("double")))).alias("channel", "x")
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda acc, v: acc + v)
+    flat = rows.select(*keys, x).withColumns({"count": F.size("x").cast("long"), "mean": total(F.col("x")) / F.size("x")})
+    spread = F.sqrt(total(F.transform("x", lambda v: (v - F.col("mean")) * (v - F.col("mean")))) / F.col("count"))
+    parts = flat.select(*keys, "channel", F.array_min("x").alias("min"), F.array_max("x").alias("max"), "mean", spread.alias("std"), "count")
+    images = parts.groupBy(*keys, "channel").agg(F.count("*").alias("images"))
+    merged = merge_stats(parts, [*keys, "channel"]).drop("count")
+    return merged.join(images, [*keys, "channel"]).withColumnRenamed("images", "count")

@@ -82,6 +82,16 @@ def delta_indices(seconds: list[float], fps: float, tolerance: float = 1e-4) ->
     return [round(s * fps) for s in seconds]
 
 
+def nearest_index(seconds: Column, fps: float) -> Column:
+    """Seconds as frames, halves to the even one."""
+    return F.bround(seconds * fps).cast("long")
+
+
+def off_grid(seconds: Column, fps: float, tolerance: float = 1e-4) -> Column:
+    """Whether the seconds are no multiple of 1 / fps within the tolerance."""
+    return F.abs(seconds * fps - F.bround(seconds * fps)) / fps > tolerance
+
+
 def window_deltas(size: int, stride: int, past: int = 0) -> list[int]:
     """Deltas of a window of ``size`` steps of ``stride`` frames, ``past`` of them before the anchor."""
     return [stride * k for k in range(-past, size - past)]

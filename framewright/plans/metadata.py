@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from framewright.functions import normalize
 from framewright.operators import checks, features, sets, summary, temporal, vectors
 from framewright.plans.registry import FRAMES, frames, query, rounded, table
-from framewright.sources import datasets, schema
+from framewright.sources import datasets, schema, versions
 from framewright.storage import new_path
 
 DECLARED = {
@@ -74,13 +74,21 @@ def normalizer_roundtrip(spark, sf_dir):
     return rounded(datasets.read_stats(spark, path), "value")
 
 
-@query("SELECT n_nationkey % 7 AS task_index, max_by(n_name, n_nationkey) AS task FROM nation GROUP BY ALL")
+_TASK_BATCH = "CASE WHEN {c} % 5 = 1 THEN 2 WHEN {c} % 5 = 0 THEN 0 ELSE 1 END"
+
+
+@query(
+    f"""WITH c AS (SELECT c_custkey % 17 AS task_index, c_name AS task, c_custkey, {_TASK_BATCH.format(c="c_custkey")} AS batch FROM customer)
+SELECT task_index, arg_max(task, (batch, c_custkey)) AS task FROM c GROUP BY task_index"""
+)
 def tasks_document(spark, sf_dir):
-    """Of repeated indices the last line stays."""
+    """Three appends of unlike size, the middle one the largest; of repeated indices the last line appended counts."""
     root = new_path(spark, "tasks")
-    lines = table(spark, sf_dir, "nation").coalesce(1).sortWithinPartitions("n_nationkey")
-    datasets.append_jsonl(lines.select((F.col("n_nationkey") % 7).alias("task_index"), F.col("n_name").alias("task")), f"{root}/meta/tasks.jsonl")
-    return datasets.read_tasks(spark, root).orderBy("task_index")
+    lines = table(spark, sf_dir, "customer").withColumn("batch", F.expr(_TASK_BATCH.format(c="c_custkey")))
+    for batch in range(3):
+        part = lines.filter(F.col("batch") == batch).coalesce(1).sortWithinPartitions("c_custkey")
+        datasets.append_jsonl(part.select((F.col("c_custkey") % 17).alias("task_index"), F.col("c_name").alias("task")), f"{root}/meta/tasks.jsonl")
+    return datasets.read_tasks(spark, root)
 
 
 @query(
@@ -219,23 +227,41 @@ def pixel_bytes(spark, sf_dir):
 
 
 @query(
-    """SELECT * FROM (VALUES ('observation.state', 'array<float>', 2), ('timestamp', 'float', 1), ('frame_index', 'bigint', 1),
-  ('episode_index', 'bigint', 1), ('index', 'bigint', 1), ('task_index', 'bigint', 1)) t(name, kind, width)"""
+    """WITH j AS (SELECT count(DISTINCT event_type) AS n FROM events)
+SELECT name, kind, CAST(CASE WHEN name = 'observation.state' THEN j.n ELSE 1 END AS INT) AS width, (SELECT count(*) FROM events) AS "rows"
+FROM j, (VALUES ('observation.state', 'array<float>'), ('timestamp', 'float'), ('frame_index', 'bigint'),
+  ('episode_index', 'bigint'), ('index', 'bigint'), ('task_index', 'bigint')) t(name, kind)"""
 )
 def declared_schema(spark, sf_dir):
-    """The frame table's columns from joints and cameras; videos have none."""
-    declared = schema.joint_features(["arm", "hand"], {"front": (224, 320, 3)})
-    widths = {n: d["shape"][0] for n, d in declared.items()}
-    rows = [(f.name, f.dataType.simpleString(), widths.get(f.name, 1)) for f in schema.table_schema(declared)]
-    return spark.createDataFrame(rows, "name string, kind string, width int")
+    """A joint for each kind of event and a camera (videos have no column): frames are assembled, and told by the declared schema."""
+    events = table(spark, sf_dir, "events")
+    joints = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").collect()]  # the machine's joints
+    declared = schema.joint_features(joints, {"top": (224, 320, 3)})
+    wanted = schema.table_schema(declared)
+    numbered = frames(spark, sf_dir)
+    made = numbered.select(
+        F.array(*[F.when(F.col("event_type") == j, F.col("value")).otherwise(0.0) for j in joints]).cast("array<float>").alias("observation.state"),
+        F.col("seconds").cast("float").alias("timestamp"),
+        *[F.col(c).cast("long").alias(n) for n, c in (("frame_index", "frame_index"), ("episode_index", "user_id"), ("index", "event_id"), ("task_index", "user_id"))],
+    )
+    faults = schema.schema_faults(made, wanted)
+    if faults:
+        raise ValueError(faults)
+    kinds = F.explode(F.array(*[F.struct(F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("kind"), (F.size(F.col(f"`{f.name}`")) if "array" in f.dataType.simpleString() else F.lit(1)).alias("width")) for f in wanted]))
+    return made.select(kinds.alias("f")).groupBy("f.name", "f.kind", "f.width").agg(F.count("*").alias("rows"))
 
 
-@query("SELECT * FROM (VALUES ('missing task'), ('extra event_type'), ('user_id is bigint, not int')) t(fault)")
+@query(
+    """SELECT fault, count(*) AS "rows" FROM events CROSS JOIN (VALUES ('missing task'), ('extra event_type'), ('user_id is bigint, not int')) t(fault) GROUP BY fault
+UNION ALL SELECT 'value above 90', count(*) FROM events WHERE value > 90 HAVING count(*) > 0"""
+)
 def schema_report(spark, sf_dir):
+    """What is wrong with the table's columns, each with the rows that it touches, and with values."""
     want = "event_id long, user_id int, value double, task string"
     have = table(spark, sf_dir, "events").select("event_id", "user_id", "value", "event_type")
     faults = schema.schema_faults(have, spark.createDataFrame([], want).schema)
-    return spark.createDataFrame([(f,) for f in faults], "fault string")
+    of_row = F.array_compact(F.array(*map(F.lit, faults), F.when(F.col("value") > 90, F.lit("value above 90"))))
+    return have.select(F.explode(of_row).alias("fault")).groupBy("fault").agg(F.count("*").alias("rows"))
 
 
 @query("SELECT vec_id, 'short' AS feature, vec_id % 4 AS width FROM embeddings WHERE vec_id % 4 <> 3")
@@ -253,10 +279,16 @@ def nested_columns(spark, sf_dir):
     return schema.flatten(schema.unflatten(schema.flatten(rows)))
 
 
-@query("SELECT * FROM (VALUES (0, 0), (1, 3), (2, 15), (3, -6)) t(place, frame)")
+@query(
+    f"""WITH {FRAMES}, d AS (SELECT *, (channel - 50) / 20 AS delta FROM frames)
+SELECT user_id, frame_index, CAST(round_even(delta * 30, 0) AS BIGINT) AS frame, abs(delta * 30 - round_even(delta * 30, 0)) / 30 > 1e-4 AS off_grid FROM d"""
+)
 def delta_steps(spark, sf_dir):
-    found = temporal.delta_indices([0.0, 0.1, 0.5, -0.2], 30.0)
-    return spark.createDataFrame(list(enumerate(found)), "place int, frame int")
+    """Each frame's channel as an offset in seconds (twentieths, so half of them lie between two frames), in frames of 30 a second."""
+    delta = (F.col("channel") - 50) / 20
+    return frames(spark, sf_dir).select(
+        "user_id", "frame_index", temporal.nearest_index(delta, 30.0).alias("frame"), temporal.off_grid(delta, 30.0).alias("off_grid")
+    )
 
 
 @query(
@@ -370,3 +402,58 @@ def version_gate(spark, sf_dir):
 def ordered_tasks(spark, sf_dir):
     """Directories and task names in order of first sight."""
     return sets.ordered_distinct(table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("task"), "o_orderkey"), "task", "o_orderkey")
+
+
+@query("SELECT user_id, event_type, round(arg_max(value, event_id), 6) AS last_value FROM events GROUP BY ALL")
+def last_numbers_in_logs(spark, sf_dir):
+    """A log a kind of event, its lines in order of event_id among others that are no numbers; the last number of each user's lines."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", F.col("value").cast("string").alias("number"))
+    lines = F.explode(F.array(F.concat(F.lit("step "), "event_id"), "number", F.lit("-- end of step --"))).alias("value")
+    path = new_path(spark, "logs")
+    placed = rows.repartition("event_type", "user_id").sortWithinPartitions("event_type", "user_id", "event_id")
+    placed.select("event_type", "user_id", lines).write.partitionBy("event_type", "user_id").text(path)
+    found = datasets.read_last_numbers(spark, path)
+    of = lambda name: F.regexp_extract("path", rf"{name}=([^/]+)/", 1)
+    told = found.select(of("user_id").cast("long").alias("user_id"), of("event_type").alias("event_type"), "last_value")
+    return rounded(told, "last_value")
+
+
+@query(
+    """SELECT c.conv_id, c.turn, octet_length(encode(b.text || chr(10))) AS bytes, sha256(b.text || chr(10)) AS digest FROM conversations c JOIN benchmark b ON b.item_id = c.conv_id % 40"""
+)
+def embedded_files(spark, sf_dir):
+    """Turns that name a file, with its bytes put into the row, written and read back."""
+    root, out = new_path(spark, "item-files"), new_path(spark, "embedded")
+    table(spark, sf_dir, "benchmark").select("text", "item_id").repartition("item_id").write.partitionBy("item_id").text(root)
+    listed = datasets.list_files(spark, root).withColumn("item_id", F.regexp_extract("name", r"item_id=(\d+)/", 1).cast("long"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("conv_id") % 40).alias("item_id"))
+    named = turns.join(listed.select("item_id", "name"), "item_id")
+    datasets.embed_files(named, "name", root, into="file").write.parquet(out)
+    back = spark.read.parquet(out)
+    return back.select("conv_id", "turn", F.octet_length("file.bytes").cast("long").alias("bytes"), F.sha2("file.bytes", 256).alias("digest"))
+
+
+@query("SELECT doc_id, lang, CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 3 END AS since FROM documents")
+def cache_versions(spark, sf_dir):
+    """A cache is committed, a write of it dies half way and leaves it as it was, then it is completed."""
+    docs, root = table(spark, sf_dir, "documents").select("doc_id", "lang"), new_path(spark, "cache")
+    versions.commit(docs.filter("doc_id % 4 = 0").withColumn("since", F.lit(1)), root, 1)
+    dies = F.when(F.col("doc_id") >= 0, F.raise_error(F.lit("the writer dies")).cast("int"))
+    try:
+        versions.commit(docs.withColumn("since", dies), root, 2)
+    except Exception as e:  # noqa: BLE001  the failure is what is tried here
+        if "the writer dies" not in str(e):
+            raise
+    kept = versions.read(spark, root)
+    missing = docs.join(kept.select("doc_id"), "doc_id", "left_anti").withColumn("since", F.lit(3))
+    versions.commit(kept.unionByName(missing), root, 3)
+    return versions.read(spark, root)
+
+
+@query(f"WITH {FRAMES} SELECT user_id AS episode_index, frame_index, round(value, 6) AS value FROM frames WHERE user_id BETWEEN 10 AND 40")
+def packed_frames(spark, sf_dir):
+    """Frames stored in files of many episodes; some episodes are read by the statistics of row groups."""
+    root = new_path(spark, "packed")
+    rows = frames(spark, sf_dir).select(F.col("user_id").alias("episode_index"), "frame_index", "value")
+    datasets.write_packed(rows, root)
+    return rounded(datasets.read_packed(spark, root, 10, 40), "value")

@@ -1 +1,193 @@
-"""Queries over intervals."""
+"""Queries over intervals, sketches, values in between, overlapping tiles and nested values."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from framewright.functions import nested
+from framewright.operators import intervals, resample, sketches, stats, tiles
+from framewright.plans.registry import FRAMES, frames, query, rounded, table
+from framewright.storage import materialize
+
+
+def _times(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return events.select("event_id", "user_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+
+
+@query(
+    """WITH e AS (SELECT event_id, user_id, event_type, value, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS upto FROM events)
+SELECT a.event_id, count(*) AS others, round(sum(b.value), 4) AS total, min(b.event_id) AS first_other FROM e a
+JOIN events b ON b.event_type = a.event_type AND b.user_id <> a.user_id AND a.ts <= b.ts AND b.ts < a.upto GROUP BY a.event_id"""
+)
+def interval_join(spark, sf_dir):
+    """What others did, of the same kind, between an event and the next one of its user; gaps last from seconds to days."""
+    times = _times(spark, sf_dir)
+    upto = F.lead("at").over(Window.partitionBy("user_id").orderBy("at", "event_id"))
+    spans = times.select("event_id", F.col("user_id").alias("owner"), "event_type", F.col("at").alias("begin"), upto.alias("upto")).filter("upto IS NOT NULL")
+    points = times.select(F.col("event_id").alias("other"), "user_id", "event_type", "value", F.col("at").alias("moment"))
+    points = points.withColumn("moment_end", F.col("moment"))
+    met = intervals.overlaps(spans, points, "event_type", ("begin", "upto"), ("moment", "moment_end"), unit=1e6, hot=1000)
+    found = met.filter("owner <> user_id").groupBy("event_id").agg(
+        F.count("*").alias("others"), F.sum("value").alias("total"), F.min("other").alias("first_other")
+    )
+    return rounded(found, "total", places=4)
+
+
+_SEGMENTS = "SELECT event_id AS segment, user_id, ts AS a, ts + to_microseconds(CAST(floor(value * value * 600) AS BIGINT) * 1000000) AS b FROM events"
+
+
+@query(
+    f"""WITH s AS ({_SEGMENTS} WHERE value >= 0)
+SELECT x.segment, count(*) AS met, min(y.segment) AS first_met, max(y.segment) AS last_met FROM s x JOIN s y
+ON x.user_id = y.user_id AND x.segment <> y.segment AND x.a < y.b AND y.a < x.b GROUP BY x.segment"""
+)
+def segment_overlaps(spark, sf_dir):
+    """Segments of one user that share a moment; their lengths go from seconds to weeks."""
+    events = _times(spark, sf_dir).filter("value >= 0")
+    length = F.floor(F.col("value") * F.col("value") * 600).cast("long") * 1_000_000
+    one = events.select(F.col("event_id").alias("segment"), "user_id", F.col("at").alias("a"), (F.col("at") + length).alias("b"))
+    other = one.select(F.col("segment").alias("met_segment"), "user_id", F.col("a").alias("met_a"), F.col("b").alias("met_b"))
+    met = intervals.overlaps(one, other, "user_id", ("a", "b"), ("met_a", "met_b"), unit=1e6).filter("segment <> met_segment")
+    return met.groupBy("segment").agg(F.count("*").alias("met"), F.min("met_segment").alias("first_met"), F.max("met_segment").alias("last_met"))
+
+
+@query(
+    f"""WITH {FRAMES}, seg AS (SELECT user_id, frame_index AS a, frame_index + 1 + CAST(channel AS BIGINT) % 40 AS b, event_type AS label FROM frames WHERE frame_index % 9 = 0)
+SELECT f.user_id, f.frame_index, count(*) AS segments, arg_max(s.label, s.a) AS label FROM frames f
+JOIN seg s ON s.user_id = f.user_id AND s.a <= f.frame_index AND f.frame_index < s.b GROUP BY ALL"""
+)
+def segment_frames(spark, sf_dir):
+    """Each frame with the segments that hold it, and the label of the one that began last."""
+    rows = frames(spark, sf_dir)
+    seg = rows.filter("frame_index % 9 = 0").select("user_id", F.col("frame_index").alias("a"), (F.col("frame_index") + 1 + F.col("channel").cast("long") % 40).alias("b"), F.col("event_type").alias("label"))
+    places = rows.select("user_id", "frame_index", F.col("frame_index").alias("place"))
+    met = intervals.overlaps(seg, places, "user_id", ("a", "b"), ("frame_index", "place"))
+    return met.groupBy("user_id", "frame_index").agg(F.count("*").alias("segments"), F.max_by("label", "a").alias("label"))
+
+
+def _parts(spark, sf_dir):
+    return materialize(sketches.partial(table(spark, sf_dir, "events"), ["event_type", "user_id"], "value", "user_id"), "sketches")
+
+
+@query(
+    """SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS kinds, list_sort(list(value))[CAST(greatest(1, ceil(0.25 * count(*))) AS BIGINT)] AS lower_quartile,
+  list_sort(list(value))[CAST(greatest(1, ceil(0.5 * count(*))) AS BIGINT)] AS median, true AS exact FROM events GROUP BY user_id"""
+)
+def sketch_small_groups(spark, sf_dir):
+    """Sketches by user and kind merged by user: few rows each, so the values that travel along answer exactly."""
+    parts = materialize(sketches.partial(table(spark, sf_dir, "events"), ["user_id", "event_type"], "value", "event_type"), "sketches")
+    whole = sketches.merged(parts, ["user_id"])
+    return whole.select("user_id", "n", sketches.distinct_count().alias("kinds"), sketches.quantile(0.25).alias("lower_quartile"), sketches.quantile(0.5).alias("median"), sketches.is_exact().alias("exact"))
+
+
+@query("SELECT event_type, count(*) AS n, true AS users_within, true AS quantiles_within FROM events GROUP BY event_type")
+def sketch_error_bounds(spark, sf_dir):
+    """Sketches by kind and user merged by kind, held against the rows: three standard errors, or twice the rank error, at most."""
+    whole = sketches.merged(_parts(spark, sf_dir), ["event_type"], exact=0)
+    ranks = {f"q{q}": F.kll_sketch_get_quantile_double("kll", F.lit(q / 100)) for q in (1, 25, 50, 75, 99)}
+    told = whole.select("event_type", "n", F.hll_sketch_estimate("hll").alias("users"), *[c.alias(n) for n, c in ranks.items()])
+    rows = table(spark, sf_dir, "events").join(F.broadcast(told), "event_type")  # a row a kind of event
+    share = [F.avg((F.col("value") <= F.col(n)).cast("double")).alias(f"s{n}") for n in ranks]
+    held = rows.groupBy("event_type", "n", "users").agg(F.countDistinct("user_id").alias("exact_users"), *share)
+    within = F.lit(True)
+    for n in ranks:
+        within = within & (F.abs(F.col(f"s{n}") - int(n[1:]) / 100) <= 2 * sketches.RANK_ERROR)
+    users = F.abs(F.col("users") - F.col("exact_users")) <= 3 * sketches.distinct_error() * F.col("exact_users") + 1
+    return held.select("event_type", "n", users.alias("users_within"), within.alias("quantiles_within"))
+
+
+@query(
+    f"""WITH {FRAMES}, k AS (SELECT user_id, n, k.k, k.k * ((n - 1) / 39.0::DOUBLE) AS p FROM (SELECT DISTINCT user_id, n FROM frames) CROSS JOIN range(40) k(k)),
+b AS (SELECT *, least(CAST(floor(p) AS BIGINT), n - 1) AS lo FROM k)
+SELECT b.user_id, CAST(b.k AS INT) AS k, round(p, 6) AS position, round(x.value * (1 - (p - lo)) + coalesce(y.value, x.value) * (p - lo), 5) AS value FROM b
+JOIN frames x ON x.user_id = b.user_id AND x.frame_index = b.lo LEFT JOIN frames y ON y.user_id = b.user_id AND y.frame_index = b.lo + 1"""
+)
+def resampled(spark, sf_dir):
+    """Each episode's values on 40 even places, its ends included."""
+    found = resample.resample(frames(spark, sf_dir), "user_id", "frame_index", "value", 40)
+    return rounded(rounded(found, "position"), "value", places=5)
+
+
+@query(
+    """WITH q AS (SELECT event_id, user_id, epoch_us(ts) + 3600000000 AS at FROM events), e AS (SELECT user_id, epoch_us(ts) AS at, value FROM events),
+lo AS (SELECT q.event_id, q.at, e.at AS t, e.value AS v, q.user_id FROM q ASOF JOIN e ON e.user_id = q.user_id AND e.at <= q.at),
+hi AS (SELECT q.event_id, e.at AS t, e.value AS v FROM q ASOF LEFT JOIN e ON e.user_id = q.user_id AND e.at > q.at)
+SELECT lo.event_id, round(CASE WHEN hi.t IS NULL THEN lo.v ELSE lo.v + (hi.v - lo.v) * ((lo.at - lo.t) / CAST(hi.t - lo.t AS DOUBLE)) END, 5) AS value
+FROM lo JOIN hi ON hi.event_id = lo.event_id"""
+)
+def interpolated_times(spark, sf_dir):
+    """The value of its user an hour after each event."""
+    times = _times(spark, sf_dir)
+    asked = times.select("event_id", "user_id", (F.col("at") + 3_600_000_000).alias("at"))
+    found = resample.interpolate(asked, times.select("user_id", "at", "value"), "user_id", "at", "value")
+    return rounded(found.select("event_id", F.col("interpolated").alias("value")), "value", places=5)
+
+
+@query(
+    f"""WITH {FRAMES}, t AS (
+  SELECT f.user_id, f.frame_index, f.value, n, s.s * 12 AS tile FROM frames f CROSS JOIN range(0, 1000) s(s)
+  WHERE s.s * 12 < n AND (s.s = 0 OR s.s * 12 - 12 + 16 < n) AND f.frame_index >= s.s * 12 AND f.frame_index < s.s * 12 + 16),
+w AS (SELECT *, least(tile + 16, n) - frame_index AS remain, frame_index - tile AS i FROM t),
+r AS (SELECT *, CASE WHEN tile + 16 < n AND remain <= 4 THEN remain / 4.0::DOUBLE WHEN tile > 0 AND i < 4 THEN (i + 1) / 4.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
+  value - avg(value) OVER (PARTITION BY user_id, tile) AS centred FROM w)
+SELECT user_id, frame_index, round(sum(centred * weight) / sum(weight), 6) AS centred, count(*) AS tiles FROM r GROUP BY ALL"""
+)
+def blended_tiles(spark, sf_dir):
+    """Values less the mean of their tile of 16 frames (every 12), blended where tiles overlap."""
+    rows = frames(spark, sf_dir).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("user_id")))
+    dealt = tiles.tiled(rows, "frame_index", "n", size=16, step=12)
+    centred = F.col("value") - F.avg("value").over(Window.partitionBy("user_id", "tile"))
+    return rounded(tiles.blended(dealt.withColumn("centred", centred), ["user_id", "frame_index"], "centred"), "centred")
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, round(l_extendedprice / 1000, 6) AS price, round(l_discount * 2, 6) AS doubled_discount, round(l_tax * 2, 6) AS doubled_tax,
+  l_returnflag AS flag, round(l_extendedprice / 1000 + l_extendedprice * 2, 6) AS price_sum, round(l_quantity / 1000 + l_quantity * 2, 6) AS quantity_sum, count(*) AS copies
+FROM lineitem GROUP BY ALL"""
+)
+def nested_leaves(spark, sf_dir):
+    """Line items nested as a struct, an array and a map; numbers split into thousandths and doubles, then added leaf by leaf."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        F.struct(
+            F.struct(F.col("l_extendedprice").alias("price"), F.col("l_returnflag").alias("flag")).alias("sale"),
+            F.array("l_discount", "l_tax").alias("rates"),
+            F.create_map(F.lit("quantity"), "l_quantity").alias("amounts"),
+        ).alias("item"),
+    )
+    kind = rows.schema["item"].dataType
+    parts = nested.split_leaves(F.col("item"), kind, {"small": nested.numbers_only(lambda x: x / 1000), "twice": nested.numbers_only(lambda x: x * 2)})
+    both = rows.withColumns(parts)
+    total = nested.reduce_leaves([F.col("small"), F.col("twice")], kind, lambda xs, k: xs[0] + xs[1] if str(k) == "DoubleType()" else xs[0])
+    told = both.withColumn("total", total).select(
+        "l_orderkey",
+        "l_linenumber",
+        F.round("small.sale.price", 6).alias("price"),
+        F.round(F.col("twice.rates")[0], 6).alias("doubled_discount"),
+        F.round(F.col("twice.rates")[1], 6).alias("doubled_tax"),
+        F.col("total.sale.flag").alias("flag"),
+        F.round("total.sale.price", 6).alias("price_sum"),
+        F.round(F.col("total.amounts")["quantity"], 6).alias("quantity_sum"),
+    )
+    return told.groupBy(*told.columns).agg(F.count("*").alias("copies"))
+
+
+@query(
+    """WITH o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS place, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+w AS (SELECT *, least(greatest(5, least(1000, CAST(floor(pow(n, 0.75)) AS BIGINT))), n) AS wanted FROM o),
+s AS (SELECT *, list_transform(range(wanted), lambda k: round_even(k * ((n - 1) / CAST(wanted - 1 AS DOUBLE)), 0)) AS places FROM w),
+c AS (SELECT label, vec_id, unnest(range(4)) AS channel, embedding FROM s WHERE list_contains(places, place)),
+x AS (SELECT label, channel, vec_id, unnest(embedding[channel * 16 + 1 : channel * 16 + 16])::DOUBLE AS v FROM c)
+SELECT label, CAST(channel AS INT) AS channel, round(min(v), 6) AS "min", round(max(v), 6) AS "max", round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, count(DISTINCT vec_id) AS "count"
+FROM x GROUP BY ALL"""
+)
+def sampled_channels(spark, sf_dir):
+    """Embeddings as images of four channels of 4 x 4, a group a label; an even sample of each group is reduced by channel."""
+    e = F.col("embedding")
+    channel = lambda c: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda y: F.slice(e, c * 16 + y * 4 + 1, 4))
+    rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.transform(F.sequence(F.lit(0), F.lit(3)), channel).alias("image"))
+    chosen = stats.evenly_sampled(rows, ["label"], ["vec_id"], least=5, most=1000)
+    return rounded(stats.channel_stats(chosen, ["label"], "image"), "min", "max", "mean", "std")

@@ -174,9 +174,9 @@ def sim_state(spark, sf_dir):
 
 
 @query(
-    """WITH g AS (SELECT k, k / 1000.0 AS u FROM range(1, 1001) r(k)), t AS (SELECT *, 3 * u / (1 + 2 * u) AS s FROM g),
+    """WITH g AS (SELECT o_orderkey, o_orderkey % 1000 + 1 AS k, (o_orderkey % 1000 + 1) / 1000.0 AS u FROM orders), t AS (SELECT *, 3 * u / (1 + 2 * u) AS s FROM g),
 y AS (SELECT *, exp(-2 * pow((s * 1000 - 500) / 1000, 2)) AS y FROM t), m AS (SELECT min(y) AS lo, avg(y) - min(y) AS mean FROM y)
-SELECT k, round(s, 6) AS sigma, round((y - lo) / (mean + 1e-10), 6) AS weight,
+SELECT o_orderkey, k, round(s, 6) AS sigma, round((y - lo) / (mean + 1e-10), 6) AS weight,
   round(CASE WHEN k < 300 THEN 1.0 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1, (k - 300) / 700.0))) END, 6) AS anneal,
   round(least(1, greatest(0, (k - 200) / 800.0)), 6) AS ramp,
   round(CASE WHEN k < 50 THEN 1e-4 * (1 / 50.0 + (1 - 1 / 50.0) * k / 50.0) ELSE 1e-6 + 0.99e-4 * 0.5 * (1 + cos(pi() * (k - 50) / 950.0)) END, 12) AS lr,
@@ -185,11 +185,14 @@ SELECT k, round(s, 6) AS sigma, round((y - lo) / (mean + 1e-10), 6) AS weight,
 FROM y, m"""
 )
 def schedule_scalars(spark, sf_dir):
+    """The scalars of a thousand training steps, an order at each; the weight is normalised over all rows."""
     k = F.col("k")
-    grid = spark.range(1, 1001).withColumnRenamed("id", "k").withColumn("s", schedules.flow_shift(k / 1000.0, 3.0))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 1000 + 1).alias("k"))
+    grid = rows.withColumn("s", schedules.flow_shift(k / 1000.0, 3.0))
     grid = grid.withColumn("y", schedules.bell(F.col("s") * 1000.0, 1000.0))
     m = grid.agg(F.min("y").alias("lo"), (F.avg("y") - F.min("y")).alias("mean"))
     out = grid.crossJoin(F.broadcast(m)).select(  # one row
+        "o_orderkey",
         "k",
         F.round("s", 6).alias("sigma"),
         F.round((F.col("y") - F.col("lo")) / (F.col("mean") + 1e-10), 6).alias("weight"),

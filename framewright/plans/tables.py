@@ -282,9 +282,15 @@ def jsonl_roundtrip(spark, sf_dir):
     return datasets.read_jsonl(spark, path, "item_id long, text string")
 
 
-@query("WITH s AS (SELECT unnest(['spatial', 'object', 'goal', 'long']) AS task_suite, unnest([10, 10, 10, 10]) AS n) SELECT task_suite, unnest(range(n)) AS task_id FROM s")
+@query(
+    """WITH s AS (SELECT n_name AS task_suite, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name)
+SELECT task_suite, CAST(unnest(range(n)) AS INT) AS task_id FROM s"""
+)
 def task_matrix(spark, sf_dir):
-    return datasets.task_matrix(spark, {"spatial": 10, "object": 10, "goal": 10, "long": 10})
+    """A suite a nation, with a task for each customer there."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("task_suite"))
+    sizes = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").cast("int").alias("n")).join(F.broadcast(nation), "c_nationkey")
+    return datasets.tasks_of(sizes)
 
 
 @query(

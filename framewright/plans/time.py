@@ -192,11 +192,17 @@ def relative_to_first(spark, sf_dir):
     return rounded(shifted, "x")
 
 
-@query("SELECT q, k, q >= k AS sees FROM range(24) a(q) CROSS JOIN range(24) b(k)")
+@query(
+    f"""WITH {FRAMES} SELECT q.user_id, q.frame_index, count(*) FILTER (WHERE q.frame_index >= k.frame_index) AS seen, count(*) AS keys,
+  round(sum(CASE WHEN q.frame_index >= k.frame_index THEN k.value END), 4) AS total FROM frames q JOIN frames k ON k.user_id = q.user_id GROUP BY ALL"""
+)
 def causal_mask(spark, sf_dir):
-    q, k = spark.range(24).withColumnRenamed("id", "q"), spark.range(24).withColumnRenamed("id", "k")
-    both = q.crossJoin(F.broadcast(k))  # 24 steps of one window
-    return both.withColumn("sees", temporal.causal_mask(both, "q", "k"))
+    """The frames that each frame of an episode may see, and their sum."""
+    rows = frames(spark, sf_dir)
+    both = rows.select("user_id", "frame_index").join(rows.select("user_id", F.col("frame_index").alias("k"), "value"), "user_id")
+    sees = temporal.causal_mask(both, "frame_index", "k")
+    told = both.groupBy("user_id", "frame_index").agg(F.count_if(sees).alias("seen"), F.count("*").alias("keys"), F.sum(F.when(sees, F.col("value"))).alias("total"))
+    return rounded(told, "total", places=4)
 
 
 @query(
@@ -264,10 +270,14 @@ def ensemble_stream(spark, sf_dir):
 
 
 @query(
-    """SELECT q.q, k.k, CASE WHEN k.k < 4 THEN true ELSE q.q // 4 >= k.k // 4 END AS group_sees, q.q // 4 = k.k // 4 AS same_group
-FROM range(24) q(q) CROSS JOIN range(24) k(k)"""
+    f"""WITH {FRAMES} SELECT q.user_id, q.frame_index, count(*) FILTER (WHERE k.frame_index < 4 OR q.frame_index // 4 >= k.frame_index // 4) AS group_sees,
+  count(*) FILTER (WHERE q.frame_index // 4 = k.frame_index // 4) AS same_group FROM frames q JOIN frames k ON k.user_id = q.user_id GROUP BY ALL"""
 )
 def group_causal_mask(spark, sf_dir):
-    q, k = spark.range(24).withColumnRenamed("id", "q"), spark.range(24).withColumnRenamed("id", "k")
-    both = q.crossJoin(F.broadcast(k))  # 24 steps of one window
-    return both.withColumns({"group_sees": temporal.group_causal(F.col("q"), F.col("k"), 4), "same_group": temporal.same_group(F.col("q"), F.col("k"), 4)})
+    """Groups of four frames: those that each frame sees, and those of its own group."""
+    rows = frames(spark, sf_dir).select("user_id", "frame_index")
+    both = rows.join(rows.withColumnRenamed("frame_index", "k"), "user_id")
+    q, k = F.col("frame_index"), F.col("k")
+    return both.groupBy("user_id", "frame_index").agg(
+        F.count_if(temporal.group_causal(q, k, 4)).alias("group_sees"), F.count_if(temporal.same_group(q, k, 4)).alias("same_group")
+    )

@@ -149,11 +149,63 @@ def read_results(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_last_numbers(spark: SparkSession, path: str) -> DataFrame:
-    """path, last_value: the last line of each text file that reads as a number."""
-    lines = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
-    each = lines.select("path", F.posexplode(F.split("value", "\n")).alias("at", "line"))
-    number = F.trim(F.col("line")).try_cast("double")
-    return each.withColumn("v", number).filter("v IS NOT NULL").groupBy("path").agg(F.max_by("v", "at").alias("last_value"))
+    """path, last_value: the last line of each text file under ``path`` that reads as a number.
+
+    Lines are rows, so a log of any length is read in blocks; of each block one row a file goes on.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    number = F.trim(F.col("value")).try_cast("double")
+    each = lines.select(F.col("_metadata.file_path").alias("path"), line_order().alias("at"), number.alias("v"))
+    return each.filter("v IS NOT NULL").groupBy("path").agg(F.max_by("v", "at").alias("last_value"))
+
+
+def _files(spark: SparkSession, root: str) -> tuple[DataFrame, Column]:
+    """All files under ``root``, and their names from there on."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(root)
+    whole = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString().rstrip("/")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    inside = F.regexp_replace("path", r"^[a-z0-9]+:/+", "/")
+    begin = whole.split(":", 1)[-1].lstrip("/") if ":" in whole else whole.lstrip("/")
+    return found, F.substring(inside, F.lit(len(begin) + 3), F.char_length(inside))
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """name (from ``root`` on) and length of all files under ``root``; contents are not read."""
+    found, name = _files(spark, root)
+    return found.select(name.alias("name"), "length")
+
+
+def embed_files(rows: DataFrame, name: str, root: str, into: str, most_bytes: int = 1 << 30) -> DataFrame:
+    """``rows`` with ``into``, a struct of bytes and path: the contents of the file under ``root`` that each row names.
+
+    A file that is not there, or has more than ``most_bytes``, fails its row; rows that name none get null.
+    Only distinct names meet files, so that a file that many rows name is read once.
+    """
+    found, inside = _files(rows.sparkSession, root)
+    files = found.filter(F.col("length") <= most_bytes).select(inside.alias("__name"), F.struct(F.col("content").alias("bytes"), F.col("path")).alias("__file"))
+    wanted = rows.select(F.col(name).alias("__name")).filter("__name IS NOT NULL").distinct()
+    met = rows.join(wanted.join(files, "__name", "left"), F.col(name) == F.col("__name"), "left")
+    lost = F.raise_error(F.concat(F.lit("no such file, or one too large: "), F.col(name))).cast("struct<bytes:binary,path:string>")
+    told = F.when(F.col(name).isNull(), F.lit(None)).when(F.col("__file").isNull(), lost).otherwise(F.col("__file"))
+    return met.withColumn(into, told).select(*[F.col(f"`{c}`") for c in rows.columns], into)
+
+
+def write_packed(frames: DataFrame, root: str, files: int | None = None, mode: str = "overwrite") -> None:
+    """Frames in files of many episodes, each a range of them in order, so their number follows the bytes and not the episodes.
+
+    An episode of more frames than a file should hold goes on in the next.
+    """
+    parts = files or int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = frames.repartitionByRange(parts, "episode_index", "frame_index").sortWithinPartitions("episode_index", "frame_index")
+    ranged.write.mode(mode).parquet(f"{root}/packed")
+
+
+def read_packed(spark: SparkSession, root: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """The stored frames of a range of episodes; row groups of others are passed over by their statistics."""
+    frames = spark.read.parquet(f"{root}/packed")
+    frames = frames if first is None else frames.filter(F.col("episode_index") >= first)
+    return frames if last is None else frames.filter(F.col("episode_index") <= last)
 
 
 def read_stats(spark: SparkSession, path: str) -> DataFrame:
@@ -174,7 +226,11 @@ def write_report(rows: DataFrame, path: str) -> None:
 
 def task_matrix(spark: SparkSession, suites: dict[str, int]) -> DataFrame:
     """task_suite, task_id: a row for each task of each suite."""
-    sizes = spark.createDataFrame(list(suites.items()), "task_suite string, n int")
+    return tasks_of(spark.createDataFrame(list(suites.items()), "task_suite string, n int"))
+
+
+def tasks_of(sizes: DataFrame) -> DataFrame:
+    """task_suite, task_id of suites with ``n`` tasks each."""
     return sizes.filter("n > 0").select("task_suite", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("task_id"))
 
 
