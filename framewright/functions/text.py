@@ -58,8 +58,9 @@ def prompt(task: Column, template: str) -> Column:
 
 
 def instruction(high: Column, low: Column, drop_high: float, key: Column, seed: int = 0) -> Column:
-    """"[High]: ..., [Low]: ..."; the high part is left out for a share of keys that the seed fixes."""
-    chance = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 32)) / float(1 << 32)
+    """"[High]: ..., [Low]: ..."; the high part is left out for a share of keys that the seed fixes, by their md5."""
+    told = F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")).cast("binary"))
+    chance = F.conv(F.substring(told, 1, 8), 16, 10).cast("long") / float(1 << 32)
     both = F.concat(F.lit("[High]: "), F.coalesce(high, F.lit("")), F.lit(", [Low]: "), low)
     alone = F.concat(F.lit("[high] "), F.coalesce(high, F.lit("")))
     return F.when(low.isNull(), alone).when(chance < drop_high, low).otherwise(both)

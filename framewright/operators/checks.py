@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Channels by pixel format or image mode; the first that the name contains holds.
 CHANNELS = [
-    ("gray", 1), ("depth", 1), ("monochrome", 1), ("gbrap", 4), ("rgba", 4), ("bgra", 4), ("yuva", 4), ("rgb", 3), ("bgr", 3), ("yuv", 3),
+    ("gray", 1), ("depth", 1), ("monochrome", 1), ("rgba", 4), ("yuva", 4), ("rgb", 3), ("yuv", 3),
 ]
 
 #: Channels by image mode.

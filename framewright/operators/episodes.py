@@ -6,6 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.names import unused
+from framewright.operators.intervals import overlaps
+
 
 def number_frames(rows: DataFrame, episode: str, *order: str, into: str = "frame_index") -> DataFrame:
     """``rows`` with their place in the episode, from 0."""
@@ -13,6 +16,21 @@ def number_frames(rows: DataFrame, episode: str, *order: str, into: str = "frame
     return rows.withColumn(into, (place - 1).cast("long"))
 
 
+def number_frames_in_blocks(rows: DataFrame, episode: str, time: str, width: float, *order: str, into: str = "frame_index") -> DataFrame:
+    """The same numbers, counted within blocks of ``width`` units of ``time`` (a number, the first of the order), then laid end to end.
+
+    No task orders a whole episode: one of a third of all rows is spread over its blocks.  What meets by episode is a row a block.
+    """
+    block, count, base = unused(rows, "block", "count", "base")
+    dealt = rows.withColumn(block, F.floor(F.col(time) / F.lit(width)).cast("long"))
+    sizes = dealt.groupBy(episode, block).agg(F.count("*").alias(count))
+    before = F.sum(count).over(Window.partitionBy(episode).orderBy(block).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(F.col(episode).alias(f"{base}_e"), F.col(block).alias(f"{base}_b"), F.coalesce(before, F.lit(0)).alias(base))
+    inside = F.row_number().over(Window.partitionBy(episode, block).orderBy(time, *order)) - 1
+    met = dealt.withColumn(into, inside).join(sizes, F.col(episode).eqNullSafe(F.col(f"{base}_e")) & F.col(block).eqNullSafe(F.col(f"{base}_b")))
+    return met.withColumn(into, (F.col(into) + F.col(base)).cast("long")).drop(block, base, f"{base}_e", f"{base}_b")
+
+
 def lengths(frames: DataFrame, episode: str) -> DataFrame:
     return frames.groupBy(episode).agg(F.count("*").alias("length"))
 
@@ -65,15 +83,21 @@ def offsets(frames: DataFrame, episode: str, dataset: str | None = None, fan: in
     return out.select(*parts, episode, "length", end.alias("end"), (end - F.col("length")).alias("begin"))
 
 
-def route(places: DataFrame, place: str, sizes: DataFrame, dataset: str, length: str = "length") -> DataFrame:
+def route(places: DataFrame, place: str, sizes: DataFrame, dataset: str, length: str = "length", few: int = 10_000) -> DataFrame:
     """``places`` (rows over all datasets laid end to end) with dataset and local_row; places beyond the end are left out.
 
-    ``sizes`` has one row a dataset; it is put in order in one task and broadcast.
+    ``sizes`` has one row a dataset, which is put in order in one task.  It is broadcast while datasets are at most ``few``; more
+    are met as intervals.
     """
     before = F.sum(length).over(Window.orderBy(dataset).rowsBetween(Window.unboundedPreceding, -1))
     begin = sizes.select(dataset, F.coalesce(before, F.lit(0)).alias("__begin"), F.col(length).alias("__length"))
-    inside = (F.col(place) >= F.col("__begin")) & (F.col(place) < F.col("__begin") + F.col("__length"))
-    met = places.join(F.broadcast(begin), inside)
+    if sizes.count() > few:
+        (end,) = unused(places, "place_end")
+        spans = begin.filter("__length > 0").withColumn("__upto", F.col("__begin") + F.col("__length"))
+        met = overlaps(places.withColumn(end, F.col(place)), spans, None, (place, end), ("__begin", "__upto")).drop(end, "__upto")
+    else:
+        inside = (F.col(place) >= F.col("__begin")) & (F.col(place) < F.col("__begin") + F.col("__length"))
+        met = places.join(F.broadcast(begin), inside)
     return met.withColumn("local_row", F.col(place) - F.col("__begin")).drop("__begin", "__length")
 
 

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.storage import broadcast_within, materialize
+
+DIMENSION_ROWS = 100_000
+
 
 def last_wins(rows: DataFrame, key: str, place: str) -> DataFrame:
     """One row per key: the one that comes last."""
@@ -67,3 +71,16 @@ def upsert_counts(keys: DataFrame, cached: DataFrame, key: str, overwrite: bool,
         F.count_if(there & F.lit(overwrite)).alias("overwritten"),
         F.count_if(there & F.lit(not overwrite)).alias("skipped"),
     )
+
+
+def role_indices(rows: DataFrame, known: DataFrame, texts: dict[str, str], text: str, index: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with an index for each of several texts, and the table that gives it: texts that are new are added.
+
+    ``texts`` maps text columns to names of index columns.  All texts share one numbering.  A null text has a null index.
+    """
+    each = F.explode(F.array(*[F.col(c) for c in texts])).alias(text)
+    table = materialize(with_new_keys(known, rows.select(each).filter(F.col(text).isNotNull()), text, index), "text-indices")
+    small = broadcast_within(table, DIMENSION_ROWS)
+    for column, name in texts.items():
+        rows = lookup(rows, small, column, index, text, name)
+    return rows, table

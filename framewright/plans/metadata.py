@@ -404,17 +404,18 @@ def ordered_tasks(spark, sf_dir):
     return sets.ordered_distinct(table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("task"), "o_orderkey"), "task", "o_orderkey")
 
 
-@query("SELECT user_id, event_type, round(arg_max(value, event_id), 6) AS last_value FROM events GROUP BY ALL")
+@query("SELECT user_id % 8 AS worker, event_type, round(arg_max(value, event_id), 6) AS last_value FROM events GROUP BY ALL")
 def last_numbers_in_logs(spark, sf_dir):
-    """A log a kind of event, its lines in order of event_id among others that are no numbers; the last number of each user's lines."""
-    rows = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", F.col("value").cast("string").alias("number"))
+    """A log a worker and kind of event, its lines in order of event_id among others that are no numbers; the last number of each."""
+    worker = (F.col("user_id") % 8).alias("worker")
+    rows = table(spark, sf_dir, "events").select(worker, "event_type", "event_id", F.col("value").cast("string").alias("number"))
     lines = F.explode(F.array(F.concat(F.lit("step "), "event_id"), "number", F.lit("-- end of step --"))).alias("value")
     path = new_path(spark, "logs")
-    placed = rows.repartition("event_type", "user_id").sortWithinPartitions("event_type", "user_id", "event_id")
-    placed.select("event_type", "user_id", lines).write.partitionBy("event_type", "user_id").text(path)
+    placed = rows.repartition("event_type", "worker").sortWithinPartitions("event_type", "worker", "event_id")
+    placed.select("event_type", "worker", lines).write.partitionBy("event_type", "worker").text(path)
     found = datasets.read_last_numbers(spark, path)
     of = lambda name: F.regexp_extract("path", rf"{name}=([^/]+)/", 1)
-    told = found.select(of("user_id").cast("long").alias("user_id"), of("event_type").alias("event_type"), "last_value")
+    told = found.select(of("worker").cast("long").alias("worker"), of("event_type").alias("event_type"), "last_value")
     return rounded(told, "last_value")
 
 

@@ -154,11 +154,13 @@ def prompt_template(spark, sf_dir):
 
 
 @query(
-    """SELECT c.conv_id, c.turn, '[High]: ' || c.role || ', [Low]: ' || c.text AS instruction FROM conversations c"""
+    """SELECT c.conv_id, c.turn, CASE WHEN CAST('0x' || left(md5('0:' || c.conv_id), 8) AS BIGINT) / 4294967296.0::DOUBLE < 0.3 THEN c.text
+  ELSE '[High]: ' || c.role || ', [Low]: ' || c.text END AS instruction FROM conversations c"""
 )
 def instruction_template(spark, sf_dir):
+    """The role is left out of three conversations in ten."""
     rows = table(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", fx.instruction(F.col("role"), F.col("text"), 0.0, F.col("conv_id")).alias("instruction"))
+    return rows.select("conv_id", "turn", fx.instruction(F.col("role"), F.col("text"), 0.3, F.col("conv_id")).alias("instruction"))
 
 
 @query(

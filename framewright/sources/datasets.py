@@ -171,7 +171,7 @@ def _files(spark: SparkSession, root: str) -> tuple[DataFrame, Column]:
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """name (from ``root`` on) and length of all files under ``root``; contents are not read."""
+    """name (from ``root`` on) and length of all files under ``root`` but empty ones; contents are not read."""
     found, name = _files(spark, root)
     return found.select(name.alias("name"), "length")
 
@@ -179,14 +179,14 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 def embed_files(rows: DataFrame, name: str, root: str, into: str, most_bytes: int = 1 << 30) -> DataFrame:
     """``rows`` with ``into``, a struct of bytes and path: the contents of the file under ``root`` that each row names.
 
-    A file that is not there, or has more than ``most_bytes``, fails its row; rows that name none get null.
+    A file that is not there, is empty (Spark lists none), or has more than ``most_bytes``, fails its row; rows that name none get null.
     Only distinct names meet files, so that a file that many rows name is read once.
     """
     found, inside = _files(rows.sparkSession, root)
     files = found.filter(F.col("length") <= most_bytes).select(inside.alias("__name"), F.struct(F.col("content").alias("bytes"), F.col("path")).alias("__file"))
     wanted = rows.select(F.col(name).alias("__name")).filter("__name IS NOT NULL").distinct()
     met = rows.join(wanted.join(files, "__name", "left"), F.col(name) == F.col("__name"), "left")
-    lost = F.raise_error(F.concat(F.lit("no such file, or one too large: "), F.col(name))).cast("struct<bytes:binary,path:string>")
+    lost = F.raise_error(F.concat(F.lit("no such file, or one empty or too large: "), F.col(name))).cast("struct<bytes:binary,path:string>")
     told = F.when(F.col(name).isNull(), F.lit(None)).when(F.col("__file").isNull(), lost).otherwise(F.col("__file"))
     return met.withColumn(into, told).select(*[F.col(f"`{c}`") for c in rows.columns], into)
 
