@@ -8,10 +8,12 @@ them.  Counting distinct texts, a term t tells of a protected entity e
 
 bits; ``left`` is what remains unknown of e once t is seen.  p(e | t) is the
 share of the texts with t that hold e, drawn towards p(e) by ``SMOOTHING``
-texts, so that there is no least count: a term that stands in one text only
-leaves 0.58 bits.  Above the disclosure thresholds, that is with at most
-``GENERALISE`` bits left, a term is replaced by its kind; with at most
-``REMOVE``, it is removed.  It must also reveal half of IC(e), so that what
+texts, so that few texts are weak evidence: a term that stands in one text
+only, or in two, leaves 1.46 or 0.91 bits of a rare value and is kept, however
+close it stands to the value.  Above the disclosure thresholds, that is with at most
+``GENERALISE`` bits left (a term seen with a rare value in three texts to six, and
+never without it), a term is replaced by its kind; with at most ``REMOVE`` (seven
+texts or more), it is removed.  It must also reveal half of IC(e), so that what
 most texts hold is not disclosed by every word.
 
 What is protected: each value; values that always stand in the same texts are
@@ -26,11 +28,15 @@ places of matches, goes block by block, so that no array grows by one element
 at a time over its whole length; the patterns are written so that no text makes
 them backtrack far.
 
-Scale.  One pass finds the entities and writes a row per document; only rows
-with entities carry their text and words on.  Terms are counted over all
-distinct texts in a second pass, combined in map tasks, and only the counts
-meet the counts of (entity, term) pairs, one row a term; so do the pairs that
-remain.  Places follow from the words that were written.  A further pass looks
+Scale.  Rows are numbered and written once, and every pass reads them there, so
+that a number names the same text whatever the input's plan is.  One pass finds
+the entities and writes a row per document; only rows with entities carry their
+text and words on.  Terms are counted over all distinct texts in a second pass,
+and over those with entities, both combined in map tasks; the two counts of a
+term bound what it can disclose at best.  Only terms beyond that bound meet the
+entities of their texts, so a text of many values and many words makes no
+product of both.  Kinds, of which there are four, are met by a broadcast.
+Places follow from the words that were written.  A further pass looks
 for the terms that also stand in texts without the value; they are few, and
 broadcast if their number is below ``BROADCAST_ROWS``.  Copies of a text are
 told by their least row, so no join has a key with many rows of one text.
@@ -53,12 +59,13 @@ from framewright.llm.skew import join_keyed
 from framewright.llm.text import text_of
 from framewright.storage import broadcast_within, materialize
 
-SMOOTHING = 0.5
+SMOOTHING = 1.75
 KIND_SMOOTHING = 8.0
 GENERALISE = 0.7
 REMOVE = 0.35
 LEAST_SHARE = 0.5
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 SCAN_BLOCK = 256
 EDIT_BLOCK = 4096
 
@@ -191,17 +198,17 @@ def term_spans(text: Column) -> Column:
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value")))
 
 
-def _rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """rid, doc_id and text; a scan of the same files numbers its rows alike each time."""
-    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
+def numbered(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """rid, doc_id and text of every row, written once: a number stays with its text."""
+    return materialize(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), text_of(text).alias("text")), "numbered")
 
 
-def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``, written once: rid, doc_id, text_hash, text_sha256, n_<kind>, base (spans in order).
+def find(rows: DataFrame) -> DataFrame:
+    """One row per row of ``rows`` (as ``numbered`` gives), written: rid, doc_id, text_hash, text_sha256, n_<kind>, base (spans in order).
 
     Rows that have entities also have their names (kind and value), the kinds, the text and its terms' spans.
     """
-    based = with_base(_rows(docs, text, doc_id)).withColumn("base", F.concat(*[F.transform(F.col(k), _of_kind(k)) for k in KINDS]))
+    based = with_base(rows).withColumn("base", F.concat(*[F.transform(F.col(k), _of_kind(k)) for k in KINDS]))
     some = F.size("base") > 0
     names = F.transform("base", lambda e: F.concat_ws(":", e["kind"], F.lower(e["value"])))
     return materialize(
@@ -245,49 +252,61 @@ def linked(found: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
     return materialize(rows, "linked"), materialize(units, "protected")
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def _reaches(both: Column, texts: Column, prior: Column | float, pseudo: Column | float) -> Column:
+    """The smoothed p(e | t)."""
+    return (both + pseudo * prior) / (texts + pseudo)
+
+
+def disclosing_terms(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of ``linked``, and unit, term, left, revealed, elsewhere of the pairs beyond the disclosure threshold.
 
     ``elsewhere``: the term also stands in texts without the value.
     """
     heads = materialize(found.groupBy("text_hash").agg(F.min("rid").alias("rid")).select("rid"), "first-rows")
-    total = heads.count()
+    total = float(max(heads.count(), 1))
     repeats = materialize(found.select("rid").join(heads, "rid", "left_anti"), "repeats")
-    rows, units = linked(found, heads)
-    words = rows.filter("head").select("units", F.array_distinct(F.transform("terms", lambda s: s["value"])).alias("words"))
-    pairs = words.select(F.explode("units").alias("unit"), "words").select("unit", F.explode("words").alias("term"))
-    pairs = materialize(pairs.groupBy("unit", "term").agg(F.count("*").alias("both")), "pairs")
-    most = pairs.groupBy("term").agg(F.max("both").alias("most"))
-    once = _rows(docs, text, doc_id).join(broadcast_within(repeats, BROADCAST_ROWS), "rid", "left_anti")
+    with_units, units = linked(found, heads)
+    words = F.explode(F.array_distinct(F.transform("terms", lambda s: s["value"]))).alias("term")
+    words = materialize(with_units.filter("head").select("rid", words), "words-near")
+    most = words.groupBy("term").agg(F.count("*").alias("most"))
+    once = rows.join(broadcast_within(repeats, BROADCAST_ROWS), "rid", "left_anti")
     counts = once.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("texts"))
-    bound = (F.col("most") + SMOOTHING) / (F.col("texts") + SMOOTHING) >= 2**-GENERALISE  # no unit can leave less
-    few = materialize(most.join(counts, "term").filter(bound).select("term", "texts"), "candidate-terms")
-    met = pairs.join(few, "term").join(units, "unit")
-    prior = F.col("own") / F.lit(float(max(total, 1)))
+    # No unit is in more texts than the largest of its sort, nor with a term in more texts than have entities.
+    tops = {r.kind: r.own / total for r in units.groupBy("kind").agg(F.max("own").alias("own")).collect()}
+    sorts = [(False, SMOOTHING), (True, KIND_SMOOTHING)]
+    best = F.greatest(*[_reaches(F.col("most"), F.col("texts"), tops.get(kind, 0.0), pseudo) for kind, pseudo in sorts])
+    few = materialize(most.join(counts, "term").filter(best >= 2**-GENERALISE).select("term", "texts"), "candidate-terms")
+    near = words.join(broadcast_within(few.select("term"), BROADCAST_ROWS), "term")
+    pairs = near.join(with_units.select("rid", F.explode("units").alias("unit")), "rid").groupBy("unit", "term").agg(F.count("*").alias("both"))
+    pairs = materialize(pairs.join(few, "term"), "pairs")
+    of_kinds = F.broadcast(units.filter("kind"))  # at most four
+    met = pairs.join(of_kinds, "unit").unionByName(pairs.join(units.filter("NOT kind"), "unit"))
+    prior = F.col("own") / F.lit(total)
     pseudo = F.when(F.col("kind"), KIND_SMOOTHING).otherwise(SMOOTHING)
-    left = -F.log2((F.col("both") + pseudo * prior) / (F.col("texts") + pseudo))
+    left = -F.log2(_reaches(F.col("both"), F.col("texts"), prior, pseudo))
     content = -F.log2(prior)
     revealed = F.when(content > 0, 1 - left / content).otherwise(0.0)
     scored = met.select(
         "unit", "term", left.alias("left"), revealed.alias("revealed"), (~F.col("kind") & (F.col("texts") > F.col("both"))).alias("elsewhere")
     )
-    return rows, materialize(scored.filter((F.col("left") <= GENERALISE) & (F.col("revealed") >= LEAST_SHARE)), "disclosing-terms")
+    return with_units, materialize(scored.filter((F.col("left") <= GENERALISE) & (F.col("revealed") >= LEAST_SHARE)), "disclosing-terms")
 
 
-def added_spans(docs: DataFrame, found: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def added_spans(rows: DataFrame, found: DataFrame) -> DataFrame:
     """rid, added (start, end, left, revealed of its disclosing terms, in order), text (where ``found`` has none)."""
-    rows, terms = disclosing_terms(docs, found, text, doc_id)
-    inside = rows.select("rid", "terms", F.explode("units").alias("unit")).select("rid", "unit", F.explode("terms").alias("t"))
-    inside = inside.select("rid", "unit", F.col("t.start"), F.col("t.end"), F.col("t.value").alias("term"))
-    spans = inside.join(broadcast_within(terms, BROADCAST_ROWS), ["unit", "term"]).select("rid", "start", "end", "left", "revealed")
+    with_units, terms = disclosing_terms(rows, found)
+    inside = with_units.select("rid", F.explode("terms").alias("t")).select("rid", F.col("t.start"), F.col("t.end"), F.col("t.value").alias("term"))
+    inside = inside.join(broadcast_within(terms, BROADCAST_ROWS), "term")
+    of_row = with_units.select("rid", F.explode("units").alias("unit"))
+    spans = inside.join(of_row, ["rid", "unit"]).select("rid", "start", "end", "left", "revealed")
     away = terms.filter("elsewhere").groupBy("term").agg(F.min("left").alias("left"), F.max("revealed").alias("revealed"))
     away = materialize(away, "terms-elsewhere")
     whole = None
     if not away.isEmpty():
         away = broadcast_within(away, BROADCAST_ROWS)
-        each = _rows(docs, text, doc_id).select("rid", F.explode(terms_of(F.col("text"))).alias("term")).join(away.select("term"), "term")
+        each = rows.select("rid", F.explode(terms_of(F.col("text"))).alias("term")).join(away.select("term"), "term")
         hits = materialize(each.groupBy("rid").agg(F.collect_list("term").alias("hits")), "rows-elsewhere")  # each a distinct term of a text
-        there = _rows(docs, text, doc_id).join(broadcast_within(hits, BROADCAST_ROWS), "rid")
+        there = rows.join(broadcast_within(hits, BROADCAST_ROWS), "rid")
         of_hits = F.filter(term_spans(F.col("text")), lambda s: F.array_contains("hits", s["value"]))
         whole = materialize(there.select("rid", "text", of_hits.alias("terms")), "texts-elsewhere")
         outside = whole.select("rid", F.explode("terms").alias("t")).select("rid", F.col("t.start"), F.col("t.end"), F.col("t.value").alias("term"))
@@ -353,10 +372,10 @@ def _edits(base: Column, added: Column) -> Column:
     return bound(both, lambda o: running(F.size(o), F.lit(0), lambda at, i: step(o, at, i), _EDIT))
 
 
-def _sanitised(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+def _sanitised(numbers: DataFrame) -> DataFrame:
     """The rows of ``find`` with added spans and ``clean``, the sanitised text of those that it changes."""
-    found = find(docs, text, doc_id)
-    added = added_spans(docs, found, text, doc_id)
+    found = find(numbers)
+    added = added_spans(numbers, found)
     rows = found.drop("names", "kinds", "terms").join(added, "rid", "left")
     rows = rows.withColumns({"added": F.coalesce("added", F.array().cast(f"array<{_ADDED}>")), "text": F.coalesce("text", "other")})
     rows = rows.withColumn("edits", F.when(F.col("text").isNotNull(), _edits(F.col("base"), F.col("added"))))
@@ -379,7 +398,7 @@ def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     ``spans`` lists base spans, then the method's as kind ``term``; ``actions`` lists start, end, what is done and the
     share of information that the term reveals.
     """
-    rows = _sanitised(docs, text, doc_id)
+    rows = _sanitised(numbered(docs, text, doc_id))
     base = F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
     return rows.select(
         "doc_id",
@@ -394,7 +413,8 @@ def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
 
 def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id and sanitised text: entities and generalised terms as their kind in brackets, removed terms as nothing."""
-    changed = _sanitised(docs, text, doc_id).filter(F.col("clean").isNotNull()).select("rid", "clean")
-    changed = broadcast_within(materialize(changed, "changed-texts"), BROADCAST_ROWS // 100)
-    rows = _rows(docs, text, doc_id).join(changed, "rid", "left")
-    return rows.select("doc_id", F.coalesce("clean", "text").alias("text"))
+    rows = numbered(docs, text, doc_id)
+    changed = materialize(_sanitised(rows).filter(F.col("clean").isNotNull()).select("rid", "clean"), "changed-texts")
+    size = changed.agg(F.coalesce(F.sum(F.octet_length("clean") + 16), F.lit(0))).first()[0]
+    met = rows.join(F.broadcast(changed) if size <= BROADCAST_BYTES else changed, "rid", "left")
+    return met.select("doc_id", F.coalesce("clean", "text").alias("text"))
