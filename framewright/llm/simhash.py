@@ -477,10 +477,10 @@ def missed_links(rows: DataFrame, similarity: float, chunk: int) -> DataFrame |
     """a, b: alike nodes of different roots that join up their groups, among all pairs that share one of their rarest shingles.
 
     ``rows`` has node, root, hashes, parity and n_set.  Shingles that stand in one group alone have nothing to add.  A key
-    of many nodes is met chunk by chunk.  One pair of each two roots is settled first; what it joins need not be compared
+    of many nodes is met chunk by chunk; a pair that can't share enough, by the places of the key in either, is not made.  One pair of each two roots is settled first; what it joins need not be compared
     further.
     """
-    each = rarest(rows, similarity).select("node", "root", "n_set", F.explode("rare").alias("key"))
+    each = rarest(rows, similarity).select("node", "root", "n_set", F.posexplode("rare").alias("place", "key"))
     mixed = each.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     mixed = materialize(mixed, "mixed-keys")
     if mixed.isEmpty():
@@ -489,11 +489,18 @@ def missed_links(rows: DataFrame, similarity: float, chunk: int) -> DataFrame |
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
     met = join_keyed(keyed, materialize(sizes, "key-sizes"), "key")
     met = materialize(met.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "met")
-    other = met.select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("mine"), *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "n_set")])
-    sized = F.least("n_set", "n_set_b") >= F.greatest("n_set", "n_set_b") * similarity - 1e-9
-    pairs = met.join(other, ["key", "mine"]).filter((F.col("node") < F.col("node_b")) & (F.col("root") != F.col("root_b")) & sized)
-    ends = [f("root", "root_b").alias(c) for f, c in ((F.least, "low"), (F.greatest, "high"))]
-    pairs = materialize(pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b"), *ends).distinct(), "pairs")
+    other = met.select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("mine"), *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "n_set", "place")])
+    # Alike texts share at least ``need`` shingles.  After the first they share, neither has fewer than need - 1 left, and the
+    # smaller one of the two, which shares a larger part of its own, meets the other within a shorter beginning.
+    share = 2 * similarity / (1 + similarity)
+    smaller = met.filter(F.col("place") <= F.col("n_set") * (1 - share) + 1e-6)
+    need = (F.col("n_set") + F.col("n_set_b")) * (share / 2) - 1e-6
+    first = F.struct("n_set", "node") < F.struct(F.col("n_set_b").alias("n_set"), F.col("node_b").alias("node"))
+    sized = F.col("n_set") >= F.col("n_set_b") * similarity - 1e-9
+    placed = F.least(F.col("n_set") - F.col("place"), F.col("n_set_b") - F.col("place_b")) >= need
+    pairs = smaller.join(other, ["key", "mine"]).filter(first & (F.col("root") != F.col("root_b")) & sized & placed)
+    ends = [f(*two).alias(c) for c, f, two in (("a", F.least, ("node", "node_b")), ("b", F.greatest, ("node", "node_b")), ("low", F.least, ("root", "root_b")), ("high", F.greatest, ("root", "root_b")))]
+    pairs = materialize(pairs.select(*ends).distinct(), "pairs")
     pairs = may_be_alike(pairs, rows, similarity)
     one = materialize(pairs.groupBy("low", "high").agg(F.min(F.struct("a", "b")).alias("p")).select("p.*"), "first-pairs")
     links = alike(one, rows, similarity)

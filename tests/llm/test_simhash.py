@@ -214,3 +214,42 @@ def test_common_passages_do_not_link(spark):
                 if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                     root[i] = root[j] = min(root[i], root[j])
     assert kept == sorted(set(root.values())) and 1 < len(kept) < len(rows)
+
+
+def test_a_template_makes_few_pairs(spark, monkeypatch):
+    """600 texts of 90 shared and 16 own words: no two are alike, and all share their passage; all pairs would be 179,700."""
+    rng = random.Random(4)
+    shared = [f"common{k}" for k in range(90)]
+    rows = []
+    for i in range(600):
+        at = rng.randrange(91)
+        rows.append((i, " ".join([*shared[:at], *[f"own{i}x{k}" for k in range(16)], *shared[at:]])))
+    written = {}
+
+    def counted(df, tag, keep=simhash.materialize):
+        out = keep(df, tag)
+        written[tag] = written.get(tag, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert simhash.drop_similar(docs).count() == 600
+    assert written.get("pairs", 0) < 20 * 600, written
+
+
+def test_pairs_of_unlike_sizes_are_found(spark):
+    """Sets of 80 to 100 shingles, one a part of the other, that no tree meets: radius 0."""
+    base = [f"w{k}" for k in range(104)]
+    rows = [(n, " ".join(base[: n + 4])) for n in (100, 80, 79, 64, 63)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {}
+    for r in simhash.similar_groups(docs, radius=0).collect():
+        groups.setdefault(r.keep_id, set()).add(r.doc_id)
+    want = {n: {n} for n, _ in rows}
+    for a in want:
+        for b in list(want):
+            if min(a, b) / max(a, b) >= 0.8:
+                union = want[a] | want[b]
+                for x in union:
+                    want[x] = union
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(g) for g in {frozenset(g) for g in want.values()})
