@@ -58,8 +58,8 @@ CHUNK = 1024
 ROUNDS = 3
 PARITY_BITS = 1024
 RANK_BITS = 18
-BROADCAST_ROWS = 200_000
-BROADCAST_KEYS = 2_000_000
+BROADCAST_ROWS = 100_000
+BROADCAST_KEYS = 500_000
 OUT_HASHES = 1 << 20
 
 
