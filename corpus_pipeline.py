@@ -1,4 +1,11 @@
-"""From raw documents to packed sequences: each stage works on all that the one before it kept."""
+"""From raw documents to packed sequences: each stage works on all that the one before it kept.
+
+Null and empty texts are kept by the classifier, equal each other in the exact stage (one row stays), make one
+group of the near-copy stage, and are drawn and packed as a document of the end id alone.  Very long texts are
+scored, compared and packed whole; packing cuts them into pieces.  Of rows that repeat another, or tie, one stays as each stage
+defines it (the largest doc_id of equal texts, the smallest of near copies).  Null sources and languages are values
+of their own.  An empty table gives no rows.  Further columns are kept up to the last stage, whatever their names.
+"""
 
 from __future__ import annotations
 
