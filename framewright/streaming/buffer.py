@@ -14,60 +14,65 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class EpisodeBuffer(StatefulProcessor):
-    """State of an episode: its frames so far, and the time after which it counts as idle.
-
-    A row with ``ends`` closes its episode; so does a watermark ``idle_ms`` past its last frame.  Then its frames go out in the order
-    of ``order_key``, numbered from 0, and nothing of it is kept: a later frame of that name begins an episode anew.  Frames
-    are stored as they come; only at the end does a task hold those of one episode.
-    """
-
-    def __init__(self, fps: float, idle_ms: int):
-        self.fps, self.idle_ms = fps, idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.frames = handle.getListState("frames", "order_key long, task string")
-        self.due = handle.getValueState("due", "at long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ended, newest = False, -1
-        for batch in rows:
-            ended = ended or bool(batch["ends"].any())
-            newest = max(newest, int(batch["at_ms"].max()))
-            frames = batch[~batch["ends"]]
-            if len(frames):
-                self.frames.appendList(list(zip(frames["order_key"].tolist(), frames["task"].tolist(), strict=True)))
-        if ended:
-            yield from self._out(key, "end")
-            return
-        before = int(self.due.get()[0]) if self.due.exists() else -1
-        due = max(before, newest + self.idle_ms)
-        if due > before:
-            if before >= 0:
-                self.handle.deleteTimer(before)
-            self.due.update((due,))
-            self.handle.registerTimer(due)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._out(key, "idle")
-
-    def _out(self, key, ended_by: str) -> Iterator[pd.DataFrame]:
-        held = sorted((tuple(f) for f in self.frames.get()), key=lambda f: f[0]) if self.frames.exists() else []
-        if ended_by == "end" and self.due.exists():
-            self.handle.deleteTimer(int(self.due.get()[0]))
-        self.frames.clear()
-        self.due.clear()
-        if held:
-            n = len(held)
-            order_key, task = zip(*held, strict=True)
-            place = range(n)
-            yield pd.DataFrame(
-                {"episode": [int(key[0])] * n, "frame_index": place, "seconds": [k / self.fps for k in place], "order_key": order_key, "task": task, "ended_by": [ended_by] * n}
-            )
-
-    def close(self) -> None:
-        pass
+def episode_buffer(fps: float, idle_ms: int) -> StatefulProcessor:
+    """A processor that Spark's own driver-side worker can load, too: a class within a function travels whole, and needs no import there."""
+
+    class EpisodeBuffer(StatefulProcessor):
+        """State of an episode: its frames so far, and the time after which it counts as idle.
+
+        A row with ``ends`` closes its episode; so does a watermark ``idle_ms`` past its last frame.  Then its frames go out in the order
+        of ``order_key``, numbered from 0, and nothing of it is kept: a later frame of that name begins an episode anew.  Frames
+        are stored as they come; only at the end does a task hold those of one episode.
+        """
+
+        def __init__(self, fps: float, idle_ms: int):
+            self.fps, self.idle_ms = fps, idle_ms
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.frames = handle.getListState("frames", "order_key long, task string")
+            self.due = handle.getValueState("due", "at long")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            ended, newest = False, -1
+            for batch in rows:
+                ended = ended or bool(batch["ends"].any())
+                newest = max(newest, int(batch["at_ms"].max()))
+                frames = batch[~batch["ends"]]
+                if len(frames):
+                    self.frames.appendList(list(zip(frames["order_key"].tolist(), frames["task"].tolist(), strict=True)))
+            if ended:
+                yield from self._out(key, "end")
+                return
+            before = int(self.due.get()[0]) if self.due.exists() else -1
+            due = max(before, newest + self.idle_ms)
+            if due > before:
+                if before >= 0:
+                    self.handle.deleteTimer(before)
+                self.due.update((due,))
+                self.handle.registerTimer(due)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            yield from self._out(key, "idle")
+
+        def _out(self, key, ended_by: str) -> Iterator[pd.DataFrame]:
+            held = sorted((tuple(f) for f in self.frames.get()), key=lambda f: f[0]) if self.frames.exists() else []
+            if ended_by == "end" and self.due.exists():
+                self.handle.deleteTimer(int(self.due.get()[0]))
+            self.frames.clear()
+            self.due.clear()
+            if held:
+                n = len(held)
+                order_key, task = zip(*held, strict=True)
+                place = range(n)
+                yield pd.DataFrame(
+                    {"episode": [int(key[0])] * n, "frame_index": place, "seconds": [k / self.fps for k in place], "order_key": order_key, "task": task, "ended_by": [ended_by] * n}
+                )
+
+        def close(self) -> None:
+            pass
+
+    return EpisodeBuffer(fps, idle_ms)
 
 
 @contextmanager
@@ -95,4 +100,4 @@ def episodes(stream: DataFrame, fps: float, idle: str = "1 hour", delay: str = "
 
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
     timed = stream.withWatermark("at", delay).withColumn("at_ms", F.unix_millis("at"))
-    return timed.groupBy("episode").transformWithStateInPandas(EpisodeBuffer(fps, idle_ms), FRAMES, "Append", "eventTime")
+    return timed.groupBy("episode").transformWithStateInPandas(episode_buffer(fps, idle_ms), FRAMES, "Append", "eventTime")
