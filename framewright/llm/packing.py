@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.memory import frugal
+from framewright.llm.memory import frugal, small_batches
 from framewright.llm.text import text_of
 from framewright.llm.units import KEPT_UNITS, encoder
 from framewright.storage import materialize
@@ -202,7 +202,8 @@ class Bins:
 
 def pack(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """The rows of ``pieces`` with sequence_id and offset.  ``pieces`` has a column length, from 1 to ``capacity``."""
-    rows = materialize(pieces.withColumn("__row", F.monotonically_increasing_id()), "pieces")
+    with small_batches(pieces.sparkSession):
+        rows = materialize(pieces.withColumn("__row", F.monotonically_increasing_id()), "pieces")
     whole = rows.filter(F.col("length") == capacity)
     short = rows.filter(F.col("length") < capacity)
     groups = max(1, -(-short.count() // group_pieces))

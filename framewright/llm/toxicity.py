@@ -29,13 +29,13 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.labelled import fold, training_rows
-from framewright.llm.memory import frugal, release
+from framewright.llm.memory import frugal
 from framewright.llm.text import text_of
 from framewright.llm.units import UnitCache
 
@@ -219,32 +219,33 @@ def train(
     return Model({f: float(w[k]) for f, k in index.items() if abs(w[k]) > 1e-6}, float(b))
 
 
-def score(model: Model, text: str = "text") -> Column:
-    """The score of each text, from 0 to 1."""
+def scored_batches(model: Model, at: int, out: Callable[[pa.RecordBatch, pa.Array], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task over batches: what ``out`` makes of each and of the scores, from 0 to 1, of the texts in column ``at``."""
 
-    @F.pandas_udf("double")
-    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @frugal
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = model.scorer()
-        for batch in texts:
-            yield pd.Series([one(t) for t in batch], dtype="f8")
-        del one
-        release()
+        for batch in batches:
+            yield out(batch, pa.array([one(t.as_py() or "") for t in batch.column(at)], pa.float64()))
 
-    return scored(text_of(text))
+    return task
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, held_out, score, predicted of every row; nothing is learned from the rows held out."""
     model = train(docs, labels, keep=fold(F.col("doc_id"), folds) != held)
-    scored = docs.select(
+    rows = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.coalesce(fold(F.col(doc_id), folds) == held, F.lit(False)).alias("held_out"),
-        score(model, text).alias("score"),
+        text_of(text).alias("score"),
     )
+    task = scored_batches(model, 2, lambda batch, scores: pa.RecordBatch.from_arrays([*batch.columns[:2], scores], ["doc_id", "held_out", "score"]))
+    scored = rows.mapInArrow(task, rows.withColumn("score", F.lit(0.0)).schema)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score is below the threshold, with their columns."""
     model = train(docs, labels, keep=fold(F.col("doc_id"), folds) != held)
-    return docs.filter(score(model, text) < threshold)
+    at = [c.lower() for c in docs.columns].index(text.lower())
+    return docs.mapInArrow(scored_batches(model, at, lambda batch, scores: batch.filter(pc.less(scores, threshold))), docs.schema)
