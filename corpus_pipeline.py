@@ -19,7 +19,7 @@ from framewright.shipping import shipped
 from framewright.storage import materialize
 
 #: Units that a worker remembers while it tokenizes: fewer than by default, since workers outlive the stages before.
-KEPT_UNITS = 200_000
+KEPT_UNITS = 60_000
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
