@@ -132,3 +132,83 @@ def test_odd_tables(spark):
     assert {(r.doc_id, r.text) for r in out.collect()} >= {(1, None), (2, ""), (2, "a b")}  # no tokens, or the rarest value: chance 1
     assert mixing.sample_to_targets(spark.createDataFrame([], SCHEMA)).collect() == []
     assert mixing.sample_to_targets(docs.filter("doc_id = 1")).count() == 1
+
+
+def test_rarest_source_does_not_bound_the_draw(spark):
+    """A source of 1e-6 of the tokens: the asked share is drawn, margins within 0.01 of the targets, none above its stock."""
+    docs = (
+        spark.range(20_001)
+        .select(
+            F.col("id").alias("doc_id"),
+            F.when(F.col("id") == 20_000, "one").otherwise(F.repeat(F.lit("word "), F.lit(50))).alias("text"),
+            F.when(F.col("id") % 10 < 7, "x").otherwise("y").alias("lang"),
+            F.when(F.col("id") == 20_000, "rare").when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 5)).alias("source"),
+        )
+    )
+    found = mixing.cells(docs)
+    total = found.agg(F.sum("tokens")).first()[0]
+    for beyond, least in (("cap", 0.79), ("repeat", 0.79), ("less", 0.0)):
+        out = mixing.draw(docs, beyond=beyond).select("doc_id", "mix.*").toPandas()
+        drawn = docs.join(spark.createDataFrame(out[["doc_id", "copy"]]), "doc_id").withColumn("n", mixing.token_count(F.col("text"))).toPandas()
+        assert drawn.n.sum() / total >= least and drawn.n.sum() / total < 0.81, beyond
+        for margin, column in (("source", "source"), ("language", "lang")):
+            wanted = {r.value: r.target for r in mixing.tempered(found, margin).collect()}
+            got = drawn.groupby(column).n.sum() / drawn.n.sum()
+            if beyond != "less":
+                assert all(abs(got.get(v, 0) - t) < 0.01 for v, t in wanted.items()), (beyond, got, wanted)
+        if beyond == "cap":
+            assert out.chance.max() <= 1 and not out.doc_id.duplicated().any() and 20_000 in set(out.doc_id)
+        if beyond == "repeat":
+            rare = out[out.doc_id == 20_000]
+            assert len(rare) - rare.chance.iloc[0] < 1 and rare.chance.iloc[0] - len(rare) < 1 and len(rare) > 1
+
+
+def test_capped_raking_against_plain_projections(spark):
+    """Weights within their bounds and margins at what the stock allows, as plain Python finds them."""
+    rng = random.Random(11)
+    rows = [(s, l, t, rng.choice([1, 30, 400, 5000])) for s in "abcd" for l in "xy" for t in "pq"]
+    found = spark.createDataFrame(rows, "source string, language string, topic string, tokens long")
+    targets = {m: mixing.tempered(found, m, 0.7) for m in mixing.MARGINS}
+    fitted, share = mixing.within_stock(found, targets, 0.8)
+    assert share == 0.8
+    plain = [{r.value: r.target for r in fitted[m].collect()} for m in mixing.MARGINS]
+    stock = {r[:3]: r[3] for r in rows}
+    bound = {c: n / (0.8 * sum(stock.values())) for c, n in stock.items()}
+    for k, wanted in enumerate(plain):
+        asked = {r.value: r.target for r in targets[mixing.MARGINS[k]].collect()}
+        held = {v: sum(b for c, b in bound.items() if c[k] == v) for v in wanted}
+        assert np.isclose(sum(wanted.values()), 1)
+        assert all(t <= held[v] * (1 + 1e-9) for v, t in wanted.items())
+        ratios = {round(t / asked[v], 9) for v, t in wanted.items() if t < held[v] * (1 - 1e-9)}
+        assert len(ratios) <= 1  # those that do not run out keep their proportions
+    weight, over = {c: float(n) for c, n in stock.items()}, dict.fromkeys(stock, 1.0)
+    for _ in range(200):
+        for k, wanted in enumerate(plain):
+            has: dict = {}
+            for c, w in weight.items():
+                has[c[k]] = has.get(c[k], 0) + w
+            weight = {c: w * wanted[c[k]] / has[c[k]] for c, w in weight.items()}
+        held = {c: w * over[c] for c, w in weight.items()}
+        weight = {c: min(h, bound[c]) for c, h in held.items()}
+        over = {c: held[c] / weight[c] for c in held}
+    total = sum(weight.values())
+    got = {(r.source, r.language, r.topic): r.weight for r in mixing.rake(found, fitted, share=share).collect()}
+    assert all(np.isclose(got[c], w / total, rtol=1e-2, atol=1e-5) for c, w in weight.items())
+    chance = {(r.source, r.language, r.topic): r.chance for r in mixing.chances(mixing.rake(found, fitted, share=share), share, "cap").collect()}
+    assert max(chance.values()) <= 1 and np.isclose(sum(chance[c] * n for c, n in stock.items()), 0.8 * sum(stock.values()), rtol=1e-6)
+
+
+def test_targets_beyond_the_stock(spark):
+    docs = spark.createDataFrame([(i, "a b c", "x" if i % 10 else "y", "s", "c", 1) for i in range(3000)], SCHEMA)
+    wanted = {"language": spark.createDataFrame([("x", 0.5), ("y", 0.5)], "value string, target double")}
+    only = {"language": spark.createDataFrame([("y", 1.0)], "value string, target double")}
+    capped = mixing.draw(docs, wanted).groupBy("lang").count().toPandas().set_index("lang")["count"]
+    assert capped["y"] == 300 and abs(capped["x"] - 2100) < 120
+    whole = mixing.draw(docs, only)
+    assert whole.count() == 300 and whole.filter("lang = 'x'").count() == 0
+    repeated = mixing.draw(docs, wanted, beyond="repeat")
+    count = repeated.groupBy("lang").count().toPandas().set_index("lang")["count"]
+    assert abs(count["x"] - 1200) < 120 and count["y"] == 1200
+    assert repeated.groupBy("doc_id", "mix.copy").count().filter("count > 1").count() == 0
+    with pytest.raises(ValueError, match="beyond"):
+        mixing.draw(docs, beyond="all")
