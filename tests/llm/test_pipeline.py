@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from framewright.llm import simhash, toxicity
+from framewright.storage import materialize
 
 DATA = "/root/testdata/sf0.001"
 
@@ -41,3 +44,34 @@ def test_stages_in_turn(spark):
     pieces = corpus_pipeline.run(spark, DATA).toPandas()
     assert set(pieces.doc_id) == set(tables[4].doc_id)
     assert pieces.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def test_odd_rows_and_an_empty_table(spark, tmp_path):
+    """Null and empty texts are equal, null sources and languages are values, repeated rows leave one, columns may have any name."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    odd = spark.createDataFrame(
+        [(10**9, None, None, None, None), (10**9 + 1, "", "en", None, 0), (10**9 + 2, None, "en", "s", None), (10**9 + 3, "odd " * 9000, None, "s", 36000)]
+        + [(10**9 + 4, "a few words of a repeated row", "en", "s", 29)] * 3,
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
+    clash = {"score": F.lit(7), "Mix": F.lit("m"), "cell": F.lit(1.5), "Component_Id": F.lit(None).cast("string"), "weight": F.array(F.lit(1)), "rid": F.col("doc_id")}
+    both = docs.select(*odd.columns).unionByName(odd).withColumns(clash)
+    some, none = str(tmp_path / "some"), str(tmp_path / "none")
+    both.write.parquet(f"{some}/documents.parquet")
+    both.filter("false").write.parquet(f"{none}/documents.parquet")
+    for folder in (some, none):
+        spark.read.parquet(f"{DATA}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+    kept = spark.read.parquet(f"{some}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        kept = materialize(stage(spark, kept, some), f"odd-{k}")
+        assert kept.columns == both.columns, name
+        assert kept.filter("score <> 7 or Mix <> 'm' or cell <> 1.5 or rid <> doc_id or Component_Id is not null or weight[0] <> 1").isEmpty(), name
+        left = [r.doc_id - 10**9 for r in kept.filter("doc_id >= 1000000000").collect()]
+        if name == "toxicity":
+            assert sorted(left) == [0, 1, 2, 3, 4, 4, 4]
+        if name in ("exact_dedup", "simhash_near_dedup"):
+            assert sorted(left) == [2, 3, 4], name
+    pieces = corpus_pipeline.STAGES[-1][1](spark, kept, some).toPandas()
+    assert set(pieces.doc_id) == {r.doc_id for r in kept.select("doc_id").collect()}
+    assert not pieces.duplicated(["doc_id", "piece"]).any()
+    assert corpus_pipeline.run(spark, none).count() == 0
