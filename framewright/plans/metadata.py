@@ -126,8 +126,9 @@ def result_files(spark, sf_dir):
     root, kept = new_path(spark, "results"), new_path(spark, "counts")
     made.withColumns({"task_id": F.lit(0), "duration": F.lit(1.0)}).write.parquet(kept)
     counts = spark.read.parquet(kept)
-    for k, suite in enumerate(["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]):
-        datasets.write_document(counts.filter(F.col("task_suite") == suite), f"{root}/suite{k}/gpu{k}_task0_results.json")
+    suites = [r.task_suite for r in counts.select("task_suite").orderBy("task_suite").collect()]  # a row a suite
+    for k, suite in enumerate(suites):
+        datasets.write_document(counts.filter(F.col("task_suite").eqNullSafe(suite)), f"{root}/suite{k}/gpu{k}_task0_results.json")
     return datasets.read_results(spark, root).select("task_suite", "total_episodes", "successes")
 
 
