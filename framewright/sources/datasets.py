@@ -28,7 +28,10 @@ def read_frames(spark: SparkSession, root: str, schema: T.StructType | None = No
 
 
 def write_frames(frames: DataFrame, root: str, chunk: int = 1000, mode: str = "overwrite") -> None:
-    """One folder per chunk and episode; rows of an episode meet in one task, one file each."""
+    """An export: one folder per chunk and episode; rows of an episode meet in one task, one file each.
+
+    Files are as many as episodes; ``write_packed`` stores any number of them.
+    """
     chunked = frames.withColumn("episode_chunk", F.floor(F.col("episode_index") / chunk))
     chunked.repartition("episode_chunk", "episode_index").sortWithinPartitions("episode_index", "frame_index").write.mode(
         mode
@@ -208,6 +211,12 @@ def read_packed(spark: SparkSession, root: str, first: int | None = None, last:
     return frames if last is None else frames.filter(F.col("episode_index") <= last)
 
 
+def unstored_episodes(spark: SparkSession, root: str, frames: DataFrame) -> DataFrame:
+    """Episodes of ``frames`` of which no file that ``write_packed`` left under ``root`` holds a frame; only their numbers are read."""
+    stored = read_packed(spark, root).select("episode_index").distinct()
+    return frames.select("episode_index").distinct().join(stored, "episode_index", "left_anti")
+
+
 def read_stats(spark: SparkSession, path: str) -> DataFrame:
     """group, key, name, at, value (float32) of a normaliser statistics document."""
     kind = "map<string,map<string,array<float>>>"
