@@ -41,6 +41,8 @@ LAYOUT = [
     (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60),
 ]
 ESCAPE = 0
+_SELECTOR = np.array([ESCAPE, *range(len(LAYOUT), 0, -1)], "u1")
+_MANY = np.array([1, *(many for many, _ in reversed(LAYOUT))], "u1")
 BLOCK_IDS = 1 << 16
 CODED_BYTES = 4 << 20
 KEPT_UNITS = 550_000
@@ -81,22 +83,21 @@ def encode(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, "<u8"), np.zeros(len(ends), "i8")
     width = widths(ids)
     left = np.minimum(np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n), 255).astype("u1")
-    selector = np.full(n, ESCAPE, "u1")
-    count = np.ones(n, "u1")
-    for s in range(len(LAYOUT), 0, -1):  # from one id a word to many; later ones overrule
+    rank = np.zeros(n, "u1")  # of the layout that holds most ids: selectors from the last one on, 0 for an escape
+    for s in range(len(LAYOUT), 0, -1):
         many, bits = LAYOUT[s - 1]
         fits = all_of_next(width <= bits, many)
         if fits is None:
             continue
         fits &= left[: len(fits)] >= many
-        selector[: len(fits)][fits], count[: len(fits)][fits] = s, many
-    step = count.tolist()
+        np.maximum(rank[: len(fits)], fits.view("u1") * np.uint8(len(LAYOUT) + 1 - s), out=rank[: len(fits)])
+    step = _MANY[rank].tolist()
     starts, i = [], 0
     while i < n:
         starts.append(i)
         i += step[i]
     start = np.array(starts)
-    chosen = selector[start]
+    chosen = _SELECTOR[rank[start]]
     slots = 1 + (chosen == ESCAPE)
     place = np.cumsum(slots) - slots
     words = np.zeros(int(slots.sum()), "<u8")
@@ -106,9 +107,11 @@ def encode(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             words[place[mine] + 1] = ids[start[mine]]
             continue
         many, bits = LAYOUT[s - 1]
-        shifts = np.arange(many, dtype="u8") * np.uint64(bits)
-        packed = np.bitwise_or.reduce(ids[start[mine][:, None] + np.arange(many)].astype("u8") << shifts, axis=1)
-        words[place[mine]] = packed | np.uint64(int(s) << 60)
+        at = start[mine]
+        packed = np.full(len(at), int(s) << 60, "u8")
+        for k in range(many):
+            packed |= ids[at + k].astype("u8") << np.uint64(bits * k)
+        words[place[mine]] = packed
     doc = np.searchsorted(ends, start, side="right")
     return words, np.bincount(doc, weights=slots, minlength=len(ends)).astype("i8")
 
@@ -133,8 +136,9 @@ def decode(words: np.ndarray) -> np.ndarray:
             continue
         mine = np.flatnonzero((selector == s) & ~literal)
         n, bits = LAYOUT[s - 1]
-        shifts = np.arange(n, dtype="u8") * np.uint64(bits)
-        out[place[mine][:, None] + np.arange(n)] = (words[mine][:, None] >> shifts) & np.uint64((1 << bits) - 1)
+        at, held = place[mine], words[mine]
+        for k in range(n):
+            out[at + k] = held >> np.uint64(bits * k) & np.uint64((1 << bits) - 1)
     return out
 
 

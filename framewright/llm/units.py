@@ -89,7 +89,7 @@ class Encoder:
         space, stops = letters[ord(" ")], {s: whole_ids(tokens, letters, s) for s in ".,;:!?"}
 
         def later_ids(unit: str) -> bytes:
-            if unit.isalpha() and max(unit) < LATIN_END:
+            if unit.isalpha() and (unit.isascii() or max(unit) < LATIN_END):
                 found = tokens(space + (unit if unit.isascii() else unit.translate(letters)))
                 return array("I", [t.id for t in found]).tobytes()
             if unit[-1:] in stops and unit[:-1].isalpha() and max(unit) < LATIN_END:
@@ -126,7 +126,7 @@ class Encoder:
         coded = cut.flatten().dictionary_encode()
         code = coded.indices.to_numpy().astype("i8")
         odd = np.flatnonzero(pc.match_substring_regex(texts, _BLANK_SPACE).to_numpy(zero_copy_only=False))
-        known = list(map(self.later.__getitem__, coded.dictionary.to_pylist()))
+        known = list(map(self.later.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()))
         heads = [self.first[u] for u in pc.list_element(cut, 0).to_pylist()]
         for k in odd.tolist():  # cut elsewhere: the whole text stands in its head's place, and nothing after it
             heads[k] = self(texts[k].as_py())
