@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,9 @@ _SELECTOR = np.array([ESCAPE, *range(len(LAYOUT), 0, -1)], "u1")
 _MANY = np.array([1, *(many for many, _ in reversed(LAYOUT))], "u1")
 BLOCK_IDS = 1 << 16
 CODED_BYTES = 4 << 20
-KEPT_UNITS = 550_000
+#: Ids that are coded at once: few enough for a core's cache.
+SLICE_IDS = 1 << 17
+KEPT_UNITS = 650_000
 
 _CODED = "part int, doc_id long, n_ids long, words binary"
 _BLOCKS = (
@@ -116,6 +119,15 @@ def encode(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words, np.bincount(doc, weights=slots, minlength=len(ends)).astype("i8")
 
 
+def encoded_slices(ids: np.ndarray, ends: np.ndarray, most: int = SLICE_IDS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``encode`` of runs of whole documents of about ``most`` ids."""
+    cuts = [0, *(np.flatnonzero(np.diff(ends // most)) + 1).tolist(), len(ends)]
+    for a, b in pairwise(cuts):
+        if a < b:
+            begin = int(ends[a - 1]) if a else 0
+            yield encode(ids[begin : ends[b - 1]], ends[a:b] - begin)
+
+
 def decode(words: np.ndarray) -> np.ndarray:
     """The ids that ``words`` hold, in order."""
     words = words.astype("u8")
@@ -155,9 +167,9 @@ def coded_documents(docs: DataFrame, tokenizer_path: str, bounds: list[int], tex
             )
             words, counts = [], []
             for ids, ends in ids_of.batches(batch.column(1), CODED_BYTES):
-                run, many = encode(ids, ends)
-                raw, at = run.tobytes(), np.concatenate([[0], np.cumsum(many * 8)]).tolist()
-                words += [raw[a:b] for a, b in zip(at, at[1:])]
+                for run, many in encoded_slices(ids, ends):
+                    raw, at = run.tobytes(), np.concatenate([[0], np.cumsum(many * 8)]).tolist()
+                    words += [raw[a:b] for a, b in zip(at, at[1:])]
                 counts += np.diff(ends, prepend=0).tolist()
             columns = [pa.array(part, pa.int32()), docs_of, pa.array(counts, pa.int64()), pa.array(words, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "n_ids", "words"])

@@ -59,3 +59,11 @@ def test_files_against_a_plain_reading(spark, tmp_path, parts):
 def test_empty_table(spark, tmp_path):
     simple8b.write_files(spark.createDataFrame([], SCHEMA), str(tmp_path / "f"), tokenizer_file())
     assert simple8b.read_files(spark, str(tmp_path / "f")).collect() == []
+
+
+def test_slices_of_documents_are_coded_as_the_whole():
+    ids, lengths = np.arange(5000, dtype="<u4") * 7919 % 50_000, [1, 0, 700, 3, 2500, 0, 1795, 1]
+    words, many = simple8b.encode(ids, np.cumsum(lengths))
+    parts = list(simple8b.encoded_slices(ids, np.cumsum(lengths), most=600))
+    assert len(parts) > 2 and np.array_equal(np.concatenate([m for _, m in parts]), many)
+    assert np.array_equal(np.concatenate([w for w, _ in parts]), words) and np.array_equal(simple8b.decode(words), ids)
