@@ -5,6 +5,8 @@ group of the near-copy stage, and are drawn and packed as a document of the end
 scored, compared and packed whole; packing cuts them into pieces.  Of rows that repeat another, or tie, one stays as each stage
 defines it (the largest doc_id of equal texts, the smallest of near copies).  Null sources and languages are values
 of their own.  An empty table gives no rows.  Further columns are kept up to the last stage, whatever their names.
+
+A stage begins by having the executors give back what the one before it left in their heaps.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from framewright.llm import block_naming, mixing, packing, simhash, toxicity
+from framewright.llm.memory import give_back
 from framewright.llm.registry import labels, tokenizer_file
 from framewright.shipping import shipped
 from framewright.storage import materialize
@@ -31,22 +34,26 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @shipped
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    give_back(spark)
     return block_naming.drop_exact_duplicates(docs)
 
 
 @shipped
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five-word shingles, similarity 0.8 or more; one document of each group stays."""
+    give_back(spark)
     return simhash.drop_similar(docs)
 
 
 @shipped
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    give_back(spark)
     return mixing.sample_to_targets(docs)
 
 
 @shipped
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    give_back(spark)
     return packing.pack_documents(docs, tokenizer_file(), kept_units=KEPT_UNITS)
 
 

@@ -1,4 +1,4 @@
-"""Python workers outlive their tasks; what a task has freed goes back to the system when it ends."""
+"""Workers and executors outlive their tasks and stages; what these have freed goes back to the system when they end."""
 
 from __future__ import annotations
 
@@ -34,6 +34,17 @@ def frugal(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
     return run
 
 
+def give_back(spark: SparkSession) -> None:
+    """Have the executors collect their garbage, so that heap and buffers that earlier stages filled are free for Python workers.
+
+    A JVM keeps what it once took until it collects the whole heap, and it does so only when that is full.  Two tasks a core are
+    sent; an executor that gets none keeps its heap.
+    """
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    collected = spark.range(0, tasks, 1, tasks).selectExpr("java_method('java.lang.System', 'gc')")
+    collected.write.format("noop").mode("overwrite").save()
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000, held: int = 4 << 20) -> Iterator[None]:
     """Hand tasks at most so many rows and about so many bytes at a time while this lasts, for rows that are wide."""

@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from framewright.llm import simhash, toxicity
+from framewright.llm import block_naming, mixing, packing, simhash, toxicity
 from framewright.storage import materialize
 
 DATA = "/root/testdata/sf0.001"
@@ -75,3 +75,16 @@ def test_odd_rows_and_an_empty_table(spark, tmp_path):
     assert set(pieces.doc_id) == {r.doc_id for r in kept.select("doc_id").collect()}
     assert not pieces.duplicated(["doc_id", "piece"]).any()
     assert corpus_pipeline.run(spark, none).count() == 0
+
+
+def test_stages_begin_with_a_collected_heap(spark, monkeypatch):
+    """Near copies leave heaps full; packing's Python workers then found no room beside them."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = [b for b in beans if not any(x in b.getName() for x in ("Young", "Scavenge", "Copy", "Concurrent"))]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for module, name in ((block_naming, "drop_exact_duplicates"), (simhash, "drop_similar"), (mixing, "sample_to_targets"), (packing, "pack_documents")):
+        monkeypatch.setattr(module, name, lambda rows, *args, **options: rows)
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        before = sum(b.getCollectionCount() for b in whole)
+        stage(spark, docs, DATA)
+        assert sum(b.getCollectionCount() for b in whole) > before, name
