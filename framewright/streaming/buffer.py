@@ -18,7 +18,7 @@ def episode_buffer(fps: float, idle_ms: int) -> StatefulProcessor:
     """A processor that Spark's own driver-side worker can load, too: a class within a function travels whole, and needs no import there."""
 
     class EpisodeBuffer(StatefulProcessor):
-        """State of an episode: its frames so far, and the time after which it counts as idle.
+        """State of an episode: its frames so far, the time after which it counts as idle, and the time of its one timer, which may be earlier.
 
         A row with ``ends`` closes its episode; so does a watermark ``idle_ms`` past its last frame.  Then its frames go out in the order
         of ``order_key``, numbered from 0, and nothing of it is kept: a later frame of that name begins an episode anew.  Frames
@@ -31,34 +31,40 @@ def episode_buffer(fps: float, idle_ms: int) -> StatefulProcessor:
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
             self.frames = handle.getListState("frames", "order_key long, task string")
-            self.due = handle.getValueState("due", "at long")
+            self.due = handle.getValueState("due", "at long, timer long")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             ended, newest = False, -1
             for batch in rows:
-                ended = ended or bool(batch["ends"].any())
-                newest = max(newest, int(batch["at_ms"].max()))
-                frames = batch[~batch["ends"]]
+                ends = batch["ends"].to_numpy(bool)
+                ended = ended or bool(ends.any())
+                newest = max(newest, int(batch["at_ms"].to_numpy().max()))
+                frames = batch[~ends] if ends.any() else batch
                 if len(frames):
                     self.frames.appendList(list(zip(frames["order_key"].tolist(), frames["task"].tolist(), strict=True)))
+            held = self.due.get()
             if ended:
+                if held is not None:
+                    self.handle.deleteTimer(int(held[1]))
                 yield from self._out(key, "end")
                 return
-            before = int(self.due.get()[0]) if self.due.exists() else -1
-            due = max(before, newest + self.idle_ms)
-            if due > before:
-                if before >= 0:
-                    self.handle.deleteTimer(before)
-                self.due.update((due,))
+            due = newest + self.idle_ms
+            if held is None:
                 self.handle.registerTimer(due)
+                self.due.update((due, due))
+            elif due > held[0]:
+                self.due.update((due, int(held[1])))  # its timer looks again when it expires
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            yield from self._out(key, "idle")
+            due = int(self.due.get()[0])
+            if due < timerValues.getCurrentWatermarkInMs() or due <= expiredTimerInfo.getExpiryTimeInMs():
+                yield from self._out(key, "idle")
+                return
+            self.handle.registerTimer(due)
+            self.due.update((due, due))
 
         def _out(self, key, ended_by: str) -> Iterator[pd.DataFrame]:
-            held = sorted((tuple(f) for f in self.frames.get()), key=lambda f: f[0]) if self.frames.exists() else []
-            if ended_by == "end" and self.due.exists():
-                self.handle.deleteTimer(int(self.due.get()[0]))
+            held = sorted((tuple(f) for f in self.frames.get()), key=lambda f: f[0])
             self.frames.clear()
             self.due.clear()
             if held:

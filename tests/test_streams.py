@@ -5,6 +5,7 @@ import os
 import shutil
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,3 +160,66 @@ def test_lines_that_can_not_be_read_are_kept_apart(spark, tmp_path):
     assert told == {lines[1]: "not readable", lines[2]: "not readable", lines[5]: "lacks a", "nonsense": "not readable", "[]": told["[]"]}
     assert bad.first().path.endswith("f.json")
     shutil.rmtree(tmp_path / "none", ignore_errors=True)
+
+
+def test_buffer_moves_no_timer_for_each_batch():
+    """A later frame only writes down the later time; the one timer looks again when it expires."""
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.value = None
+
+        def get(self):
+            return self.value
+
+        def exists(self):
+            return self.value is not None
+
+        def update(self, value):
+            self.value = value
+
+        def appendList(self, rows):
+            self.value = (self.value or []) + rows
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        def getListState(self, *_):
+            return Frames()
+
+        def getValueState(self, *_):
+            return State()
+
+        def registerTimer(self, at):
+            calls.append(("register", at))
+
+        def deleteTimer(self, at):
+            calls.append(("delete", at))
+
+    class Frames(State):
+        def get(self):
+            return iter(self.value or [])
+
+    class At:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):
+            return self.at
+
+        getExpiryTimeInMs = getCurrentWatermarkInMs
+
+    made = buffer.episode_buffer(10.0, 100)
+    made.init(Handle())
+    batch = lambda at, ends=False: pd.DataFrame({"ends": [ends], "at_ms": [at], "order_key": [at], "task": ["t"]})
+    for at in (0, 50, 90):
+        assert list(made.handleInputRows((1,), iter([batch(at)]), None)) == []
+    assert calls == [("register", 100)]
+    assert list(made.handleExpiredTimer((1,), At(150), At(100))) == [] and calls[1:] == [("register", 190)]
+    (out,) = made.handleExpiredTimer((1,), At(191), At(190))
+    assert out["order_key"].tolist() == [0, 50, 90] and set(out["ended_by"]) == {"idle"}
+    list(made.handleInputRows((1,), iter([batch(200)]), None))
+    (out,) = made.handleInputRows((1,), iter([batch(210, ends=True)]), None)
+    assert out["order_key"].tolist() == [200] and calls[2:] == [("register", 300), ("delete", 300)]
