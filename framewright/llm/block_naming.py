@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from framewright.llm.skew import join_keyed
 from framewright.llm.text import ascii_lower, text_of, unused
-from framewright.storage import broadcast_within, materialize
+from framewright.storage import broadcast_within, materialize, scratch
 
 BLOCK_BYTES = 4096
 BROADCAST_ROWS = 500_000
@@ -154,19 +154,21 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
 def drop_exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
-    found = materialize(exact_duplicates(docs, text, doc_id, **options), "exact")
     key, sha = unused(docs, "keep_doc", "keep_sha")
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(
-        F.col("doc_id").alias(key), F.col("text_sha256").alias(sha)
-    )
-    gone = broadcast_within(gone.distinct(), BROADCAST_ROWS)
+    with scratch() as keep:
+        found = materialize(exact_duplicates(docs, text, doc_id, **options), "exact")
+        gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(
+            F.col("doc_id").alias(key), F.col("text_sha256").alias(sha)
+        )
+        gone = broadcast_within(keep(materialize(gone.distinct(), "gone")), BROADCAST_ROWS)
+        repeated = found.filter("NOT kept").filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+        repeated = not repeated.isEmpty()  # rows that repeat the doc_id of the row that stays
     mine = docs.withColumn(sha, F.sha2(ascii_lower(text_of(text)), 256)).alias("d")
     out = mine.join(
         gone.alias("g"),
         F.col(f"d.`{doc_id}`").eqNullSafe(F.col(f"g.{key}")) & (F.col(f"d.{sha}") == F.col(f"g.{sha}")),
         "left_anti",
     )
-    repeated = found.filter("NOT kept").filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    if not repeated.isEmpty():  # rows that repeat the doc_id of the row that stays
+    if repeated:
         out = out.dropDuplicates([doc_id, sha])
     return out.drop(sha)

@@ -43,7 +43,7 @@ from framewright.llm.components import components
 from framewright.llm.memory import frugal, small_batches
 from framewright.llm.skew import join_keyed
 from framewright.llm.text import text_of, unused
-from framewright.storage import broadcast_within, materialize
+from framewright.storage import broadcast_within, discard, materialize, scratch
 
 RADIUS = 3
 SHINGLE_WORDS = 5
@@ -57,9 +57,9 @@ GROUP = 3
 CHUNK = 1024
 ROUNDS = 3
 PARITY_BITS = 1024
-RANK_BITS = 18
+RANK_BITS = 22
+RANK_BLOCK = 1 << 12
 BROADCAST_ROWS = 100_000
-BROADCAST_KEYS = 500_000
 OUT_HASHES = 1 << 20
 
 
@@ -315,6 +315,19 @@ def near_duplicates(
     )
 
 
+def parity_sketch(hashes: np.ndarray) -> bytes:
+    """For each of the least power of two of bits that is at least twice the set (``PARITY_BITS`` or more), whether an odd number of hashes falls on it."""
+    bits = max(PARITY_BITS, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else PARITY_BITS
+    flips = np.bincount((hashes >> np.uint64(8)).astype("i8") % bits, minlength=bits) % 2
+    return np.packbits(flips.astype("u1"), bitorder="little").tobytes()
+
+
+def parity_distance(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ, once the wider one is folded to the other's width: at most the hashes that one set has alone."""
+    x, y = sorted((np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum(dtype="i8"))
+
+
 def listed(parts: list[np.ndarray]) -> pa.Array:
     """A list array of these parts."""
     ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
@@ -339,8 +352,7 @@ def sketches(docs: DataFrame, words: int, text: str = "text", doc_id: str = "doc
                 low = np.array([((own ^ x) * m >> np.uint64(20)).min(initial=1 << 44) for x, m in mixers], "u8")
                 keys.append(np.bitwise_xor.reduce(low.reshape(TABLES, GROUP) * mixers[:GROUP, 1], axis=1).view("i8"))
                 sets.append(np.sort(own.view("i8")))
-                flips = np.bincount((own >> np.uint64(8)).astype("i8") % PARITY_BITS, minlength=PARITY_BITS) % 2
-                parity.append(np.packbits(flips.astype("u1"), bitorder="little").tobytes())
+                parity.append(parity_sketch(own))
                 held += len(own)
                 if held > OUT_HASHES or k == batch.num_rows - 1:
                     same = [c.slice(begin, len(sets)) for c in batch.columns[:3]]
@@ -407,7 +419,7 @@ def shard_groups(rows: DataFrame, radius: int, similarity: float, chunk: int) ->
             nodes = grouped(keyed, links).groupBy("band", "bits", "root").agg(F.min(F.struct("node", "fp")).alias("one"))
             nodes = materialize(nodes.select("one.*", "band", "bits"), "one-a-group")
         found, more = tree_links(nodes, radius, chunk, k)
-        found = alike(found, rows, similarity)
+        found = alike(may_be_alike(found, rows, similarity), rows, similarity)
         if found.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
@@ -417,12 +429,40 @@ def shard_groups(rows: DataFrame, radius: int, similarity: float, chunk: int) ->
 
 
 def bucket_counts(rows: DataFrame) -> np.ndarray:
-    """How often shingles whose hashes begin with the same RANK_BITS bits occur in the corpus; of fixed size."""
-    bucket = F.shiftrightunsigned("h", 64 - RANK_BITS).cast("int").alias("bucket")
-    found = rows.select(F.explode("hashes").alias("h")).select(bucket).groupBy("bucket").agg(F.count("*").alias("n")).toArrow()
-    out = np.zeros(1 << RANK_BITS, "i8")
-    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
-    return out
+    """How often shingles whose hashes begin with the same RANK_BITS bits occur in the corpus; of fixed size.
+
+    Two tasks a core count whole tables, which are added block by block, so what is shuffled does not grow with the corpus.
+    """
+
+    @frugal
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, held, size = np.zeros(1 << RANK_BITS, "u4"), [], 0
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held.append((batch.column(0).flatten().to_numpy().view("u8") >> np.uint64(64 - RANK_BITS)).astype("i4"))
+                size += len(held[-1])
+            if size > OUT_HASHES or batch is None and size:
+                counts += np.bincount(np.concatenate(held), minlength=1 << RANK_BITS).astype("u4")
+                held, size = [], 0
+        seen = np.flatnonzero(counts.reshape(-1, RANK_BLOCK).any(axis=1))
+        for part in np.array_split(seen, -(-len(seen) // 64)) if len(seen) else []:
+            blocks = [counts[k * RANK_BLOCK : (k + 1) * RANK_BLOCK].tobytes() for k in part.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype("i4")), pa.array(blocks, pa.binary())], ["block", "counts"])
+
+    def added(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), "<u4").astype("u8") for x in table["counts"])
+        total = np.minimum(total, np.iinfo("u4").max).astype("<u4")
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "block int, counts binary"
+    with small_batches(rows.sparkSession):
+        few = rows.select("hashes").coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
+        found = materialize(few.mapInArrow(counted, schema).groupBy("block").applyInArrow(added, schema), "bucket-counts")
+    out = np.zeros((1 << RANK_BITS) // RANK_BLOCK * RANK_BLOCK, "u4").reshape(-1, RANK_BLOCK)
+    for row in found.toLocalIterator():
+        out[row.block] = np.frombuffer(row.counts, "<u4")
+    discard(found)
+    return out.reshape(-1)
 
 
 def rarest(rows: DataFrame, similarity: float) -> DataFrame:
@@ -452,25 +492,26 @@ def rarest(rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def may_be_alike(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b, low, high) less those that are apart for sure.
+    """The written ``pairs`` (a, b and further longs) less those that are apart for sure.
 
     Two parity sketches differ in at most as many bits as there are shingles that only one of the texts has.
     """
-    both = pairs
-    for c in "ab":
-        both = both.join(rows.select(F.col("node").alias(c), F.col("parity").alias(f"parity_{c}"), F.col("n_set").alias(f"n_{c}")), c)
+    few = broadcast_within(pairs, BROADCAST_ROWS)
+    left, right = (rows.select(F.col("node").alias(c), F.col("parity").alias(f"parity_{c}"), F.col("n_set").alias(f"n_{c}")) for c in "ab")
+    both = left.join(few, "a").join(right, "b")
     both = both.select(*pairs.columns, "parity_a", "parity_b", (F.col("n_a") + F.col("n_b")).alias("total"))
+    width = len(pairs.columns)
 
     @frugal
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(-1, PARITY_BITS // 64) for c in (4, 5))
-            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype="i8")
-            may = differ <= batch.column(6).to_numpy() * (1 - similarity) / (1 + similarity) + 1e-6
-            yield pa.RecordBatch.from_arrays(batch.columns[:4], list("abcd")).rename_columns(["a", "b", "low", "high"]).filter(pa.array(may))
+            x, y = batch.column(width), batch.column(width + 1)
+            differ = np.array([parity_distance(x[k].as_py(), y[k].as_py()) for k in range(batch.num_rows)], "i8")
+            may = differ <= batch.column(width + 2).to_numpy() * (1 - similarity) / (1 + similarity) + 1e-6
+            yield batch.select(list(range(width))).filter(pa.array(may))
 
     with small_batches(rows.sparkSession):
-        return materialize(both.mapInArrow(near, "a long, b long, low long, high long"), "near-pairs")
+        return materialize(both.mapInArrow(near, pairs.schema), "near-pairs")
 
 
 def missed_links(rows: DataFrame, similarity: float, chunk: int) -> DataFrame | None:
@@ -480,12 +521,16 @@ def missed_links(rows: DataFrame, similarity: float, chunk: int) -> DataFrame |
     of many nodes is met chunk by chunk; a pair that can't share enough, by the places of the key in either, is not made.  One pair of each two roots is settled first; what it joins need not be compared
     further.
     """
-    each = rarest(rows, similarity).select("node", "root", "n_set", F.posexplode("rare").alias("place", "key"))
+    rare = rarest(rows, similarity)
+    each = rare.select("node", "root", "n_set", F.posexplode("rare").alias("place", "key"))
     mixed = each.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     mixed = materialize(mixed, "mixed-keys")
     if mixed.isEmpty():
         return None
-    keyed = materialize(each.join(broadcast_within(mixed, BROADCAST_KEYS), "key"), "mixed-rows")
+    of = rare.select("node", "root", "n_set")  # met by what is left of the keys, so that these travel alone
+    keyed = materialize(each.select("node", "place", "key").join(broadcast_within(mixed, BROADCAST_ROWS), "key"), "mixed-keyed")
+    keyed = materialize(keyed.join(of, "node"), "mixed-rows")
+    discard(rare)
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
     met = join_keyed(keyed, materialize(sizes, "key-sizes"), "key")
     met = materialize(met.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "met")
@@ -501,6 +546,8 @@ def missed_links(rows: DataFrame, similarity: float, chunk: int) -> DataFrame |
     pairs = smaller.join(other, ["key", "mine"]).filter(first & (F.col("root") != F.col("root_b")) & sized & placed)
     ends = [f(*two).alias(c) for c, f, two in (("a", F.least, ("node", "node_b")), ("b", F.greatest, ("node", "node_b")), ("low", F.least, ("root", "root_b")), ("high", F.greatest, ("root", "root_b")))]
     pairs = materialize(pairs.select(*ends).distinct(), "pairs")
+    for done in (keyed, met):
+        discard(done)
     pairs = may_be_alike(pairs, rows, similarity)
     one = materialize(pairs.groupBy("low", "high").agg(F.min(F.struct("a", "b")).alias("p")).select("p.*"), "first-pairs")
     links = alike(one, rows, similarity)
@@ -552,13 +599,14 @@ def similar_groups(
 
 def drop_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group of similar texts, with their columns."""
-    found = materialize(similar_groups(docs, text=text, doc_id=doc_id, **options), "similar")
     same = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_hash") == F.col("keep_hash"))
     doc, text_hash = unused(docs, "gone_doc", "gone_hash")
-    gone = found.filter(~same).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash)).distinct()
-    gone = broadcast_within(materialize(gone, "gone"), BROADCAST_ROWS)
+    with scratch() as keep:
+        found = materialize(similar_groups(docs, text=text, doc_id=doc_id, **options), "similar")
+        gone = found.filter(~same).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash)).distinct()
+        gone = broadcast_within(keep(materialize(gone, "gone")), BROADCAST_ROWS)
+        repeated = not found.filter(~F.col("kept") & same).isEmpty()  # rows that repeat the one that stays
     out = docs.join(
         gone, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text_of(text)) == F.col(text_hash)), "left_anti"
     )
-    repeated = not found.filter(~F.col("kept") & same).isEmpty()  # rows that repeat the one that stays
     return out.dropDuplicates([doc_id, text]) if repeated else out

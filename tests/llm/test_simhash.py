@@ -8,7 +8,8 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from framewright.llm import simhash
+from framewright import storage
+from framewright.llm import block_naming, simhash
 from framewright.llm.components import components
 
 SCHEMA = "doc_id long, text string, fp string"
@@ -253,3 +254,39 @@ def test_pairs_of_unlike_sizes_are_found(spark):
                 for x in union:
                     want[x] = union
     assert sorted(map(sorted, groups.values())) == sorted(sorted(g) for g in {frozenset(g) for g in want.values()})
+
+
+def test_scratch_tables_go_when_the_rows_are_found(spark, monkeypatch, tmp_path):
+    """What is left is the list of rows that go: of a pipeline's stages, the later ones had the disk of all before them."""
+    monkeypatch.setattr(storage, "shared_dir", lambda spark: f"file://{tmp_path}")
+    words = [f"w{k}" for k in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words, "end"])), (3, "others"), (4, "others")], "doc_id long, text string")
+    for stage, kept in ((block_naming.drop_exact_duplicates, [1, 2, 4]), (simhash.drop_similar, [1, 3])):
+        out = stage(docs)
+        left = [p.name.split("-")[1] for p in tmp_path.iterdir()]
+        assert left == ["gone"] * (1 + (stage is simhash.drop_similar)), left
+        assert sorted(r.doc_id for r in out.collect()) == kept
+
+
+def test_sketches_of_long_texts_tell_them_apart():
+    """5,000 shingles each, a third of them shared: 1,024 bits are full, wider ones are not; folded, they never exceed what differs."""
+    rng = np.random.default_rng(3)
+    x, y = (np.unique(rng.integers(0, 1 << 63, 5000, "u8")) for _ in range(2))
+    y[:1700] = x[:1700]
+    most = 10000 * (1 - simhash.SIMILARITY) / (1 + simhash.SIMILARITY)
+    wide = simhash.parity_distance(simhash.parity_sketch(x), simhash.parity_sketch(y))
+    assert most < wide <= len(set(x.tolist()) ^ set(y.tolist()))
+    for n in (0, 1, 600, 3000):
+        part = simhash.parity_sketch(x[:n])
+        assert simhash.parity_distance(part, simhash.parity_sketch(x)) <= len(x) - n
+        assert simhash.parity_distance(part, part) == 0
+
+
+def test_rare_shingles_are_told_from_those_of_some_texts(spark):
+    """600,000 shingles that stand once: where buckets are few, such noise hides one that stands in some texts."""
+    rng = np.random.default_rng(5)
+    rows = [(rng.integers(-(1 << 63), 1 << 63, 2000).tolist(),) for _ in range(300)]
+    hashes = np.array([h for (r,) in rows for h in r]).view("u8")
+    counts = simhash.bucket_counts(spark.createDataFrame(rows, "hashes array<long>"))
+    assert (counts == np.bincount((hashes >> np.uint64(64 - simhash.RANK_BITS)).astype("i8"), minlength=1 << simhash.RANK_BITS)).all()
+    assert counts.max() < 8
