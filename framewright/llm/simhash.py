@@ -36,7 +36,7 @@ from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.llm.components import components
@@ -61,6 +61,7 @@ RANK_BITS = 22
 RANK_BLOCK = 1 << 12
 BROADCAST_ROWS = 100_000
 OUT_HASHES = 1 << 20
+HUB_ROWS = 16
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -514,12 +515,54 @@ def may_be_alike(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFr
         return materialize(both.mapInArrow(near, pairs.schema), "near-pairs")
 
 
+def enough(similarity: float) -> Column:
+    """Whether node and node_b, which meet at ``place`` and ``place_b``, may share enough shingles from there on, by their sizes."""
+    need = (F.col("n_set") + F.col("n_set_b")) * (similarity / (1 + similarity)) - 1e-6
+    sized = F.least("n_set", "n_set_b") >= F.greatest("n_set", "n_set_b") * similarity - 1e-9
+    return sized & (F.least(F.col("n_set") - F.col("place"), F.col("n_set_b") - F.col("place_b")) >= need)
+
+
+def ordered_ends() -> list[Column]:
+    """a, b, low, high of node and node_b."""
+    return [f(x, f"{x}_b").alias(c) for c, f, x in (("a", F.least, "node"), ("b", F.greatest, "node"), ("low", F.least, "root"), ("high", F.greatest, "root"))]
+
+
+def joined_roots(links: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node, root: the roots in ``pairs`` (a, b, low, high) that ``links`` (a, b) join, and the least of what they make."""
+    ends = links.join(pairs, ["a", "b"]).select(F.col("low").alias("a"), F.col("high").alias("b"))
+    return materialize(components(ends), "roots")
+
+
+def rerooted(rows: DataFrame, joined: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with the roots in ``columns`` replaced by those of the written ``joined``."""
+    for c in columns:
+        of = broadcast_within(joined.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), BROADCAST_ROWS)
+        rows = rows.join(of, c, "left").withColumn(c, F.coalesce(f"{c}_root", c)).drop(f"{c}_root")
+    return rows
+
+
+def hub_links(keyed: DataFrame, rows: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame] | None:
+    """Links (a, b) of the nodes of each large key with the key's hub, and the roots that they join; None without links.
+
+    The hub is the node with the fewest shingles before the key: of edited copies of a text, the least edited one, to which
+    those that could share enough with each other are alike as a rule.  So a group that the trees left in many parts
+    is joined by a pair a node, before all pairs of different parts are made.
+    """
+    hubs = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("place", "node", "root", "n_set")).alias("hub")).filter(F.col("n") > HUB_ROWS)
+    hubs = materialize(hubs.select("key", "n", *[F.col(f"hub.{c}").alias(f"{c}_b") for c in ("place", "node", "root", "n_set")]), "hubs")
+    pairs = join_keyed(keyed, hubs, "key").filter((F.col("root") != F.col("root_b")) & enough(similarity))
+    pairs = may_be_alike(materialize(pairs.select(*ordered_ends()).distinct(), "hub-pairs"), rows, similarity)
+    links = alike(pairs, rows, similarity)
+    return None if links.isEmpty() else (links, joined_roots(links, pairs))
+
+
 def missed_links(rows: DataFrame, similarity: float, chunk: int) -> DataFrame | None:
     """a, b: alike nodes of different roots that join up their groups, among all pairs that share one of their rarest shingles.
 
-    ``rows`` has node, root, hashes, parity and n_set.  Shingles that stand in one group alone have nothing to add.  A key
-    of many nodes is met chunk by chunk; a pair that can't share enough, by the places of the key in either, is not made.  One pair of each two roots is settled first; what it joins need not be compared
-    further.
+    ``rows`` has node, root, hashes, parity and n_set.  Shingles that stand in one group alone have nothing to add, before
+    and after the nodes of large keys have met their hubs.  A key of many nodes is met chunk by chunk; a pair that can't
+    share enough, by the places of the key in either, is not made.  One pair of each two roots is settled first; what it
+    joins need not be compared further.
     """
     rare = rarest(rows, similarity)
     each = rare.select("node", "root", "n_set", F.posexplode("rare").alias("place", "key"))
@@ -531,34 +574,35 @@ def missed_links(rows: DataFrame, similarity: float, chunk: int) -> DataFrame |
     keyed = materialize(each.select("node", "place", "key").join(broadcast_within(mixed, BROADCAST_ROWS), "key"), "mixed-keyed")
     keyed = materialize(keyed.join(of, "node"), "mixed-rows")
     discard(rare)
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
-    met = join_keyed(keyed, materialize(sizes, "key-sizes"), "key")
+    found = hub_links(keyed, rows, similarity)
+    if found is not None:
+        keyed = rerooted(keyed, found[1], "root")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    sizes = materialize(sizes.select("key", "n", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")), "key-sizes")
+    links = other_links(join_keyed(keyed, sizes, "key"), rows, similarity)
+    return links if found is None else found[0].unionByName(links)
+
+
+def other_links(met: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """a, b: alike nodes of different roots that join up their groups, among the nodes that ``met`` brings together by key."""
     met = materialize(met.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "met")
     other = met.select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("mine"), *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "n_set", "place")])
     # Alike texts share at least ``need`` shingles.  After the first they share, neither has fewer than need - 1 left, and the
     # smaller one of the two, which shares a larger part of its own, meets the other within a shorter beginning.
     share = 2 * similarity / (1 + similarity)
     smaller = met.filter(F.col("place") <= F.col("n_set") * (1 - share) + 1e-6)
-    need = (F.col("n_set") + F.col("n_set_b")) * (share / 2) - 1e-6
     first = F.struct("n_set", "node") < F.struct(F.col("n_set_b").alias("n_set"), F.col("node_b").alias("node"))
-    sized = F.col("n_set") >= F.col("n_set_b") * similarity - 1e-9
-    placed = F.least(F.col("n_set") - F.col("place"), F.col("n_set_b") - F.col("place_b")) >= need
-    pairs = smaller.join(other, ["key", "mine"]).filter(first & (F.col("root") != F.col("root_b")) & sized & placed)
-    ends = [f(*two).alias(c) for c, f, two in (("a", F.least, ("node", "node_b")), ("b", F.greatest, ("node", "node_b")), ("low", F.least, ("root", "root_b")), ("high", F.greatest, ("root", "root_b")))]
-    pairs = materialize(pairs.select(*ends).distinct(), "pairs")
-    for done in (keyed, met):
-        discard(done)
+    pairs = smaller.join(other, ["key", "mine"]).filter(first & (F.col("root") != F.col("root_b")) & enough(similarity))
+    pairs = materialize(pairs.select(*ordered_ends()).distinct(), "pairs")
+    discard(met)
     pairs = may_be_alike(pairs, rows, similarity)
     one = materialize(pairs.groupBy("low", "high").agg(F.min(F.struct("a", "b")).alias("p")).select("p.*"), "first-pairs")
     links = alike(one, rows, similarity)
     rest = pairs.join(one, ["a", "b"], "left_anti")
     if rest.isEmpty():
         return links
-    joined = None if links.isEmpty() else materialize(components(links.select("a", "b").join(pairs, ["a", "b"]).select(F.col("low").alias("a"), F.col("high").alias("b"))), "roots")
-    if joined is not None:
-        for c in ("low", "high"):
-            of = broadcast_within(joined.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), BROADCAST_ROWS)
-            rest = rest.join(of, c, "left").withColumn(c, F.coalesce(f"{c}_root", c)).drop(f"{c}_root")
+    if not links.isEmpty():
+        rest = rerooted(rest, joined_roots(links, pairs), "low", "high")
     return links.unionByName(alike(materialize(rest.filter("low <> high").select("a", "b"), "other-pairs"), rows, similarity))
 
 

@@ -238,6 +238,39 @@ def test_a_template_makes_few_pairs(spark, monkeypatch):
     assert written.get("pairs", 0) < 20 * 600, written
 
 
+@pytest.mark.parametrize("original", [True, False])
+def test_a_group_of_copies_makes_few_pairs(spark, monkeypatch, original):
+    """400 copies of a text, one to five words changed, of which no tree finds any: each meets the least edited, not all others."""
+    rng = random.Random(29)
+    base = [rng.choice("abcdefgh") * rng.randint(1, 9) + str(rng.randint(0, 9999)) for _ in range(150)]
+    edits = [0] * original + [1 + i % 5 for i in range(400)]
+    rows = []
+    for i, many in enumerate(edits):
+        places = rng.sample(range(150), many)
+        rows.append((i, " ".join(f"own{i}x{k}" if k in places else w for k, w in enumerate(base))))
+    written = {}
+
+    def counted(df, tag, keep=simhash.materialize):
+        out = keep(df, tag)
+        written[tag] = written.get(tag, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in simhash.drop_similar(docs, radius=0).collect())
+    sets = {d: set(simhash.shingle_hashes(t, 5).tolist()) for d, t in rows}
+    alike = {frozenset((i, j)) for i in sets for j in sets if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    root = {d: d for d in sets}
+    for _ in sets:
+        before = dict(root)
+        for i, j in alike:
+            root[i] = root[j] = min(root[i], root[j])
+        if root == before:
+            break
+    assert kept == sorted(set(root.values())) and 1 < len(kept) < len(rows)
+    assert written.get("pairs", 0) + written.get("hub-pairs", 0) < 4 * len(rows), (written, len(alike))
+
+
 def test_pairs_of_unlike_sizes_are_found(spark):
     """Sets of 80 to 100 shingles, one a part of the other, that no tree meets: radius 0."""
     base = [f"w{k}" for k in range(104)]
