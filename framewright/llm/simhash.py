@@ -396,37 +396,42 @@ def tree_links(nodes: DataFrame, radius: int, chunk: int, salt: int) -> tuple[Da
     return materialize(found, "tree-links"), not sizes.filter("chunks > 1").isEmpty()
 
 
-def grouped(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
-    """``nodes`` with root: the least node of the group, itself without links."""
-    if links is None:
+def groups_of(links: DataFrame | None) -> DataFrame | None:
+    """member, root: the groups that ``links`` make, written; None without links."""
+    return None if links is None else materialize(components(links).withColumnRenamed("node", "member"), "groups")
+
+
+def grouped(nodes: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """``nodes`` with root: the least node of the group, itself where there is none."""
+    if groups is None:
         return nodes.withColumn("root", F.col("node"))
-    found = materialize(components(links).withColumnRenamed("node", "member"), "groups")
-    met = nodes.join(broadcast_within(found, BROADCAST_ROWS), F.col("node") == F.col("member"), "left")
+    met = nodes.join(broadcast_within(groups, BROADCAST_ROWS), F.col("node") == F.col("member"), "left")
     return met.withColumn("root", F.coalesce("root", "node")).drop("member")
 
 
-def shard_groups(rows: DataFrame, radius: int, similarity: float, chunk: int) -> DataFrame | None:
-    """a, b: links that the BK-trees of all shards find and the sets bear out; None if there are none.
+def shard_groups(rows: DataFrame, radius: int, similarity: float, chunk: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """a, b: links that the BK-trees of all shards find and the sets bear out, and their groups; None if there are none.
 
     Nodes that a round has joined stand for themselves by one of them in the next, so a shard of many near copies shrinks.
     """
     keyed = rows.select("node", "fp", F.posexplode("keys").alias("band", "bits"))
     shared = materialize(keyed.groupBy("band", "bits").agg(F.count("*").alias("n")).filter("n > 1"), "shared-keys")
     keyed = materialize(join_keyed(keyed, shared, ["band", "bits"]), "keyed")
-    links = None
+    links = groups = None
     for k in range(ROUNDS):
         nodes = keyed
         if links is not None:
-            nodes = grouped(keyed, links).groupBy("band", "bits", "root").agg(F.min(F.struct("node", "fp")).alias("one"))
+            nodes = grouped(keyed, groups).groupBy("band", "bits", "root").agg(F.min(F.struct("node", "fp")).alias("one"))
             nodes = materialize(nodes.select("one.*", "band", "bits"), "one-a-group")
         found, more = tree_links(nodes, radius, chunk, k)
         found = alike(may_be_alike(found, rows, similarity), rows, similarity)
-        if found.isEmpty():
+        if found.isEmpty():  # the groups are still those of all links
             break
         links = found if links is None else links.unionByName(found)
+        groups = groups_of(links)
         if not more:
             break
-    return links
+    return links, groups
 
 
 def bucket_counts(rows: DataFrame) -> np.ndarray:
@@ -623,11 +628,11 @@ def similar_groups(
     """
     with small_batches(docs.sparkSession):
         rows = materialize(sketches(docs, words, text, doc_id), "sketches")
-    links = shard_groups(rows, radius, similarity, chunk)
-    missed = missed_links(grouped(rows.select("node", "hashes", "parity", "n_set"), links), similarity, chunk)
+    links, groups = shard_groups(rows, radius, similarity, chunk)
+    missed = missed_links(grouped(rows.select("node", "hashes", "parity", "n_set"), groups), similarity, chunk)
     if missed is not None:
-        links = missed if links is None else links.unionByName(missed)
-    rooted = materialize(grouped(rows.select("node", "doc_id", "text_hash"), links), "grouped")
+        groups = groups_of(missed if links is None else links.unionByName(missed))
+    rooted = materialize(grouped(rows.select("node", "doc_id", "text_hash"), groups), "grouped")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "node", "text_hash")
     several = rooted.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
     alone = F.col("first").isNull()
